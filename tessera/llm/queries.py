@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe_codec import bpe_codec
+from tessera.llm.media import media
 from tessera.llm.packing import pack
+from tessera.llm.quality import quality
+from tessera.llm.sharding import shard
 from tessera.llm.token_counts import token_counts
 from tessera.llm.wavelet import read_shards, write_shards
 
@@ -25,13 +28,25 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(_documents(spark, sf_dir), public_tokenizers.path(WORDS), keep=False)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir))
+
+
 def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizers.path(WORDS))).drop("ids")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path(BYTES)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op5_wavelet_matrix, op9_packing)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media(_documents(spark, sf_dir), keep=False).drop("clips")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op5_wavelet_matrix, op8_sharding, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
