@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe_codec import bpe_codec
 from tessera.llm.media import media
+from tessera.llm.near_dups import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality
 from tessera.llm.repeats import drop_repeats
@@ -37,6 +38,10 @@ def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizers.path(WORDS))).drop("ids")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).drop("_node")
+
+
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(_documents(spark, sf_dir)).drop("kept_bytes")
 
@@ -53,5 +58,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(_documents(spark, sf_dir), keep=False).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op5_wavelet_matrix, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
