@@ -9,12 +9,15 @@ from tessera.llm.bpe_codec import bpe_codec
 from tessera.llm.media import media
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.pii import with_surrogates
 from tessera.llm.quality import quality
 from tessera.llm.repeats import drop_repeats
 from tessera.llm.sharding import shard
 from tessera.llm.token_counts import token_counts
 from tessera.llm.wavelet import read_shards, write_shards
 
+#: The registered query's key; a deployment passes its own secret.
+PII_KEY = "registered query"
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -34,6 +37,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(_documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizers.path(WORDS))).drop("ids")
 
@@ -58,5 +65,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(_documents(spark, sf_dir), keep=False).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_pii_surrogates, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {}

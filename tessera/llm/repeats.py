@@ -254,4 +254,15 @@ def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col:
     if carry:
         schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
     out = joined.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried.*"] if carry else []))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried"] if carry else []))
+
+
+def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows with their own columns, repeats cut from their texts; characters that a cut splits go whole. Null texts stay null."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    own = dict(zip(docs.columns, names, strict=True))
+    out = drop_repeats(renamed, length, id_col=own[id_col], text_col=own[text_col], carry=names)
+    # a cut may leave bytes of a split character: continuation bytes at its start, a lead without enough of them at its end
+    text = F.when(F.col("n_removed") == 0, F.col(f"carried.{own[text_col]}")).otherwise(F.regexp_replace(F.decode("kept_bytes", F.lit("UTF-8")), "\ufffd", ""))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"carried.{own[c]}").alias(c) for c in docs.columns])

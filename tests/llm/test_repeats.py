@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm.repeats import GRAM, anchors, drop_repeats
+from tessera.llm.repeats import GRAM, anchors, drop_repeats, without_repeats
 from tessera.llm.suffix_array import Shard, repeated
 
 
@@ -56,10 +56,19 @@ def test_odd_rows(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     # long texts are judged by their starts of 400 bytes as any other
     want = Counter((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], 400), strict=True))
-    got = drop_repeats(docs, carry=["doc_id", "n_tokens"])
-    assert got.columns[-2:] == ["doc_id", "n_tokens"]
+    assert drop_repeats(docs, carry=["doc_id", "n_tokens"]).schema["carried"].dataType.names == ["doc_id", "n_tokens"]
     assert Counter(tuple(r)[:5] for r in drop_repeats(docs).collect()) == want
     assert drop_repeats(empty).count() == 0
+    kept = without_repeats(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert Counter(r.text is None for r in kept.collect()) == Counter(r.text is None for r in rows)
+
+
+def test_split_characters_go_whole(spark):
+    shared = "ü" * 300
+    docs = spark.createDataFrame([(1, "a" + shared + "b"), (2, "\u0162" + shared + "c"), (3, "clean \ufffd")], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert got == {1: "ab", 2: "\u0162c", 3: "clean \ufffd"}
 
 
 def test_equal_strings_share_anchors(monkeypatch):
