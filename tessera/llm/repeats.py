@@ -227,18 +227,18 @@ def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and the columns of `carry`.
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and, with `carry`, a struct `carried` of those columns and kept_text.
 
     Strings are judged on the input, within a document as well as between documents; rows of one id,
     repeated rows and null ids are documents like any other. Null and empty texts have nothing to
-    remove. kept_bytes may end or begin in the middle of a character.
+    remove. kept_bytes may hold parts of characters that a cut splits; kept_text is without them.
     """
     if length <= GRAM:
         raise ValueError(f"length: more than {GRAM}")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
     spans = repeat_spans(rows.select("id", "h", "text"), length, split)
-    joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["h"] == spans["h"]), "left").select(rows["id"], "text", "spans", *(["carried"] if carry else []))
+    joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["h"] == spans["h"]), "left").select(rows["id"], "text", "spans", *(["carried", "kept_text"] if carry else []))
 
     def run(batches):
         for batch in batches:
@@ -248,13 +248,13 @@ def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col:
                 done = [cut(t, [(v["a"], v["b"]) for v in s or ()], length) for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
                 long = lambda v: pa.array(v, pa.int64())
                 columns = [part.column("id"), long([len(t) for t in texts]), long([d[1] for d in done]), long([d[2] for d in done]), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string()), pa.array([d[0] for d in done], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + ([part.column("carried")] if carry else []), names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"] + (["carried"] if carry else []))
+                yield pa.RecordBatch.from_arrays(columns + ([part.column("carried"), pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())] if carry else []), names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"] + (["carried", "kept_text"] if carry else []))
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"
     if carry:
-        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}, kept_text string"
     out = joined.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried"] if carry else []))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried", "kept_text"] if carry else []))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -263,6 +263,5 @@ def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text",
     renamed = docs.toDF(*names)
     own = dict(zip(docs.columns, names, strict=True))
     out = drop_repeats(renamed, length, id_col=own[id_col], text_col=own[text_col], carry=names)
-    # a cut may leave bytes of a split character: continuation bytes at its start, a lead without enough of them at its end
-    text = F.when(F.col("n_removed") == 0, F.col(f"carried.{own[text_col]}")).otherwise(F.regexp_replace(F.decode("kept_bytes", F.lit("UTF-8")), "\ufffd", ""))
+    text = F.when(F.col("n_removed") == 0, F.col(f"carried.{own[text_col]}")).otherwise(F.col("kept_text"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"carried.{own[c]}").alias(c) for c in docs.columns])
