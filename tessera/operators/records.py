@@ -102,8 +102,8 @@ def generated(df: DataFrame, family: Column, params: Column, seed: Column, probl
     )
 
 
-def to_line(df: DataFrame) -> DataFrame:
-    """One JSON object a record, keys in order, parameters as an object, raw Unicode; nulls kept but for fields that are left out when null."""
+def to_line(df: DataFrame, *carry: str) -> DataFrame:
+    """One JSON object a record, keys in order, parameters as an object, raw Unicode; nulls kept but for fields that are left out when null. carry: further columns that stay."""
     names = sorted(FIELDS)
     always = [n for n in names if n not in OMITTED_WHEN_NULL]
 
@@ -116,7 +116,7 @@ def to_line(df: DataFrame) -> DataFrame:
     for n in names:
         shown = F.concat(F.lit(f'"{n}": '), F.when(F.col(n).isNull(), "null").otherwise(value(n)))
         parts.append(shown if n in always else F.when(F.col(n).isNotNull(), shown))
-    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("value"))
+    return df.select(*carry, F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("value"))
 
 
 def from_line(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -130,7 +130,7 @@ def from_line(lines: DataFrame, strict: bool = True) -> DataFrame:
     # an object's keys are read as far as it goes, so the whole line has to parse too
     whole = F.expr("try_parse_json(value)").isNotNull()
     error = F.when(~whole | keys.isNull(), "invalid JSON").when(F.size(unknown) > 0, F.concat(F.lit("unknown fields "), F.array_join(unknown, ", "))).when(F.size(missing) > 0, F.concat(F.lit("missing fields "), F.array_join(missing, ", ")))
-    out = lines.where("trim(value) <> ''").withColumn("error", error).withColumn("r", F.from_json("value", SCHEMA))
+    out = lines.withColumn("error", error).withColumn("r", F.from_json("value", SCHEMA))
     carried = [c for c in out.columns if c not in ("value", "r", "error")]
     read = [F.get_json_object("value", "$.params").alias("params") if n == "params" else F.col(f"r.{n}").alias(n) for n in FIELDS]
     out = out.select(*carried, *read, "error")

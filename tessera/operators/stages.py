@@ -68,7 +68,8 @@ def first_of_signature(df: DataFrame, order: list[str], among: Column | None = N
 def solve(df: DataFrame, family: Family) -> DataFrame:
     """stem, answer_exact and answer_decimal."""
     p = family.columns(df)
-    return df.withColumns({"stem": F.lit(family.stem), "answer_exact": exact.as_text(family.terms(p)), "answer_decimal": family.decimal(p)})
+    df = df.withColumn("_terms", family.terms(p))
+    return df.withColumns({"stem": F.lit(family.stem), "answer_exact": exact.as_text(F.col("_terms")), "answer_decimal": family.decimal(p)}).drop("_terms")
 
 
 def measure(df: DataFrame, family: Family, tolerance: float | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ def write(df: DataFrame, path: str, overwrite: bool = False, order: str = "probl
 
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Records with an error column. Tolerant reading drops a bad last line of each file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")).where("trim(value) <> ''")
     if strict:
         return records.from_line(lines.select("value"))
     out = records.from_line(lines)
