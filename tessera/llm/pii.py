@@ -79,9 +79,12 @@ def canonical(kind: Column, mention: Column) -> Column:
     )
 
 
-def core(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+def digest_of(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 512)
+
+
+def core(kind: Column, value: Column, attempt: Column, digest: Column) -> Column:
     """The surrogate of a canonical value, in canonical form: one digest, a character for each of its own."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 512)
     number = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     digit = lambda i: _pick("0123456789", number(i))
 
@@ -148,7 +151,8 @@ def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
     """
     state = values.withColumn("attempt", F.lit(0))
     for _ in range(most):
-        drawn = stored(state.withColumn("made", core(key, F.col("kind"), F.col("value"), F.col("attempt"))), "surrogates")
+        drawn = state.withColumn("digest", digest_of(key, F.col("kind"), F.col("value"), F.col("attempt")))
+        drawn = stored(drawn.withColumn("made", core(F.col("kind"), F.col("value"), F.col("attempt"), F.col("digest"))).drop("digest"), "surrogates")
         # in a group of equal surrogates the value that drew least often stays
         groups = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
         shared = drawn.join(groups, ["kind", "made"]).where("value != first.value").select("kind", "value")
@@ -177,12 +181,13 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     tries = stored(placed.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("at", "attempt"))).alias("tries")), "retries")
     seen = rows.withColumn("_found", mentions(F.col("_text"))).join(tries, F.md5("_text") == F.col("node"), "left")
 
-    def replace(m: Column, i: Column) -> Column:
-        kind = kind_of(m)
-        made = core(key, kind, canonical(kind, m), F.coalesce(F.element_at(F.col("tries"), i), F.lit(0)))
-        return dressed(kind, m, made)
-
-    text = F.array_join(F.zip_with(F.split("_text", PATTERN, -1), F.transform("_found", replace), lambda gap, made: F.concat(gap, F.coalesce(made, F.lit("")))), "")
+    # a mention's kind, value, digest and surrogate in turn, each from the fields before it: expressions stay small
+    own = F.transform("_found", lambda m, i: F.struct(m.alias("m"), kind_of(m).alias("kind"), F.coalesce(F.element_at(F.col("tries"), i), F.lit(0)).alias("attempt")))
+    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), canonical(x["kind"], x["m"]).alias("value")))
+    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["value"].alias("value"), digest_of(key, x["kind"], x["value"], x["attempt"]).alias("digest")))
+    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), core(x["kind"], x["value"], x["attempt"], x["digest"]).alias("made")))
+    own = F.transform(own, lambda x: dressed(x["kind"], x["m"], x["made"]))
+    text = F.array_join(F.zip_with(F.split("_text", PATTERN, -1), own, lambda gap, made: F.concat(gap, F.coalesce(made, F.lit("")))), "")
     some = F.coalesce(F.size("_found") > 0, F.lit(False))
     out = seen.select("_row", F.when(some, text).otherwise(F.col("_text")).alias("_new"), F.when(some, F.size("_found")).otherwise(0).cast("long").alias("n_entities"))
     columns = [F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c != "n_entities"]

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.llm.pii import core, redraws, with_surrogates
+from tessera.llm.pii import core, digest_of, redraws, with_surrogates
 
 KEY = "test key"
 PRIVATE = [
@@ -70,7 +70,7 @@ def test_collisions_draw_again(spark):
     fix = redraws(values, KEY)
     n = fix.count()
     assert n > 0
-    made = values.join(fix, ["kind", "value"], "left").select("value", core(KEY, F.col("kind"), F.col("value"), F.coalesce("attempt", F.lit(0))).alias("made")).collect()
+    made = values.join(fix, ["kind", "value"], "left").select("value", core(F.col("kind"), F.col("value"), F.coalesce("attempt", F.lit(0)), digest_of(KEY, F.col("kind"), F.col("value"), F.coalesce("attempt", F.lit(0)))).alias("made")).collect()
     assert len({r.made for r in made}) == len(made) and not {r.made for r in made} & {r.value for r in made}
 
 
