@@ -150,18 +150,23 @@ def ids_by_scan(symbols: list[int], merges: dict[int, int]) -> list[int]:
 
 
 class Chunks(dict):
-    """A bounded cache from chunk to result; when full it starts anew."""
+    """A bounded cache from chunk to result. Once full it keeps what it has, and starts anew after as many misses as entries:
+    frequent chunks come early, and texts of another kind still get their turn."""
 
     def __init__(self, make: Callable[[str], object], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.missed = make, most, 0
 
     def __missing__(self, chunk: str):
         made = self.make(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
+        if len(self) < self.most:
+            if len(chunk) <= 64:
+                self[chunk] = made
+        else:
+            self.missed += 1
+            if self.missed >= self.most:
                 self.clear()
-            self[chunk] = made
+                self.missed = 0
         return made
 
 

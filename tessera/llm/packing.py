@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import blocks, texts_of
+from tessera.llm.common import blocks
 from tessera.llm.library_ids import library_ids
 
 #: Combinations of three lengths are enumerated where the shortest is a multiple of this.
@@ -149,8 +149,8 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids themselves.
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with `keep`, the ids themselves.
 
     Each document is its ids with `end_id` behind; null and empty texts are the end id alone. Each id
     lies in exactly one piece; sequences are full windows but for at most a few of each task, whose
@@ -163,24 +163,25 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
         from pyspark import TaskContext
 
         source, packer = library_ids(tokenizer), Packer(window, TaskContext.get().partitionId())
-        end, id_type = np.array([end_id], source.dtype).tobytes(), None
+        id_type = None
 
         def table(rows):
             names, starts, ids, totals, sequences, offsets = zip(*rows, strict=True)
             raw = [x.astype("<u4").tobytes() for x in ids]
             long = lambda x: pa.array(x, pa.int64())
-            columns = [pa.array(names, id_type), long(starts), long([len(x) for x in ids]), long([zlib.crc32(x) for x in raw]), long(totals), long(sequences), long(offsets), pa.array(raw, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = [pa.array(names, id_type), long(starts), long([len(x) for x in ids]), long([zlib.crc32(x) for x in raw]), long(totals), long(sequences), long(offsets), *([pa.array(raw, pa.binary())] if keep else [])]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep else [])])
 
         for batch in batches:
             id_type = batch.schema.field("id").type
             for a, b in blocks(batch, "text", block_bytes):
                 part = batch.slice(a, b - a)
-                ids = [np.frombuffer(x + end, source.dtype) for x in source.encode(texts_of(part, "text"))]
+                flat, sizes = source.encode_column(part.column("text"), end_id)
+                ids = np.split(flat, np.cumsum(sizes)[:-1])
                 if rows := packer.add(list(zip(part.column("id").to_pylist(), ids, strict=True))):
                     yield table(rows)
         if rows := packer.finish():
             yield table(rows)
 
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep)
     return out.withColumnRenamed("id", id_col)
