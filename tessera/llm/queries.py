@@ -34,7 +34,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_documents(spark, sf_dir))
+    return quality(_documents(spark, sf_dir)).drop("host_rate")
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizers.path(WORDS))).drop("ids")
+    return read_shards(write_shards(_documents(spark, sf_dir), public_tokenizers.path(WORDS)), keep=False)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_documents(spark, sf_dir), public_tokenizers.path(BYTES)).drop("ids")
+    return pack(_documents(spark, sf_dir), public_tokenizers.path(BYTES), keep=False)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,20 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_pii_surrogates, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS rid FROM documents),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, s) > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range(0, 5) r(k) GROUP BY rid),
+ln AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+base AS (SELECT w.doc_id, w.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w JOIN ln USING (rid) LEFT JOIN cov USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS docs, count(*) FILTER (WHERE base_failed) AS failures FROM judged GROUP BY 1),
+prior AS (SELECT avg(failures / docs) AS m, coalesce(var_samp(failures / docs), 0) AS v FROM hosts),
+strong AS (SELECT m, greatest(1, least(1000, coalesce(m * (1 - m) / nullif(v, 0) - 1, 1000))) AS k FROM prior),
+rated AS (SELECT source, (failures + m * k) / (docs + k) AS rate FROM hosts, strong)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept FROM judged JOIN rated ON judged.source IS NOT DISTINCT FROM rated.source""",
+}

@@ -1,7 +1,7 @@
 """Operator 5, token-id output: a wavelet matrix for each shard, in one compressed file.
 
 File: magic, length of a JSON header, header, then zstd-compressed parts: the documents' ids (Arrow
-stream), the documents' lengths, and one bit-plane for each bit of an id, highest first. Behind
+stream), the documents' lengths, the alphabet (ids that occur), and one bit-plane for each bit of an id's number in it, highest first. Behind
 plane k come the ids with a 0 in it, then those with a 1, each in their former order. Rank
 directories (ones before each 512-bit block) are built as a plane is opened, so a reader that needs
 one token, one count or one occurrence opens the planes and touches a few words of each.
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import blocks, partitions, stored, texts_of
+from tessera.llm.common import blocks, partitions, stored
 from tessera.llm.library_ids import library_ids
 
 MAGIC = b"WVMX0001"
 #: Tokens after which a shard is closed; documents are not split over shards.
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 18
 _BLOCK = 512
 
 
@@ -35,21 +35,27 @@ def build(ids: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     planes, now = [], np.ascontiguousarray(ids)
     for k in range(bits - 1, -1, -1):
         ones = (now >> k & 1).astype(bool)
-        zeros = now[~ones]
+        zeros = np.flatnonzero(~ones)
         planes.append((len(zeros), np.packbits(ones, bitorder="little")))
-        now = np.concatenate([zeros, now[ones]])
+        if k:
+            now = now[np.concatenate([zeros, np.flatnonzero(ones)])]
     return planes
 
 
-def write_file(names: pa.Array, lengths: list[int], ids: np.ndarray) -> bytes:
+def write_file(names: pa.Array, lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """One shard's file. names: the documents' ids; ids: all their tokens, one document after the other."""
-    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    # a shard's own alphabet spares planes: ids are numbered among those that occur
+    present = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    present[ids] = True
+    alphabet = np.flatnonzero(present)
+    codes = (np.cumsum(present, dtype=np.uint32) - 1).astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+    bits = max(1, (len(alphabet) - 1).bit_length()) if len(ids) else 1
     pack = zstandard.ZstdCompressor(level=1).compress
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, pa.schema([("id", names.type)])) as out:
         out.write_batch(pa.record_batch([names], names=["id"]))
-    parts = [pack(sink.getvalue()), pack(np.array(lengths, "<u8").tobytes())]
-    planes = build(ids, bits)
+    parts = [pack(sink.getvalue()), pack(np.asarray(lengths, "<u8").tobytes()), pack(alphabet.astype("<u4").tobytes())]
+    planes = build(codes[ids] if len(ids) else np.zeros(0, np.uint16), bits)
     parts += [pack(x.tobytes()) for _, x in planes]
     head = json.dumps({"tokens": len(ids), "bits": bits, "zeros": [z for z, _ in planes], "parts": [len(x) for x in parts]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
@@ -70,7 +76,8 @@ class WaveletFile:
         self.names = pa.ipc.open_stream(raw[0]).read_all().column("id")
         self.lengths = np.frombuffer(raw[1], "<u8").astype(np.int64)
         self.n, self.bits, self.zeros = self.head["tokens"], self.head["bits"], self.head["zeros"]
-        self.planes = [np.frombuffer(x, np.uint8) for x in raw[2:]]
+        self.alphabet = np.frombuffer(raw[2], "<u4")
+        self.planes = [np.frombuffer(x, np.uint8) for x in raw[3:]]
         self._ranks: list[np.ndarray | None] = [None] * self.bits
 
     def _ones(self, k: int, i: int) -> int:
@@ -103,12 +110,17 @@ class WaveletFile:
             bit = self.planes[k][i >> 3] >> (i & 7) & 1
             value = value << 1 | int(bit)
             i = self.zeros[k] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
+
+    def _code(self, token: int) -> int:
+        """A token's number in the alphabet, -1 if it doesn't occur."""
+        k = int(np.searchsorted(self.alphabet, token))
+        return k if k < len(self.alphabet) and self.alphabet[k] == token else -1
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
-        """Where the occurrences of a token before place `end` stand behind the last plane."""
+        """Where the occurrences of a token before place `end` stand behind the last plane; by its number in the alphabet."""
         a, b = 0, end
-        if token >> self.bits:
+        if token < 0:
             return 0, 0
         for k in range(self.bits):
             x, y = self._ones(k, a), self._ones(k, b)
@@ -117,11 +129,12 @@ class WaveletFile:
 
     def count(self, token: int, end: int | None = None) -> int:
         """Occurrences of a token before place `end`, by default in all."""
-        a, b = self._range(token, self.n if end is None else end)
+        a, b = self._range(self._code(token), self.n if end is None else end)
         return b - a
 
     def find(self, token: int, nth: int = 0) -> int:
         """Place of the nth (from 0) occurrence of a token, -1 if there is none."""
+        token = self._code(token)
         a, b = self._range(token, self.n)
         if nth < 0 or a + nth >= b:
             return -1
@@ -138,10 +151,10 @@ class WaveletFile:
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             was = np.empty(self.n, kind)
-            was[~ones] = now[: self.zeros[k]]
-            was[ones] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            was[np.flatnonzero(~ones)] = now[: self.zeros[k]]
+            was[np.flatnonzero(ones)] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             now = was
-        return now
+        return self.alphabet[now]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,24 +171,24 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         from pyspark import TaskContext
 
         part, source = TaskContext.get().partitionId(), library_ids(tokenizer)
-        end = np.array([end_id], source.dtype).tobytes()
-        names, held, shard, n = [], [], 0, 0
+        names, held, lengths, shard, n = [], [], [], 0, 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), source.dtype)
-            file = write_file(pa.concat_arrays(names), [len(x) // source.dtype.itemsize for x in held], ids)
-            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(held), "n_tokens": len(ids), "file": file}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())]))
+            ids, sizes = np.concatenate(held), np.concatenate(lengths)
+            file = write_file(pa.concat_arrays(names), sizes, ids)
+            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(sizes), "n_tokens": len(ids), "file": file}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())]))
 
         for batch in batches:
-            for a, b in blocks(batch, "text", 2 << 20):
+            for a, b in blocks(batch, "text", 4 << 20):
                 rows = batch.slice(a, b - a)
                 names.append(rows.column("id"))
-                got = source.encode(texts_of(rows, "text"))
-                held += [x + end for x in got]
-                n += sum(map(len, got)) // source.dtype.itemsize + len(got)
+                ids, sizes = source.encode_column(rows.column("text"), end_id)
+                held.append(ids)
+                lengths.append(sizes)
+                n += len(ids)
                 if n >= SHARD_TOKENS:
                     yield close()
-                    names, held, shard, n = [], [], shard + 1, 0
+                    names, held, lengths, shard, n = [], [], [], shard + 1, 0
         if held:
             yield close()
 
@@ -184,8 +197,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     return stored(rows.mapInArrow(run, "part int, shard int, n_docs bigint, n_tokens bigint, file binary"), "wavelet").withMetadata("file", {"id_type": kind})
 
 
-def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files alone: its id, start (tokens of all documents before it), n_tokens, crc32 and the ids.
+def read_shards(shards: DataFrame, id_col: str = "doc_id", keep: bool = True) -> DataFrame:
+    """Per document, from the files alone: its id, start (tokens of all documents before it), n_tokens, crc32 and, with `keep`, the ids.
 
     Starts need the tokens of each partition only: one row for each partition of the writer, broadcast.
     """
@@ -200,14 +213,14 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for part, shard, data in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "file")), strict=True):
                 file = WaveletFile(data)
-                ids = file.tokens().astype("<u4")
+                ids = file.tokens()
                 ends = np.cumsum(file.lengths)
                 begins = ends - file.lengths
-                raw = [ids[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                raw = [ids[a:b].data for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(raw)
-                columns = [file.names.combine_chunks(), pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(begins), pa.array(file.lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())]
+                columns = [file.names.combine_chunks(), pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(begins), pa.array(file.lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64()), *([pa.array([x.tobytes() for x in raw], pa.binary())] if keep else [])]
                 for a in range(0, n, 2000):
-                    yield pa.RecordBatch.from_arrays([x.slice(a, 2000) for x in columns], names=["id", "part", "shard", "at", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([x.slice(a, 2000) for x in columns], names=["id", "part", "shard", "at", "n_tokens", "ids_crc32", *(["ids"] if keep else [])])
 
-    read = shards.select("part", "shard", "file").mapInArrow(run, f"id {kind}, part int, shard int, at bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return read.join(starts, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    read = shards.select("part", "shard", "file").mapInArrow(run, f"id {kind}, part int, shard int, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep)
+    return read.join(starts, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep else []))
