@@ -21,7 +21,7 @@ from tessera.llm.bpe import Chunks, byte_alphabet
 from tessera.llm.common import quiet_tokenizers
 
 #: Chunks that a worker remembers.
-CACHE = 1_500_000
+CACHE = 1_200_000
 #: The split patterns of the two kinds of file, for chunks of Latin letters.
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
