@@ -31,7 +31,7 @@ GRAM = 16
 #: Bytes of a document that are worked through at once.
 SEGMENT = 1 << 20
 #: Bytes of regions in one suffix array.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 15
 #: Regions of one gram in one shard.
 SPLIT = 4000
 _LOW = np.uint64((1 << 24) - 1)
@@ -198,10 +198,11 @@ def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT) -> Data
     """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings."""
     rows = stored(_rows(docs, length), "anchors")
     classes = rows.groupBy("gram", "region").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
-    grams = classes.groupBy("gram").agg(F.sum("m").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    kept = stored(classes.join(grams, "gram").select("gram", "region", "m", "kinds", "at.*"), "classes")
+    grams = classes.groupBy("gram").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("m") == 1).alias("open")).where("total > 1")
+    kept = stored(classes.join(grams, "gram").select("gram", "region", "m", "kinds", "open", "at.*"), "classes")
     salts = F.ceil(F.col("kinds") / split).cast("int")
-    wanted = kept.where("kinds > 1").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int"))
+    # where each region of a gram occurs twice, nothing is open
+    wanted = kept.where("kinds > 1 AND open > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int"))
     searched = stored(_searched(_regions(docs, wanted, length), length), "searched")
     spread = searched.where(F.size("keys") > 0).join(wanted.where("salts > 1").select("gram", "region", "salt", "salts"), ["gram", "region"])
     parts = searched.where(F.size("spans") > 0).select("gram", "region", "spans").unionByName(_merged(spread))

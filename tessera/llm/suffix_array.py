@@ -19,8 +19,8 @@ class Shard:
         ends = np.cumsum(sizes)
         self.starts = ends - sizes
         #: of each place, its region and where that ends
-        self.region = np.repeat(np.arange(len(regions), dtype=np.int64), sizes)
-        self.end = ends[self.region]
+        self.region = np.repeat(np.arange(len(regions), dtype=np.int32), sizes)
+        self.end = np.repeat(ends.astype(np.int32), sizes)
         padded = np.zeros(self.n + 16, np.uint8)
         padded[: self.n] = self.text
         #: 8 bytes from each place on, the first the most significant; beyond the region's end zeros
@@ -31,35 +31,52 @@ class Shard:
         self.first = word[: self.n] >> cut << cut
 
     def suffixes(self) -> np.ndarray:
-        """Places in the order of their suffixes. Groups of equal first h bytes are sorted by the group of the suffix h
+        """Places in the order of their suffixes. Groups of equal first h bytes (five at first) are sorted by the group of the suffix h
         further on, and h doubles; groups of one are left alone."""
-        order = np.argsort(self.first, kind="stable").astype(np.int64)
-        key = self.first[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if self.n else np.zeros(0, bool)
-        rank = np.empty(self.n, np.int64)
-        # a group's number is where it begins
-        heads = np.maximum.accumulate(np.where(new, np.arange(self.n), 0)) if self.n else order
-        rank[order] = heads
+        n = self.n
+        if not n:
+            return np.zeros(0, np.int64)
+        place = np.uint64(n.bit_length())
+        low = (np.uint64(1) << place) - np.uint64(1)
+        if n < 1 << 24:  # five bytes and the place in one number
+            k = self.first >> np.uint64(24) << np.uint64(24)
+            k |= np.arange(n, dtype=np.uint64)
+            k.sort()
+            own, key, h = (k & np.uint64((1 << 24) - 1)).astype(np.int64), k >> np.uint64(24), 5
+        else:
+            own, h = np.argsort(self.first), 8
+            key = self.first[own]
         # ended suffixes that agree so far differ in length by zero bytes at most, or in their regions; all stand before the others
-        ended = (self.end - np.arange(self.n)) * len(self.starts) + self.region
-        h, beyond = 8, int(ended.max(initial=0)) + 1
+        left = self.end - np.arange(n, dtype=np.int32)
+        ended = left.astype(np.int64) * len(self.starts) + self.region
+        beyond = int(ended.max()) + 1
+        wide = np.uint64((beyond + n).bit_length())
+        packed = 2 * int(place) + int(wide) <= 64
+        order, rank, slots = np.empty(n, np.int64), np.empty(n, np.int32), np.arange(n)
         while True:
-            single = new & np.append(new[1:], True) if self.n else new
-            slots = np.flatnonzero(~single)
+            # slots, own: places of the order that aren't settled and who stands there, groups of equal keys together
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(heads, len(slots)))
+            group = np.repeat(slots[heads], sizes)  # a group's number is where it begins
+            rank[own] = group
+            alone = heads[sizes == 1]
+            order[slots[alone]] = own[alone]
+            live = np.repeat(sizes > 1, sizes)
+            slots, own, group = slots[live], own[live], group[live]
             if not len(slots):
                 return order
-            own = order[slots]
-            far = own + h
-            inside = far < self.end[own]
-            second = np.where(inside, rank[np.minimum(far, self.n - 1)] + beyond, ended[own])
-            # slots are in the order of their groups, so sorting by (group, second) leaves groups where they are
-            by = np.lexsort((second, heads[slots]))
-            order[slots] = own[by]
-            g, s = heads[slots], second[by]
-            first = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
-            new[slots] = first
-            heads[slots] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
-            rank[order[slots]] = heads[slots]
+            second = rank.take(own + h, mode="clip") + np.int64(beyond)
+            over = np.flatnonzero(left[own] <= h)
+            second[over] = ended[own[over]]
+            # groups stay where they are: the group comes first in the key
+            if packed:
+                k = (group.astype(np.uint64) << wide | second.view(np.uint64)) << place | own.view(np.uint64)
+                k.sort()
+                own, key = (k & low).view(np.int64), k >> place
+            else:
+                by = np.lexsort((second, group))
+                own, second = own[by], second[by]
+                key = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])]))
             h *= 2
 
     def common(self, order: np.ndarray) -> np.ndarray:
