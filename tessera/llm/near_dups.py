@@ -9,14 +9,16 @@ similarity, and the work is that of the darts, not of shingles times coordinates
 
 Equal texts are one node. Nodes that agree in a band are candidates. In a bucket, each member is
 compared with two of the bucket only (the least and greatest node), so no pairs of a group are
-listed; further rounds compare one member of each class that is still apart in a bucket.
+listed; further rounds compare one member of each class that is still apart in a bucket. What is
+still apart then is joined exactly: two sets this similar share one of their rarest units (prefix
+filter), so all such pairs of different classes are listed by a shared rare unit and compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, stored, texts_of
@@ -185,6 +187,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def crossing_pairs(arrays: DataFrame, contested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of nodes with different labels that may be similar: no pair of `contested`(node, label) that is goes missing.
+
+    Units are put in one order, rarest first. Of two sets with n <= m units and at least t = `similarity`,
+    the first shared unit is among the first n - ceil(2t / (1 + t) n) + 1 of the smaller and m - ceil(t m) + 1 of the
+    larger one, and enough units follow it in both.
+    """
+    t = similarity
+    own = arrays.join(contested, "node").select("node", "label", F.size("units").alias("n"), F.explode("units").alias("unit"))
+    # a unit that only one class has makes no pair, but counts where it stands
+    often = stored(own.groupBy("unit").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("df > 1").select("unit", "df", (F.col("l0") != F.col("l1")).alias("mixed")), "frequencies")
+    placed = own.join(often, "unit", "left").withColumn("p", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "unit")))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    prefix = placed.where(F.col("mixed") & (F.col("p") <= first(t))).select("unit", "node", "label", "n", "p", (F.col("p") <= first(2 * t / (1 + t))).alias("short"))
+    prefix = stored(prefix, "prefixes")
+    # a pair has a member outside the unit's largest class, so no pairs within that class are tried
+    classes = prefix.groupBy("unit", "label").agg(F.count("*").alias("k")).groupBy("unit").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    outside = prefix.join(classes.select("unit", F.col("most.label").alias("largest")), "unit").where("label != largest")
+    x, y = (d.select("unit", *[F.col(c).alias(c + k) for c in ("node", "label", "n", "p", "short")]) for d, k in ((outside, "_x"), (prefix, "_y")))
+    smaller = F.when((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y"))), F.col("short_x")).otherwise(F.col("short_y"))
+    follow = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) + 1
+    fits = (F.col("label_x") != F.col("label_y")) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * t - 1e-9) & smaller & (follow >= (F.col("n_x") + F.col("n_y")) * (t / (1 + t)) - 1e-9)
+    return x.join(y, "unit").where(fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, class_id (the least id of its class), copies (rows of equal text), is_kept (the class's first row), _node.
 
@@ -226,6 +253,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
             break
         tried, links = tried.union(new), links.union(found)
         labels = components(links)
+    # buckets that still hold several classes: each similar pair across them
+    labelled = held.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
+    contested = stored(labelled.join(apart, "key").select("node", "label").distinct(), "contested")
+    if contested.head(1):
+        new = stored(crossing_pairs(arrays, contested, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stored(verified(new), "links")
+        if found.head(1):
+            labels = components(links.union(found))
     classes = nodes.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("label", "node").alias("label"))
     firsts = classes.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), "node")).alias("f"))
     table = classes.join(firsts, "label").select("node", "copies", F.col("f.id").alias("class_id"), F.col("f.node").alias("kept"))
