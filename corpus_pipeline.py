@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur more than once are cut."""
-    return _counted(without_repeats(docs))
+    """Runs of over 50 words and bytes of 400-byte strings that occur more than once are cut."""
+    return _counted(without_repeats(docs, words=51))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

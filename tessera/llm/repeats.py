@@ -12,11 +12,14 @@
 4. Repeats go back to all rows of their class, are put together for each document, and are cut out.
 
 Nothing is compared pair by pair, no group is gathered whole, and no text is cut short.
+
+Passages of so many words are found in the same way, over texts coded as WIDTH bytes of each word's hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, partitions, stored
+from tessera.llm.near_dups import _SPACE, word_hashes
 from tessera.llm.suffix_array import repeated
 
 GRAM = 16
@@ -34,9 +38,28 @@ SEGMENT = 1 << 20
 SHARD_BYTES = 1 << 15
 #: Regions of one gram in one shard.
 SPLIT = 4000
+#: Bytes of a word's hash.
+WIDTH = 4
 _LOW = np.uint64((1 << 24) - 1)
 
 
+def word_codes(text: str) -> bytes:
+    """WIDTH bytes for each word."""
+    return (word_hashes(text) >> np.uint64(64 - 8 * WIDTH)).astype(f"<u{WIDTH}").tobytes()
+
+
+def word_spans(text: str, spans: list[tuple[int, int]], words: int, length: int) -> list[tuple[int, int]]:
+    """Spans of word_codes as spans of a text's bytes, in the form of `cut` with `length`: words go with the spaces after them."""
+    # a string that starts within a word's code is no run of words
+    whole = [(-(-a // WIDTH), b // WIDTH) for a, b in spans if -(-a // WIDTH) <= b // WIDTH]
+    if not whole:
+        return []
+    raw = np.frombuffer(text.encode(), np.uint8)
+    word = ~_SPACE[raw]
+    starts = np.append(np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])), len(raw)).tolist()
+    return [(starts[a], starts[b + words] - length) for a, b in whole]
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the 16 bytes from each place on."""
     n = len(data) - GRAM + 1
@@ -75,7 +98,7 @@ def anchors(data: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
-def _rows(docs: DataFrame, length: int) -> DataFrame:
+def _rows(docs: DataFrame, length: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
     """(id, h, gram, region, first, last) of all anchors. h: hash of the text, which tells rows of one id apart."""
 
     def run(batches):
@@ -84,7 +107,7 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
                 part = batch.slice(x, y - x)
                 owner, columns = [], ([], [], [], [])
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    data = text.encode() if text else b""
+                    data = coded(text) if text else b""
                     for gram, at, first, last in anchors(data, length) if len(data) >= length else ():
                         digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
                         # the seed: where the region's strings stand to the anchor
@@ -102,7 +125,7 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, h bigint, gram bigint, region bigint, first bigint, last bigint")
 
 
-def _regions(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _regions(docs: DataFrame, wanted: DataFrame, length: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
     """(gram, region, salt, salts, data) of the wanted classes, cut from one document of each."""
 
     def run(batches):
@@ -110,7 +133,7 @@ def _regions(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for x, y in blocks(batch, "text"):
                 out = []
                 for text, own in zip(batch.column("text").slice(x, y - x).to_pylist(), batch.column("own").slice(x, y - x).to_pylist(), strict=True):
-                    data = text.encode()
+                    data = coded(text)
                     out += [(w["gram"], w["region"], w["salt"], w["salts"], data[w["first"] : w["last"] + length]) for w in own]
                 for a in range(0, len(out), 2000):
                     gram, region, salt, salts, data = zip(*out[a : a + 2000], strict=True)
@@ -194,16 +217,16 @@ def _merged(spread: DataFrame) -> DataFrame:
     return dealt.select("gram", "bucket", "region", F.col("place").cast("bigint").alias("place"), "key", "salt").mapInArrow(run, "gram bigint, region bigint, spans array<struct<a: bigint, b: bigint>>")
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT) -> DataFrame:
-    """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings."""
-    rows = stored(_rows(docs, length), "anchors")
+def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
+    """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings of its code."""
+    rows = stored(_rows(docs, length, coded), "anchors")
     classes = rows.groupBy("gram", "region").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
     grams = classes.groupBy("gram").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("m") == 1).alias("open")).where("total > 1")
     kept = stored(classes.join(grams, "gram").select("gram", "region", "m", "kinds", "open", "at.*"), "classes")
     salts = F.ceil(F.col("kinds") / split).cast("int")
     # where each region of a gram occurs twice, nothing is open
     wanted = kept.where("kinds > 1 AND open > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int"))
-    searched = stored(_searched(_regions(docs, wanted, length), length), "searched")
+    searched = stored(_searched(_regions(docs, wanted, length, coded), length), "searched")
     spread = searched.where(F.size("keys") > 0).join(wanted.where("salts > 1").select("gram", "region", "salt", "salts"), ["gram", "region"])
     parts = searched.where(F.size("spans") > 0).select("gram", "region", "spans").unionByName(_merged(spread))
     once = parts.join(kept.where("m = 1").select("gram", "region"), ["gram", "region"])
@@ -227,26 +250,38 @@ def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join(left), removed, runs
 
 
-def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int | None = None) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and, with `carry`, a struct `carried` of those columns and kept_text.
 
     Strings are judged on the input, within a document as well as between documents; rows of one id,
     repeated rows and null ids are documents like any other. Null and empty texts have nothing to
-    remove. kept_bytes may hold parts of characters that a cut splits; kept_text is without them.
+    remove. kept_bytes may hold parts of characters that a cut splits; kept_text is without them. With `words`, each run of so many words
+    (whatever spaces are between) that occurs more than once goes too, both judged on the input.
     """
     if length <= GRAM:
         raise ValueError(f"length: more than {GRAM}")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
     spans = repeat_spans(rows.select("id", "h", "text"), length, split)
-    joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["h"] == spans["h"]), "left").select(rows["id"], "text", "spans", *(["carried"] if carry else []))
+    if words:
+        if words * WIDTH <= GRAM:
+            raise ValueError(f"words: more than {GRAM // WIDTH}")
+        runs = repeat_spans(rows.select("id", "h", "text"), words * WIDTH, split, word_codes).select("id", "h", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.col("spans").alias("runs"))
+        both = spans.withColumn("runs", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(runs)
+        spans = both.groupBy("id", "h").agg(F.max("spans").alias("spans"), F.max("runs").alias("runs"))
+    joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["h"] == spans["h"]), "left").select(rows["id"], "text", "spans", *(["runs"] if words else []), *(["carried"] if carry else []))
 
     def run(batches):
         for batch in batches:
             for x, y in blocks(batch, "text"):
                 part = batch.slice(x, y - x)
-                texts = [t.encode() for t in part.column("text").to_pylist()]
-                done = [cut(t, [(v["a"], v["b"]) for v in s or ()], length) for t, s in zip(texts, part.column("spans").to_pylist(), strict=True)]
+                plain = part.column("text").to_pylist()
+                texts = [t.encode() for t in plain]
+                pairs = lambda column: [[(v["a"], v["b"]) for v in s or ()] for s in part.column(column).to_pylist()]  # noqa: B023, E731
+                gone = pairs("spans")
+                if words:
+                    gone = [s + word_spans(t, r, words, length) for t, s, r in zip(plain, gone, pairs("runs"), strict=True)]
+                done = [cut(t, s, length) for t, s in zip(texts, gone, strict=True)]
                 long = lambda v: pa.array(v, pa.int64())
                 columns = [part.column("id"), long([len(t) for t in texts]), long([d[1] for d in done]), long([d[2] for d in done]), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string()), pa.array([d[0] for d in done], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns + ([part.column("carried"), pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())] if carry else []), names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"] + (["carried", "kept_text"] if carry else []))
@@ -258,11 +293,11 @@ def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col:
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried", "kept_text"] if carry else []))
 
 
-def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows with their own columns, repeats cut from their texts; characters that a cut splits go whole. Null texts stay null."""
+def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:
+    """The rows with their own columns, repeats (with `words` also runs of so many words) cut from their texts; characters that a cut splits go whole. Null texts stay null."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*names)
     own = dict(zip(docs.columns, names, strict=True))
-    out = drop_repeats(renamed, length, id_col=own[id_col], text_col=own[text_col], carry=names)
+    out = drop_repeats(renamed, length, id_col=own[id_col], text_col=own[text_col], carry=names, words=words)
     text = F.when(F.col("n_removed") == 0, F.col(f"carried.{own[text_col]}")).otherwise(F.col("kept_text"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"carried.{own[c]}").alias(c) for c in docs.columns])

@@ -98,3 +98,23 @@ def test_suffix_array():
             assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
         seen = Counter(r[k : k + 5] for r in regions for k in range(len(r) - 4))
         assert [x.tolist() for x in repeated(regions, 5)] == [[k for k in range(len(r) - 4) if seen[r[k : k + 5]] > 1] for r in regions]
+
+
+def test_passages_of_over_50_words_go_from_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**6))
+    own = lambda k: " ".join(f"u{next(fresh)}" for _ in range(k))
+    short = [" ".join(rng.choice(["a", "of", "it", "to", "é", "we", "no"], 51)) for _ in range(2)]  # under 400 bytes
+    fifty = " ".join(f"f{i}" for i in range(50))
+    solid = "x" + "".join(chr(97 + c) for c in rng.integers(0, 26, 600))  # 400 bytes without a space
+    texts, want = [], []
+    for before, passage, after in ((7, short[0], 9), (0, short[0].replace(" ", "\n", 3), 30), (12, short[1], 0), (4, short[1], 8), (5, fifty, 5), (6, fifty, 6), (3, solid, 3), (0, solid, 0)):
+        a, b = own(before), own(after)
+        texts.append(" ".join(x for x in (a, passage, b) if x))
+        want.append(" ".join(x for x in (a, passage if passage == fifty else "", b) if x))
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id int, text string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert [got[i].text.split() for i in range(len(texts))] == [w.split() for w in want]
+    assert all(r.n_chars == len(r.text) for r in got.values())
