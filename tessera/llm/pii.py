@@ -23,15 +23,15 @@ _MALE = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин", "Κύρι
 _NEUTRAL = ("Dr", "Prof")
 _TITLE = "|".join(sorted(_FEMALE + _MALE + _NEUTRAL, key=len, reverse=True))
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\p{N}|\.\p{N})",
     "iban": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}" + _END + r"|(?<![\p{L}\p{N}_])\+[0-9]{8,14}" + _END,
     "ssn": _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "card": _FREE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
-    "hex": _FREE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _END,
-    "secret": _FREE + r"""(?i:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}["']?[\p{L}\p{N}_./+-]{6,200}""",
-    "name": _FREE + rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "hex": _FREE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _END,
+    "secret": _FREE + r"""(?i:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}["']?[\p{L}\p{N}_./+-]{6,}+""",
+    "name": _FREE + rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
 #: The order decides where two kinds fit at one place.
 ORDER = ("email", "ip", "hex", "secret", "ssn", "card", "iban", "phone", "name")

@@ -1,5 +1,6 @@
 """Operator 4: what is found, what replaces it, and that values stay apart and together."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -86,3 +87,19 @@ def test_odd_rows(docs, empty):
     assert out.columns == [*docs.columns, "n_entities"] and out.count() == docs.count()
     assert not [r for r in out.collect() if r.text and ("the.72@" in r.text or "555-2652" in r.text)]
     assert with_surrogates(empty, KEY).count() == 0
+
+
+def test_long_entities_go_whole(spark):
+    rng = random.Random(2)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    long = [say(letters, n) for n in (201, 403, 2000)] + [say("0123456789abcdef", 256), say("0123456789ABCDEF", 1001)]
+    long += ["ann@" + ".".join(say("abcdefgh", 5) for _ in range(30)), "Anna " + say("abcdefgh", 70).capitalize()]
+    wraps = ['token = "{}"'] * 3 + ["key {}; then", "key {}; then", "to {}, or", "Mrs. {} said"]
+    got = swap(spark, [w.format(x) for w, x in zip(wraps, long, strict=True)])
+    for i, (w, x) in enumerate(zip(wraps, long, strict=True)):
+        before, after = w.split("{}")
+        assert got[i].n_entities == 1 and got[i].text.startswith(before) and got[i].text.endswith(after)
+        made = got[i].text[len(before) : len(got[i].text) - len(after)]
+        assert not any(x[k : k + 12] in made for k in range(5, len(x) - 11))
+        assert i > 4 or len(made) == len(x)
