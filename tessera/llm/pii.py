@@ -83,8 +83,16 @@ def digest_of(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 512)
 
 
-def core(kind: Column, value: Column, attempt: Column, digest: Column) -> Column:
-    """The surrogate of a canonical value, in canonical form: one digest, a character for each of its own."""
+def family_of(value: Column) -> Column:
+    """The family name of a name's canonical value: a value of its own kind, "family"."""
+    return F.substring_index(value, " ", -1)
+
+
+def core(kind: Column, value: Column, attempt: Column, digest: Column, family: Column | None = None) -> Column:
+    """The surrogate of a canonical value, in canonical form: one digest, a character for each of its own.
+
+    family: the surrogate of a name's family name, drawn by that name alone; without it the name's own digest draws it.
+    """
     number = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     digit = lambda i: _pick("0123456789", number(i))
 
@@ -110,10 +118,14 @@ def core(kind: Column, value: Column, attempt: Column, digest: Column) -> Column
     for (s, g), names in GIVEN.items():
         fits = (script == s) & ((F.substr(value, F.lit(1), F.lit(1)) == g) if s == "latin" else (F.when(F.substr(value, F.lit(1), F.lit(1)) == "f", "f").otherwise("m") == g))
         given = F.when(fits, F.element_at(F.array(*map(F.lit, names)), number(F.lit(40)) % len(names) + 1)).otherwise(given)
-    family = F.initcap(scrambled(F.substring_index(value, " ", -1)))
+    # late draws are longer by letters of the name's script
+    letters = lambda script: F.concat(*[_pick(script, number(F.lit(i))) for i in (59, 60, 61, 62, 63)])
+    longer = F.when(attempt >= 4, F.when(script == "cyrillic", letters(_CYRILLIC)).when(script == "greek", letters(_GREEK)).otherwise(letters(_LATIN))).otherwise("")
+    surname = F.initcap(F.concat(scrambled(family_of(value)), longer))
     # the family name's digest is its own, so a person has it with and without a given name
-    person = F.when(F.size(F.split(value, " ")) > 2, F.concat(given, F.lit(" "), family)).otherwise(family)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "name", person).when(kind == "secret", scrambled(value)).otherwise(number_like)
+    family = surname if family is None else F.coalesce(family, surname)
+    person = F.when(F.size(F.split(value, " ")) > 2, F.concat(given, longer, F.lit(" "), family)).otherwise(family)
+    return F.when(kind == "family", surname).when(kind == "email", email).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "name", person).when(kind == "secret", scrambled(value)).otherwise(number_like)
 
 
 def dressed(kind: Column, mention: Column, made: Column) -> Column:
@@ -143,27 +155,44 @@ def mentions(text: Column) -> Column:
     return F.when(worth_a_look(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
-def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
-    """(kind, value, attempt) of those values(kind, value) whose first surrogate collides.
-
-    A surrogate collides if it is another value of its kind, the value itself, or the surrogate of a
-    value that comes earlier. Who collides draws again, until none does.
-    """
+def _settled(values: DataFrame, key: str, most: int) -> DataFrame:
+    """(kind, value, attempt, made) of values(kind, value, real[, family]), each drawn until no surrogate collides."""
     state = values.withColumn("attempt", F.lit(0))
+    family = F.col("family") if "family" in values.columns else None
     for _ in range(most):
         drawn = state.withColumn("digest", digest_of(key, F.col("kind"), F.col("value"), F.col("attempt")))
-        drawn = stored(drawn.withColumn("made", core(F.col("kind"), F.col("value"), F.col("attempt"), F.col("digest"))).drop("digest"), "surrogates")
+        drawn = stored(drawn.withColumn("made", core(F.col("kind"), F.col("value"), F.col("attempt"), F.col("digest"), family)).drop("digest"), "surrogates")
         # in a group of equal surrogates the value that drew least often stays
         groups = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
         shared = drawn.join(groups, ["kind", "made"]).where("value != first.value").select("kind", "value")
-        real = drawn.select("kind", "value", F.lower("made").alias("made")).join(values.select("kind", F.lower("value").alias("made")), ["kind", "made"], "left_semi").select("kind", "value")
+        real = drawn.select("kind", "value", F.lower("made").alias("made")).join(values.select("kind", F.lower("real").alias("made")), ["kind", "made"], "left_semi").select("kind", "value")
         bad = stored(shared.union(real).distinct(), "collisions")
         if not bad.head(1):
-            return drawn.where("attempt > 0").select("kind", "value", "attempt")
-        state = drawn.join(bad.withColumn("hit", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("hit", F.lit(0))).alias("attempt"))
+            return drawn.select("kind", "value", "attempt", "made")
+        state = drawn.join(bad.withColumn("hit", F.lit(1)), ["kind", "value"], "left").select(*[drawn[c] for c in values.columns], (F.col("attempt") + F.coalesce("hit", F.lit(0))).alias("attempt"))
     raise RuntimeError(f"surrogates still collide after {most} draws")
 
 
+def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
+    """(kind, value, attempt) of those values(kind, value) whose first surrogate collides.
+
+    A surrogate collides if it is another value of its kind, the value itself, or the surrogate of a
+    value that comes earlier. Who collides draws again, until none does. Family names are values of
+    the kind "family"; they settle first, and names with a given name are then held against the
+    names, without the gender that a value begins with. A family name alone has its family's surrogate.
+    """
+    names = values.where("kind = 'name'").withColumn("real", F.expr("substr(value, 3)"))
+    families = names.select(F.lit("family").alias("kind"), family_of(F.col("value")).alias("value")).distinct()
+    first = _settled(values.where("kind != 'name'").unionByName(families).withColumn("real", F.col("value")), key, most)
+    again = first.where("attempt > 0").select("kind", "value", "attempt")
+    full = names.where("real LIKE '% %'")
+    if not full.head(1):
+        return again
+    made = first.where("kind = 'family'").select(F.col("value").alias("_family"), F.col("made").alias("family"))
+    full = full.join(made, family_of(F.col("value")) == F.col("_family")).select("kind", "value", "real", "family")
+    return again.unionByName(_settled(stored(full, "names"), key, most).where("attempt > 0").select("kind", "value", "attempt"))
+
+
 def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows with surrogates in their text and n_entities, how many mentions were replaced, as the last column.
 
@@ -177,15 +206,22 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     values = stored(found.select("kind", "value").distinct(), "entities")
     again = stored(redraws(values, key), "redraws")
     placed = rows.where(worth_a_look(F.col("_text"))).select(F.md5("_text").alias("node"), F.posexplode(mentions(F.col("_text"))).alias("at", "m")).withColumn("kind", kind_of(F.col("m")))
-    placed = placed.select("node", "at", "kind", canonical(F.col("kind"), F.col("m")).alias("value")).join(again, ["kind", "value"])
+    placed = placed.select("node", "at", "kind", canonical(F.col("kind"), F.col("m")).alias("value"))
+    # a name's family has a place of its own, -1 - at
+    placed = placed.withColumn("own", F.array(F.struct("at", "kind", "value"), F.struct((-1 - F.col("at")).alias("at"), F.when(F.col("kind") == "name", "family").alias("kind"), family_of(F.col("value")).alias("value"))))
+    placed = placed.select("node", F.explode("own").alias("o")).select("node", "o.*").where("kind IS NOT NULL").join(again, ["kind", "value"])
     tries = stored(placed.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("at", "attempt"))).alias("tries")), "retries")
     seen = rows.withColumn("_found", mentions(F.col("_text"))).join(tries, F.md5("_text") == F.col("node"), "left")
 
     # a mention's kind, value, digest and surrogate in turn, each from the fields before it: expressions stay small
-    own = F.transform("_found", lambda m, i: F.struct(m.alias("m"), kind_of(m).alias("kind"), F.coalesce(F.element_at(F.col("tries"), i), F.lit(0)).alias("attempt")))
-    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), canonical(x["kind"], x["m"]).alias("value")))
-    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["value"].alias("value"), digest_of(key, x["kind"], x["value"], x["attempt"]).alias("digest")))
-    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), core(x["kind"], x["value"], x["attempt"], x["digest"]).alias("made")))
+    tried = lambda at: F.coalesce(F.element_at(F.col("tries"), at), F.lit(0))
+    own = F.transform("_found", lambda m, i: F.struct(m.alias("m"), kind_of(m).alias("kind"), tried(i).alias("attempt"), tried(-1 - i).alias("again")))
+    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["again"].alias("again"), canonical(x["kind"], x["m"]).alias("value")))
+    family = lambda x: F.when(x["kind"] == "name", digest_of(key, F.lit("family"), family_of(x["value"]), x["again"]))
+    own = F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "attempt", "again", "value")], digest_of(key, x["kind"], x["value"], x["attempt"]).alias("digest"), family(x).alias("family")))
+    surname = lambda x: F.when(x["kind"] == "name", core(F.lit("family"), family_of(x["value"]), x["again"], x["family"]))
+    own = F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "attempt", "value", "digest")], surname(x).alias("family")))
+    own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), core(x["kind"], x["value"], x["attempt"], x["digest"], x["family"]).alias("made")))
     own = F.transform(own, lambda x: dressed(x["kind"], x["m"], x["made"]))
     text = F.array_join(F.zip_with(F.split("_text", PATTERN, -1), own, lambda gap, made: F.concat(gap, F.coalesce(made, F.lit("")))), "")
     some = F.coalesce(F.size("_found") > 0, F.lit(False))

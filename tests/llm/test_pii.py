@@ -103,3 +103,16 @@ def test_long_entities_go_whole(spark):
         made = got[i].text[len(before) : len(got[i].text) - len(after)]
         assert not any(x[k : k + 12] in made for k in range(5, len(x) - 11))
         assert i > 4 or len(made) == len(x)
+
+
+def test_a_family_has_one_surrogate_that_no_one_has(spark):
+    givens = [f"G{a}{b}" for a in "abcde" for b in "abcde"]
+    families = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeiouy"]  # of two letters: their surrogates collide
+    texts = [f"Mrs. {g} Smith wrote. Mrs. Smith and Mr Smith left." for g in givens] + [f"Dr. {f} spoke" for f in families]
+    got = swap(spark, texts)
+    parts = [re.fullmatch(r"Mrs\. (\w+) (\w+) wrote\. Mrs\. (\w+) and Mr (\w+) left\.", got[i].text) for i in range(len(givens))]
+    assert len({x for p in parts for x in p.groups()[1:]}) == 1
+    # more given names than there are to draw from: late draws are longer
+    assert len({p[1] for p in parts}) == len(givens)
+    made = [got[len(givens) + i].text.split()[1] for i in range(len(families))]
+    assert len(set(made)) == len(families) and not set(made) & set(families)
