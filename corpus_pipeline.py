@@ -15,7 +15,7 @@ from tessera.llm.near_dups import drop_near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.pii import with_surrogates
 from tessera.llm.quality import keep_documents
-from tessera.llm.queries import BYTES, PII_KEY
+from tessera.llm.queries import BYTES, PASSAGE, PII_KEY
 from tessera.llm.repeats import without_repeats
 
 
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of over 50 words and bytes of 400-byte strings that occur more than once are cut."""
-    return _counted(without_repeats(docs, words=51))
+    return _counted(without_repeats(docs, words=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

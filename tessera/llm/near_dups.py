@@ -39,6 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _times(k: int, c: np.uint64) -> np.uint64:
+    """A product modulo 2**64."""
+    return np.uint64(k * int(c) & (1 << 64) - 1)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     base = 0xD1342543DE82EF95
@@ -56,17 +61,26 @@ def _reach(n: int) -> None:
         _UP, _DOWN = _powers(2 * n)
 
 
+#: Bytes of a text whose words are hashed at once.
+CHUNK = 1 << 16
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word (runs of anything but the six ASCII spaces), all words at once."""
+    """A 64-bit hash of each word (runs of anything but the six ASCII spaces), many words at once."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    _reach(len(raw) + 1)
     word = ~_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     first, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _UP[: len(raw)], dtype=np.uint64)])
-    return mix((total[end] - total[first]) * _DOWN[first] + (end - first).astype(np.uint64) * _C[0])
+    out, a = [], 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(end, first[a] + CHUNK, side="right")))
+        low, f, e = first[a], first[a:b] - first[a], end[a:b] - first[a]
+        part = raw[low : end[b - 1]].astype(np.uint64)
+        _reach(len(part) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part + np.uint64(1)) * _UP[: len(part)], dtype=np.uint64)])
+        out.append(mix((total[e] - total[f]) * _DOWN[f] + (e - f).astype(np.uint64) * _C[0]))
+        a = b
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def units(text: str) -> np.ndarray:
@@ -115,11 +129,11 @@ def signatures(documents: list[np.ndarray], k: int) -> np.ndarray:
             unit, owner = unit[seen], owner[seen]
         if not len(unit):
             break
-        seed = mix(unit + np.uint64(cell + 1) * _C[3])
+        seed = mix(unit + _times(cell + 1, _C[3]))
         n = np.searchsorted(_poisson_steps(high - low), (seed >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
         for d in range(int(n.max())):
             has = n > d
-            h = mix(seed[has] + np.uint64(d + 1) * _C[4])
+            h = mix(seed[has] + _times(d + 1, _C[4]))
             rank = low + (high - low) * ((h >> np.uint64(11)).astype(float) * 2.0**-53)
             np.minimum.at(out, owner[has] * k + (mix(h + _C[6]) % np.uint64(k)).astype(np.int64), rank)
         low, high, cell = high, high * 2 if high < 1 else high + 1, cell + 1

@@ -1,9 +1,10 @@
 """Operator 7, suffix-array dedup: remove every byte that a string of `length` bytes covers which also starts elsewhere.
 
-1. Anchors. Of all 16-byte grams in the string that starts at a place, the one of least hash (the
+1. Anchors. Of all grams (64 bytes for strings of 400) in the string that starts at a place, the one of least hash (the
    first of equal ones) is its anchor. Equal strings have equal anchors at equal offsets. Neighbouring places share an
-   anchor, so a document gives one row for about 190 bytes: the gram's hash, which starts it
-   anchors, and the hash of the region (all bytes of those strings).
+   anchor, so a document gives one row for about 170 bytes: the gram's hash, which starts it
+   anchors, and the hash of the region (all bytes of those strings). A gram is long enough that common phrases
+   make no anchor in common.
 2. Classes. Rows are counted by (gram, region hash), combined before the shuffle. Grams seen once are
    dropped; a region seen twice repeats throughout; grams with several regions need their bytes.
 3. Shards. One region of each class is fetched; the regions of a gram meet in one shard, and each
@@ -13,13 +14,15 @@
 
 Nothing is compared pair by pair, no group is gathered whole, and no text is cut short.
 
-Passages of so many words are found in the same way, over texts coded as WIDTH bytes of each word's hash.
+Passages of so many words are found in the same way, over texts coded as WIDTH bytes of each word's hash: there a
+symbol is a word, and places, lengths and grams count words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,16 @@ from tessera.llm.common import blocks, partitions, stored
 from tessera.llm.near_dups import _SPACE, word_hashes
 from tessera.llm.suffix_array import repeated
 
+#: The shortest gram, in bytes.
 GRAM = 16
-#: Bytes of a document that are worked through at once.
+#: Symbols of a document that are worked through at once.
 SEGMENT = 1 << 20
 #: Bytes of regions in one suffix array.
 SHARD_BYTES = 1 << 15
 #: Regions of one gram in one shard.
-SPLIT = 4000
+SPLIT = 512
+#: Keys that are merged at once where a gram's regions are spread.
+BUCKET_KEYS = 1 << 20
 #: Bytes of a word's hash.
 WIDTH = 4
 _LOW = np.uint64((1 << 24) - 1)
@@ -48,25 +54,42 @@ def word_codes(text: str) -> bytes:
     return (word_hashes(text) >> np.uint64(64 - 8 * WIDTH)).astype(f"<u{WIDTH}").tobytes()
 
 
+@dataclass(frozen=True)
+class Coding:
+    """How a text becomes symbols of `unit` bytes, and how many of them a gram has for strings of a length."""
+
+    code: Callable[[str], bytes]
+    unit: int
+    gram: Callable[[int], int]
+
+
+BYTES = Coding(str.encode, 1, lambda length: GRAM * min(4, max(1, length // (6 * GRAM))))
+WORDS = Coding(word_codes, WIDTH, lambda length: min(8, max(1, length // 6)))
+
+
 def word_spans(text: str, spans: list[tuple[int, int]], words: int, length: int) -> list[tuple[int, int]]:
-    """Spans of word_codes as spans of a text's bytes, in the form of `cut` with `length`: words go with the spaces after them."""
-    # a string that starts within a word's code is no run of words
-    whole = [(-(-a // WIDTH), b // WIDTH) for a, b in spans if -(-a // WIDTH) <= b // WIDTH]
-    if not whole:
+    """Spans of words as spans of a text's bytes, in the form of `cut` with `length`: words go with the spaces after them."""
+    if not spans:
         return []
     raw = np.frombuffer(text.encode(), np.uint8)
     word = ~_SPACE[raw]
     starts = np.append(np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])), len(raw)).tolist()
-    return [(starts[a], starts[b + words] - length) for a, b in whole]
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each place on."""
-    n = len(data) - GRAM + 1
-    word = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data).data, strides=(1,)).astype(np.uint64)
-    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += word[8:]
+    return [(starts[a], starts[b + words] - length) for a, b in spans]
+
+
+def gram_hashes(symbols: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the `gram` symbols from each place on."""
+    n = len(symbols) - gram + 1
+    if symbols.itemsize == 1:
+        parts = np.ndarray((n + gram - 8,), "<u8", np.ascontiguousarray(symbols).data, strides=(1,)).astype(np.uint64)
+        steps = range(0, gram, 8)
+    else:
+        parts, steps = symbols.astype(np.uint64), range(gram)
+    h = np.zeros(n, np.uint64)
+    for k in steps:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += parts[k : k + n]
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
@@ -84,12 +107,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, anchor, first start, last start) of a document's anchors, a segment at a time."""
-    out, width = [], length - GRAM + 1
-    whole = np.frombuffer(data, np.uint8)
-    for a in range(0, max(0, len(data) - length + 1), SEGMENT):
-        h = gram_hashes(whole[a : a + SEGMENT + length - 1])
+def anchors(data: bytes, length: int, coding: Coding = BYTES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram hash, anchor, first start, last start) of the anchors of a document's code, a segment at a time; all in symbols."""
+    gram = coding.gram(length)
+    out, width = [], length - gram + 1
+    whole = np.frombuffer(data, f"<u{coding.unit}")
+    for a in range(0, max(0, len(whole) - length + 1), SEGMENT):
+        h = gram_hashes(whole[a : a + SEGMENT + length - 1], gram)
         places = np.arange(len(h), dtype=np.uint64)
         least = sliding_least(h & ~_LOW | places, width)
         edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
@@ -98,46 +122,55 @@ def anchors(data: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
-def _rows(docs: DataFrame, length: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
+def _rows(docs: DataFrame, length: int, coding: Coding) -> DataFrame:
     """(id, h, gram, region, first, last) of all anchors. h: hash of the text, which tells rows of one id apart."""
+    unit = coding.unit
 
     def run(batches):
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for x, y in blocks(batch, "text"):
                 part = batch.slice(x, y - x)
-                owner, columns = [], ([], [], [], [])
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    data = coded(text) if text else b""
-                    for gram, at, first, last in anchors(data, length) if len(data) >= length else ():
-                        digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
+                owner, columns = [], ([], [], [], [], [])
+                for k, text in enumerate(part.column("text")):
+                    data = coding.code(text.as_py() or "")
+                    for gram, at, first, last in anchors(data, length, coding) if len(data) >= length * unit else ():
+                        view = memoryview(data)
                         # the seed: where the region's strings stand to the anchor
                         seeds = ((at - first) << 20 | (at - last + length)).tolist()
-                        region = [digest(view[a : b + length], s) for a, b, s in zip(first.tolist(), last.tolist(), seeds, strict=True)]
+                        region = [digest(view[a:b], s) for a, b, s in zip((first * unit).tolist(), ((last + length) * unit).tolist(), seeds, strict=True)]
                         owner.append(np.full(len(gram), k))
-                        for c, v in zip(columns, (gram, np.array(region, np.uint64).view(np.int64), first, last), strict=True):
+                        for c, v in zip(columns, (gram, np.array(region, np.uint64).view(np.int64), first, last), strict=False):
                             c.append(v)
                 if owner:
                     took = pa.array(np.concatenate(owner))
                     names = ["gram", "region", "first", "last"]
-                    yield pa.RecordBatch.from_arrays([part.column(c).take(took) for c in ("id", "h")] + [pa.array(np.concatenate(c)) for c in columns], names=["id", "h", *names])
+                    yield pa.RecordBatch.from_arrays([part.column(c).take(took) for c in ("id", "h")] + [pa.array(np.concatenate(c)) for c in columns[:4]], names=["id", "h", *names])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, h bigint, gram bigint, region bigint, first bigint, last bigint")
 
 
-def _regions(docs: DataFrame, wanted: DataFrame, length: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
+def _regions(docs: DataFrame, wanted: DataFrame, length: int, coding: Coding) -> DataFrame:
     """(gram, region, salt, salts, data) of the wanted classes, cut from one document of each."""
+    unit = coding.unit
 
     def run(batches):
+        def table(rows):
+            gram, region, salt, salts, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(region, pa.int64()), pa.array(salt, pa.int32()), pa.array(salts, pa.int32()), pa.array(data, pa.binary())], names=["gram", "region", "salt", "salts", "data"])
+
+        out = []
         for batch in batches:
-            for x, y in blocks(batch, "text"):
-                out = []
-                for text, own in zip(batch.column("text").slice(x, y - x).to_pylist(), batch.column("own").slice(x, y - x).to_pylist(), strict=True):
-                    data = coded(text)
-                    out += [(w["gram"], w["region"], w["salt"], w["salts"], data[w["first"] : w["last"] + length]) for w in own]
-                for a in range(0, len(out), 2000):
-                    gram, region, salt, salts, data = zip(*out[a : a + 2000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(region, pa.int64()), pa.array(salt, pa.int32()), pa.array(salts, pa.int32()), pa.array(data, pa.binary())], names=["gram", "region", "salt", "salts", "data"])
+            for text, own in zip(batch.column("text"), batch.column("own"), strict=True):
+                data = coding.code(text.as_py())
+                for w in own.as_py():
+                    out.append((w["gram"], w["region"], w["salt"], w["salts"], data[w["first"] * unit : (w["last"] + length) * unit]))
+                    if len(out) == 2000:
+                        yield table(out)
+                        out = []
+        if out:
+            yield table(out)
 
     by = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "region", "salt", "salts", "first", "last")).alias("own"))  # a document's own anchors
     # two documents of one id and text hash give a region twice; its class is then one that repeats throughout anyway
@@ -145,90 +178,106 @@ def _regions(docs: DataFrame, wanted: DataFrame, length: int, coded: Callable[[s
     return one.mapInArrow(run, "gram bigint, region bigint, salt int, salts int, data binary")
 
 
-def _searched(regions: DataFrame, length: int) -> DataFrame:
-    """(gram, region, spans, keys): first starts' ranges (from, to) that repeat within the shard and, where a gram is spread
-    over shards, the keys of all its strings."""
+_SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+_FOUND = "gram bigint, region bigint, spans array<struct<a: bigint, b: bigint>>"
+
+
+def _searched(regions: DataFrame, length: int, split: int, coding: Coding) -> DataFrame:
+    """(gram, region, spans): first starts' ranges (from, to) that repeat within the shard. Where a gram is spread over
+    shards, also rows with a bucket: a shard's distinct strings of that bucket in order, as 16-byte keys, with the
+    region and place of each that is single in its shard (place -1 for the others)."""
+    unit = coding.unit
+    wide = length * unit
+    kind = pa.schema([("gram", pa.int64()), ("region", pa.int64()), ("spans", pa.list_(_SPAN)), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "owners", "places")]])
+
+    def keyed(gram, salts, own):
+        # own: (region, data, starts that repeat) of one shard of a gram
+        keys = np.array([xxhash.xxh3_128_digest(data[k : k + wide]) for _, data, _ in own for k in range(0, len(data) - wide + 1, unit)], "S16")
+        counts = [(len(data) - wide) // unit + 1 for _, data, _ in own]
+        owners, places = np.repeat(np.array([r for r, _, _ in own], np.int64), counts), np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
+        known = np.concatenate([np.isin(np.arange(n), starts) for n, (_, _, starts) in zip(counts, own, strict=True)])
+        keys, at = np.unique(keys, return_index=True)
+        owners, places = owners[at], np.where(known[at], -1, places[at]).astype(np.int32)
+        most = 1 + salts * split * (length - coding.gram(length)) // BUCKET_KEYS
+        bucket = (np.frombuffer(keys.astype("S4").tobytes(), ">u4").astype(np.uint64) * np.uint64(most) >> np.uint64(32)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+        for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
+            yield {"gram": gram, "bucket": int(bucket[a]), "keys": keys[a:b].tobytes(), "owners": owners[a:b].tobytes(), "places": places[a:b].tobytes()}
 
     def flush(held):
-        out = []
-        for (gram, region, salts, data), starts in zip(held, repeated([h[3] for h in held], length), strict=True):
-            cut = np.flatnonzero(np.diff(starts) > 1) + 1
-            spans = [(int(p[0]), int(p[-1])) for p in np.split(starts, cut)] if len(starts) else []
-            out.append((gram, region, spans, [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(len(data) - length + 1)] if salts > 1 else []))
-        gram, region, spans, keys = zip(*out, strict=True)
-        span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(region, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(span)), pa.array(keys, pa.list_(pa.binary()))], names=["gram", "region", "spans", "keys"])
+        out, spread = [], {}
+        for (gram, region, salt, salts, data), starts in zip(held, repeated([h[4] for h in held], wide), strict=True):
+            if unit > 1:  # a string that starts within a symbol is none
+                starts = starts[starts % unit == 0] // unit
+            if len(starts):
+                cut = np.flatnonzero(np.diff(starts) > 1) + 1
+                out.append({"gram": gram, "region": region, "spans": [{"a": int(p[0]), "b": int(p[-1])} for p in np.split(starts, cut)]})
+            if salts > 1:
+                spread.setdefault((gram, salt, salts), []).append((region, data, starts))
+        yield pa.RecordBatch.from_pylist(out, kind)
+        for (gram, _, salts), own in spread.items():
+            yield pa.RecordBatch.from_pylist(list(keyed(gram, salts, own)), kind)
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for gram, region, salt, salts, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "salt", "salts", "data")), strict=True):
-                if size >= SHARD_BYTES and (gram, salt) != last:  # rows are in order: a gram's regions stay together
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((gram, region, salts, data))
-                size, last = size + len(data), (gram, salt)
+            for x, y in blocks(batch, "data", 1 << 20):
+                part = batch.slice(x, y - x)
+                for row in zip(*(part.column(c).to_pylist() for c in ("gram", "region", "salt", "salts", "data")), strict=True):
+                    if size >= SHARD_BYTES and (row[0], row[2]) != last:  # rows are in order: a gram's regions stay together
+                        yield from flush(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size, last = size + len(row[4]), (row[0], row[2])
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     dealt = regions.repartition(partitions(regions.sparkSession), "gram", "salt").sortWithinPartitions("gram", "salt")
-    return dealt.mapInArrow(run, "gram bigint, region bigint, spans array<struct<a: bigint, b: bigint>>, keys array<binary>")
+    return dealt.mapInArrow(run, _FOUND + ", bucket int, keys binary, owners binary, places binary")
 
 
 def _merged(spread: DataFrame) -> DataFrame:
-    """(gram, region, spans) of strings that repeat across the shards of a spread gram: the shards' sorted keys, dealt by
-    key, are merged by binary search."""
+    """(gram, region, spans) of strings that repeat across the shards of a spread gram: each shard's sorted keys of a
+    bucket are looked up by binary search in the sorted keys of all shards."""
+
+    def found(gram, runs):
+        keys = [np.frombuffer(k, "S16") for k, _, _ in runs]
+        every = np.sort(np.concatenate(keys), kind="stable")
+        rows = []
+        for own, (_, owners, places) in zip(keys, runs, strict=True):
+            more = np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1  # a shard has a key once
+            places = np.frombuffer(places, np.int32)
+            new = more & (places >= 0)
+            rows += [{"gram": gram, "region": r, "spans": [{"a": p, "b": p}]} for r, p in zip(np.frombuffer(owners, np.int64)[new].tolist(), places[new].tolist(), strict=True)]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("gram", pa.int64()), ("region", pa.int64()), ("spans", pa.list_(_SPAN))]))
 
     def run(batches):
-        def found(gram, own):
-            regions, places, shards = [], [], {}
-            for region, place, key, salt in own:
-                shards.setdefault(salt, []).append((key, len(regions)))
-                regions.append(region)
-                places.append(place)
-            hit = np.zeros(len(regions), bool)
-            # a shard's keys in order, as numbers; 64 of the 128 bits are exact enough within one gram and bucket
-            runs = [(np.array([int.from_bytes(k[:8]) for k, _ in p], np.uint64), np.array([i for _, i in p])) for p in map(sorted, shards.values())]
-            for i, (mine, at) in enumerate(runs):
-                for j, (theirs, _) in enumerate(runs):
-                    if i != j:
-                        p = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-                        hit[at[theirs[p] == mine]] = True
-            return [(gram, regions[i], [{"a": places[i], "b": places[i]}]) for i in np.flatnonzero(hit).tolist()]
-
-        def table(rows):
-            gram, region, spans = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(region, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["gram", "region", "spans"])
-
         held, last = [], None
         for batch in batches:
-            for gram, bucket, region, place, key, salt in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "region", "place", "key", "salt")), strict=True):
+            for gram, bucket, *shard in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "keys", "owners", "places")), strict=True):
                 if (gram, bucket) != last:
-                    if held and (rows := found(last[0], held)):
-                        yield table(rows)
+                    if held:
+                        yield found(last[0], held)
                     held, last = [], (gram, bucket)
-                held.append((region, place, key, salt))
-        if held and (rows := found(last[0], held)):
-            yield table(rows)
+                held.append(shard)
+        if held:
+            yield found(last[0], held)
 
-    rows = spread.select("gram", "region", "salt", "salts", F.posexplode("keys").alias("place", "key"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("salts") * 4).cast("int"))
-    dealt = rows.repartition(partitions(spread.sparkSession), "gram", "bucket").sortWithinPartitions("gram", "bucket")
-    return dealt.select("gram", "bucket", "region", F.col("place").cast("bigint").alias("place"), "key", "salt").mapInArrow(run, "gram bigint, region bigint, spans array<struct<a: bigint, b: bigint>>")
+    dealt = spread.select("gram", "bucket", "keys", "owners", "places").repartition(partitions(spread.sparkSession), "gram", "bucket").sortWithinPartitions("gram", "bucket")
+    return dealt.mapInArrow(run, _FOUND)
 
 
-def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
-    """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings of its code."""
-    rows = stored(_rows(docs, length, coded), "anchors")
+def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coding: Coding = BYTES) -> DataFrame:
+    """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings of so many symbols."""
+    rows = stored(_rows(docs, length, coding), "anchors")
     classes = rows.groupBy("gram", "region").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
     grams = classes.groupBy("gram").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("m") == 1).alias("open")).where("total > 1")
     kept = stored(classes.join(grams, "gram").select("gram", "region", "m", "kinds", "open", "at.*"), "classes")
     salts = F.ceil(F.col("kinds") / split).cast("int")
     # where each region of a gram occurs twice, nothing is open
     wanted = kept.where("kinds > 1 AND open > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int"))
-    searched = stored(_searched(_regions(docs, wanted, length, coded), length), "searched")
-    spread = searched.where(F.size("keys") > 0).join(wanted.where("salts > 1").select("gram", "region", "salt", "salts"), ["gram", "region"])
-    parts = searched.where(F.size("spans") > 0).select("gram", "region", "spans").unionByName(_merged(spread))
+    searched = stored(_searched(_regions(docs, wanted, length, coding), length, split, coding), "searched")
+    parts = searched.where("region IS NOT NULL").select("gram", "region", "spans").unionByName(_merged(searched.where("bucket IS NOT NULL")))
     once = parts.join(kept.where("m = 1").select("gram", "region"), ["gram", "region"])
     many = kept.where("m > 1").select("gram", "region", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("last") - F.col("first")).alias("b"))).alias("spans"))
     found = rows.join(once.unionByName(many), ["gram", "region"]).select("id", "h", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
@@ -250,54 +299,67 @@ def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join(left), removed, runs
 
 
-def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int | None = None) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and, with `carry`, a struct `carried` of those columns and kept_text.
+def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int | None = None, keep: bool = True) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, with `carry` a struct `carried` of those columns, and with `keep` kept_bytes and kept_text.
 
     Strings are judged on the input, within a document as well as between documents; rows of one id,
     repeated rows and null ids are documents like any other. Null and empty texts have nothing to
-    remove. kept_bytes may hold parts of characters that a cut splits; kept_text is without them. With `words`, each run of so many words
-    (whatever spaces are between) that occurs more than once goes too, both judged on the input.
+    remove; a very long text is worked through a segment at a time and judged whole. kept_bytes may hold parts of
+    characters that a cut splits; kept_text is without them, and null for a null text. With `words`, kept_text also
+    loses each run of so many words (whatever spaces are between) that occurs more than once, judged on the input too;
+    the other columns don't follow those runs. Columns of docs keep apart from those made here, whatever their names.
     """
     if length <= GRAM:
         raise ValueError(f"length: more than {GRAM}")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
-    spans = repeat_spans(rows.select("id", "h", "text"), length, split)
+    if words is not None and words < 2:
+        raise ValueError("words: 2 at least")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
+    judged = rows.where("text IS NOT NULL").select("id", "h", "text")
+    spans = repeat_spans(judged, length, split)
     if words:
-        if words * WIDTH <= GRAM:
-            raise ValueError(f"words: more than {GRAM // WIDTH}")
-        runs = repeat_spans(rows.select("id", "h", "text"), words * WIDTH, split, word_codes).select("id", "h", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.col("spans").alias("runs"))
-        both = spans.withColumn("runs", F.lit(None).cast(spans.schema["spans"].dataType)).unionByName(runs)
+        none = F.lit(None).cast(spans.schema["spans"].dataType)
+        runs = repeat_spans(judged, words, split, WORDS).select("id", "h", none.alias("spans"), F.col("spans").alias("runs"))
+        both = spans.withColumn("runs", none).unionByName(runs)
         spans = both.groupBy("id", "h").agg(F.max("spans").alias("spans"), F.max("runs").alias("runs"))
     joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["h"] == spans["h"]), "left").select(rows["id"], "text", "spans", *(["runs"] if words else []), *(["carried"] if carry else []))
+    kept = ["kept_bytes", "kept_text"] if keep else []
 
     def run(batches):
+        long = lambda v: pa.array(v, pa.int64())
         for batch in batches:
             for x, y in blocks(batch, "text"):
                 part = batch.slice(x, y - x)
                 plain = part.column("text").to_pylist()
-                texts = [t.encode() for t in plain]
+                texts = [(t or "").encode() for t in plain]
                 pairs = lambda column: [[(v["a"], v["b"]) for v in s or ()] for s in part.column(column).to_pylist()]  # noqa: B023, E731
                 gone = pairs("spans")
-                if words:
-                    gone = [s + word_spans(t, r, words, length) for t, s, r in zip(plain, gone, pairs("runs"), strict=True)]
                 done = [cut(t, s, length) for t, s in zip(texts, gone, strict=True)]
-                long = lambda v: pa.array(v, pa.int64())
-                columns = [part.column("id"), long([len(t) for t in texts]), long([d[1] for d in done]), long([d[2] for d in done]), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string()), pa.array([d[0] for d in done], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + ([part.column("carried"), pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())] if carry else []), names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"] + (["carried", "kept_text"] if carry else []))
-
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"
+                columns = [part.column("id"), long([len(t) for t in texts]), long([d[1] for d in done]), long([d[2] for d in done]), pa.array([hashlib.sha256(d[0]).hexdigest() for d in done], pa.string())]
+                if carry:
+                    columns.append(part.column("carried"))
+                if keep:
+                    left = [d[0] for d in done]
+                    columns.append(pa.array(left, pa.binary()))
+                    for k, r in enumerate(pairs("runs") if words else ()):
+                        if r:
+                            left[k] = cut(texts[k], gone[k] + word_spans(plain[k], r, words, length), length)[0]
+                    columns.append(pa.array([None if t is None else t if len(b) == len(raw) else b.decode("utf-8", "ignore") for t, b, raw in zip(plain, left, texts, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["carried"] if carry else []), *kept])
+
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     if carry:
-        schema += f", carried {rows.schema['carried'].dataType.simpleString()}, kept_text string"
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    if keep:
+        schema += ", kept_bytes binary, kept_text string"
     out = joined.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", *(["carried", "kept_text"] if carry else []))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["carried"] if carry else []), *kept)
 
 
 def without_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:
     """The rows with their own columns, repeats (with `words` also runs of so many words) cut from their texts; characters that a cut splits go whole. Null texts stay null."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names)
     own = dict(zip(docs.columns, names, strict=True))
-    out = drop_repeats(renamed, length, id_col=own[id_col], text_col=own[text_col], carry=names, words=words)
-    text = F.when(F.col("n_removed") == 0, F.col(f"carried.{own[text_col]}")).otherwise(F.col("kept_text"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"carried.{own[c]}").alias(c) for c in docs.columns])
+    others = [own[c] for c in docs.columns if c != text_col]
+    out = drop_repeats(docs.toDF(*names), length, id_col=own[id_col], text_col=own[text_col], carry=others, words=words)
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"carried.{own[c]}").alias(c) for c in docs.columns])
