@@ -88,14 +88,15 @@ def quality(docs: DataFrame, host_limit: float = 0.6, id_col: str = "doc_id", te
 
 
 def keep_documents(docs: DataFrame, host_limit: float = 0.6, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that pass, with their own columns: rules are applied as the texts pass by, and rejected hosts are anti-joined.
+    """The rows that pass, with their own columns: texts are judged once, and rejected hosts are anti-joined.
 
-    Only the rejected hosts are joined, stored first so that their size is known to the planner.
+    The judged rows are stored, so that the hosts' rates read two narrow columns of them and no text is judged twice;
+    only the rejected hosts are joined, stored first so that their size is known to the planner. Null, empty and
+    blank texts have no words and go; repeated rows are judged alike; a null host is a host of its own; of
+    an empty table nothing stays. Columns of docs are kept in a struct, so their names may be any.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), host_of(docs, host_col).alias("host"), F.col(f"`{text_col}`").alias("_text"))
-    stats = with_stats(rows.select("host", "_text"), "_text").select("host", "base_failed")
-    bad = stored(host_rates(stats).where(F.col("rate") > host_limit).select(F.col("host").alias("_bad")), "rejected-hosts")
-    # the row number keeps Catalyst from pushing the filter below the arrays, which would compute them anew for each word
-    judged = with_stats(rows, "_text").select("_row", "host", "base_failed", F.monotonically_increasing_id().alias("_n"))
-    kept = judged.where(~F.col("base_failed") & (F.col("_n") >= 0)).select("_row", "host")
+    judged = stored(with_stats(rows, "_text").select("_row", "host", "base_failed"), "judged")
+    bad = stored(host_rates(judged.select("host", "base_failed")).where(F.col("rate") > host_limit).select(F.col("host").alias("_bad")), "rejected-hosts")
+    kept = judged.where(~F.col("base_failed")).select("_row", "host")
     return kept.join(bad, F.col("host").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
