@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.bpe import Chunks, chunk_lists, ids_by_scan, vocabulary
-from tessera.llm.common import blocks, texts_of, with_columns
+from tessera.llm.common import arrow_map, blocks, texts_of, with_columns
 
 #: Chunks that a worker remembers.
 CACHE = 400_000
@@ -73,5 +73,5 @@ def bpe_codec(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids binary, decoded string" if keep else ""
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    out = arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnRenamed("id", id_col)

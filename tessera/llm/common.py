@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +74,30 @@ def with_columns(batch, names: list[str], extra: list[tuple[str, object]]):
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [a for _, a in extra], names=names + [n for n, _ in extra])
 
 
+def release_memory() -> None:
+    """Give what this process has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), after whose tasks a worker gives its memory back: idle workers stay beside the next stage's."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def quiet_tokenizers() -> None:
     """One thread for each task: Spark already runs a task on each core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

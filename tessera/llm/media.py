@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import blocks, texts_of
+from tessera.llm.common import arrow_map, blocks, texts_of
 
 SIDE = 32
 SAMPLES = SIDE * SIDE
@@ -338,7 +338,7 @@ def media(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(files, pa.binary())] if keep else []), names=names + (["media"] if keep else []))
 
     schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<clip: int, first_frame: int, last_frame: int, start_s: double, end_s: double>>" + (", media binary" if keep else "")
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, schema).withColumnRenamed("id", id_col)
 
 
 def store_all(texts: list[bytes]) -> list[bytes]:

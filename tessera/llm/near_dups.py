@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, stored, texts_of
+from tessera.llm.common import arrow_map, blocks, stored, texts_of
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -166,7 +166,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[sizes > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), flat], names=["id", "node", "keys"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node binary, keys array<bigint>")
+    return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, node binary, keys array<bigint>")
 
 
 def _unit_arrays(texts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _unit_arrays(texts: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o) for o in own])]), pa.int32()), pa.array(np.concatenate(own) if own else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("node"), flat], names=["node", "units"])
 
-    return texts.mapInArrow(run, "node binary, units array<int>")
+    return arrow_map(texts, run, "node binary, units array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:

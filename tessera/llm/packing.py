@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import blocks
+from tessera.llm.common import arrow_map, blocks
 from tessera.llm.library_ids import library_ids
 
 #: Combinations of three lengths are enumerated where the shortest is a multiple of this.
@@ -183,5 +183,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
         if rows := packer.finish():
             yield table(rows)
 
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep)
+    out = arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * keep)
     return out.withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blocks, partitions, stored
+from tessera.llm.common import arrow_map, blocks, partitions, stored
 from tessera.llm.near_dups import _SPACE, word_hashes
 from tessera.llm.suffix_array import repeated
 
@@ -43,7 +43,7 @@ SHARD_BYTES = 1 << 15
 #: Regions of one gram in one shard.
 SPLIT = 512
 #: Keys that are merged at once where a gram's regions are spread.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 18
 #: Bytes of a word's hash.
 WIDTH = 4
 _LOW = np.uint64((1 << 24) - 1)
@@ -148,7 +148,7 @@ def _rows(docs: DataFrame, length: int, coding: Coding) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(c).take(took) for c in ("id", "h")] + [pa.array(np.concatenate(c)) for c in columns[:4]], names=["id", "h", *names])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h bigint, gram bigint, region bigint, first bigint, last bigint")
+    return arrow_map(docs, run, f"id {kind}, h bigint, gram bigint, region bigint, first bigint, last bigint")
 
 
 def _regions(docs: DataFrame, wanted: DataFrame, length: int, coding: Coding) -> DataFrame:
@@ -175,7 +175,7 @@ def _regions(docs: DataFrame, wanted: DataFrame, length: int, coding: Coding) ->
     by = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "region", "salt", "salts", "first", "last")).alias("own"))  # a document's own anchors
     # two documents of one id and text hash give a region twice; its class is then one that repeats throughout anyway
     one = docs.join(by, docs["id"].eqNullSafe(by["id"]) & (docs["h"] == by["h"])).select("text", "own")
-    return one.mapInArrow(run, "gram bigint, region bigint, salt int, salts int, data binary")
+    return arrow_map(one, run, "gram bigint, region bigint, salt int, salts int, data binary")
 
 
 _SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -233,7 +233,7 @@ def _searched(regions: DataFrame, length: int, split: int, coding: Coding) -> Da
             yield from flush(held)
 
     dealt = regions.repartition(partitions(regions.sparkSession), "gram", "salt").sortWithinPartitions("gram", "salt")
-    return dealt.mapInArrow(run, _FOUND + ", bucket int, keys binary, owners binary, places binary")
+    return arrow_map(dealt, run, _FOUND + ", bucket int, keys binary, owners binary, places binary")
 
 
 def _merged(spread: DataFrame) -> DataFrame:
@@ -243,13 +243,23 @@ def _merged(spread: DataFrame) -> DataFrame:
     def found(gram, runs):
         keys = [np.frombuffer(k, "S16") for k, _, _ in runs]
         every = np.sort(np.concatenate(keys), kind="stable")
-        rows = []
-        for own, (_, owners, places) in zip(keys, runs, strict=True):
+        owners, places = [], []
+        for own, (_, owner, place) in zip(keys, runs, strict=True):
             more = np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1  # a shard has a key once
-            places = np.frombuffer(places, np.int32)
-            new = more & (places >= 0)
-            rows += [{"gram": gram, "region": r, "spans": [{"a": p, "b": p}]} for r, p in zip(np.frombuffer(owners, np.int64)[new].tolist(), places[new].tolist(), strict=True)]
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("gram", pa.int64()), ("region", pa.int64()), ("spans", pa.list_(_SPAN))]))
+            place = np.frombuffer(place, np.int32)
+            new = more & (place >= 0)
+            owners.append(np.frombuffer(owner, np.int64)[new])
+            places.append(place[new].astype(np.int64))
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        by = np.lexsort((place, owner))
+        owner, place = owner[by], place[by]
+        # neighbouring places of a region are one range of starts
+        edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)])) if len(owner) else np.zeros(0, np.int64)
+        last = np.append(edge[1:], len(owner)) - 1
+        for i in range(0, len(edge), 4096):
+            e, f = edge[i : i + 4096], last[i : i + 4096]
+            spans = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1), pa.int32()), pa.StructArray.from_arrays([pa.array(place[e]), pa.array(place[f])], names=["a", "b"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), gram)), pa.array(owner[e]), spans], names=["gram", "region", "spans"])
 
     def run(batches):
         held, last = [], None
@@ -257,14 +267,14 @@ def _merged(spread: DataFrame) -> DataFrame:
             for gram, bucket, *shard in zip(*(batch.column(c).to_pylist() for c in ("gram", "bucket", "keys", "owners", "places")), strict=True):
                 if (gram, bucket) != last:
                     if held:
-                        yield found(last[0], held)
+                        yield from found(last[0], held)
                     held, last = [], (gram, bucket)
                 held.append(shard)
         if held:
-            yield found(last[0], held)
+            yield from found(last[0], held)
 
     dealt = spread.select("gram", "bucket", "keys", "owners", "places").repartition(partitions(spread.sparkSession), "gram", "bucket").sortWithinPartitions("gram", "bucket")
-    return dealt.mapInArrow(run, _FOUND)
+    return arrow_map(dealt, run, _FOUND)
 
 
 def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coding: Coding = BYTES) -> DataFrame:
@@ -352,7 +362,7 @@ def drop_repeats(docs: DataFrame, length: int = 400, split: int = SPLIT, id_col:
         schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
     if keep:
         schema += ", kept_bytes binary, kept_text string"
-    out = joined.mapInArrow(run, schema)
+    out = arrow_map(joined, run, schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["carried"] if carry else []), *kept)
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.bpe import Chunks, chunk_lists, count_by_heap, vocabulary
-from tessera.llm.common import blocks, texts_of, with_columns
+from tessera.llm.common import arrow_map, blocks, texts_of, with_columns
 
 #: Chunks that a worker remembers.
 CACHE = 700_000
@@ -48,5 +48,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
                 yield with_columns(part, ["id"], [("n_bytes", pa.array(sizes, pa.int64())), ("n_tokens", pa.array(n, pa.int64())), ("over_limit", pa.array([x > limit for x in n]))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import blocks, partitions, stored
+from tessera.llm.common import arrow_map, blocks, partitions, stored
 from tessera.llm.library_ids import library_ids
 
 MAGIC = b"WVMX0001"
@@ -194,7 +194,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 
     rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return stored(rows.mapInArrow(run, "part int, shard int, n_docs bigint, n_tokens bigint, file binary"), "wavelet").withMetadata("file", {"id_type": kind})
+    return stored(arrow_map(rows, run, "part int, shard int, n_docs bigint, n_tokens bigint, file binary"), "wavelet").withMetadata("file", {"id_type": kind})
 
 
 def read_shards(shards: DataFrame, id_col: str = "doc_id", keep: bool = True) -> DataFrame:
@@ -222,5 +222,5 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id", keep: bool = True) ->
                 for a in range(0, n, 2000):
                     yield pa.RecordBatch.from_arrays([x.slice(a, 2000) for x in columns], names=["id", "part", "shard", "at", "n_tokens", "ids_crc32", *(["ids"] if keep else [])])
 
-    read = shards.select("part", "shard", "file").mapInArrow(run, f"id {kind}, part int, shard int, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep)
+    read = arrow_map(shards.select("part", "shard", "file"), run, f"id {kind}, part int, shard int, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep)
     return read.join(starts, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if keep else []))
