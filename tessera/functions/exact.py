@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.geometry import bound
+
 #: Lengths are whole multiples of a millionth.
 UNIT = 1_000_000
 _BIG = "decimal(38,0)"
@@ -19,17 +21,32 @@ def micro(length: Column) -> Column:
     return (length.cast("decimal(20,6)") * UNIT).cast(_BIG)
 
 
+def _steps(a: Column, b: Column) -> Column:
+    """As many steps as Euclid's algorithm can need for the smaller number, and one to bring the larger to the front."""
+    return F.sequence(F.lit(1), (F.log2(F.least(F.abs(a), F.abs(b)).cast("double") + 1) * 1.45).cast("int") + 3)
+
+
+def _euclid(a: Column, b: Column, kind: str) -> Column:
+    start = F.struct(F.abs(a).cast(kind).alias("x"), F.abs(b).cast(kind).alias("y"))
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1).cast(kind)).otherwise(s["y"])).cast(kind).alias("y")))
+    return F.aggregate(_steps(a, b), start, step)["x"]
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of whole decimals by Euclid's steps."""
-    start = F.struct(F.abs(a).cast(_BIG).alias("x"), F.abs(b).cast(_BIG).alias("y"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, F.lit(1).cast(_BIG)).otherwise(s["y"])).cast(_BIG).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["x"]
+    return _euclid(a, b, _BIG)
+
+
+def gcd_long(a: Column, b: Column) -> Column:
+    """Greatest common divisor of whole numbers of 64 bits."""
+    return _euclid(a, b, "bigint")
 
 
 def term(basis: Column, num: Column, den: Column) -> Column:
-    """A term in lowest terms."""
-    g = F.greatest(gcd(num, den), F.lit(1).cast(_BIG))
-    return F.struct(basis.alias("basis"), (num / g).cast(_BIG).alias("num"), (den / g).cast(_BIG).alias("den"))
+    """A term in lowest terms. A denominator that divides its numerator, as whole lengths give, needs no steps."""
+    g = F.when(num % den == 0, F.abs(den)).otherwise(F.greatest(gcd(num, den), F.lit(1).cast(_BIG)))
+    of = F.struct(basis.alias("basis"), num.alias("num"), den.alias("den"), g.alias("g"))
+    return bound(of, lambda t: F.struct(t["basis"].alias("basis"), (t["num"] / t["g"]).cast(_BIG).alias("num"), (t["den"] / t["g"]).cast(_BIG).alias("den")))
 
 
 def _terms(table: dict, k: Column, square: Column, other: Column, den: int, sign: int) -> Column:
@@ -60,23 +77,23 @@ def rational_term(num: Column, den: Column) -> Column:
 
 def summed(*parts: Column) -> Column:
     """One term for each basis that doesn't cancel, in lowest terms and in the order of bases; the rational one last."""
-    terms = F.concat(*parts)
-    bases = F.array_sort(F.array_distinct(F.transform(terms, lambda t: t["basis"])))
     zero = F.struct(F.lit(0).cast(_BIG).alias("num"), F.lit(1).cast(_BIG).alias("den"))
 
     def add(s: Column, t: Column) -> Column:
-        # denominators are multiples of one another's units, so the greater one of two bounds the sum
-        num, den = s["num"] * t["den"] + t["num"] * s["den"], s["den"] * t["den"]
-        same = s["den"] == t["den"]
-        return F.struct(F.when(same, s["num"] + t["num"]).otherwise(num).cast(_BIG).alias("num"), F.when(same, s["den"]).otherwise(den).cast(_BIG).alias("den"))
-
-    def total(b: Column) -> Column:
-        own = F.transform(F.filter(terms, lambda t: t["basis"] == b), lambda t: term(b, t["num"], t["den"]))
-        s = F.aggregate(F.transform(own, lambda t: F.struct(t["num"].alias("num"), t["den"].alias("den"))), zero, add)
-        return term(b, s["num"], s["den"])
-
-    found = F.filter(F.transform(bases, total), lambda t: t["num"] != 0)
-    return F.concat(F.filter(found, lambda t: t["basis"] != "1"), F.filter(found, lambda t: t["basis"] == "1"))
+        # denominators are mostly multiples of one another, so the greater one is common to both
+        sum_of = lambda num, den: F.struct(num.cast(_BIG).alias("num"), den.cast(_BIG).alias("den"))
+        whole = lambda a, b: (a / b).cast(_BIG)
+        return (
+            F.when(s["den"] == t["den"], sum_of(s["num"] + t["num"], s["den"])).when(t["den"] % s["den"] == 0, sum_of(s["num"] * whole(t["den"], s["den"]) + t["num"], t["den"]))
+            .when(s["den"] % t["den"] == 0, sum_of(s["num"] + t["num"] * whole(s["den"], t["den"]), s["den"])).otherwise(sum_of(s["num"] * t["den"] + t["num"] * s["den"], s["den"] * t["den"]))
+        )
+
+    def totals(terms: Column) -> Column:
+        bases = F.array_sort(F.array_distinct(F.transform(terms, lambda t: t["basis"])))
+        total = lambda b: bound(F.aggregate(F.filter(terms, lambda t: t["basis"] == b), zero, add), lambda s: term(b, s["num"], s["den"]))
+        return F.filter(F.transform(bases, total), lambda t: t["num"] != 0)
+
+    return bound(bound(F.concat(*parts), totals), lambda found: F.concat(F.filter(found, lambda t: t["basis"] != "1"), F.filter(found, lambda t: t["basis"] == "1")))
 
 
 def as_text(terms: Column) -> Column:

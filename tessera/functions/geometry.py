@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it: lambdas compute what they name each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def area_regular(k: Column, side: Column) -> Column:
     """Area of a regular k-gon."""
     return k / 4 * side * side * F.cot(F.pi() / k)
@@ -21,8 +28,9 @@ def circumradius(k: Column, side: Column) -> Column:
 
 def regular_vertices(k: Column, side: Column) -> Column:
     """Corners counter-clockwise around the origin, the first edge flat at the bottom."""
-    r, start = circumradius(k, side), F.pi() / k - F.pi() / 2
-    return F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda i: F.array(r * F.cos(start + i * 2 * F.pi() / k), r * F.sin(start + i * 2 * F.pi() / k)))
+    of = F.struct(circumradius(k, side).alias("r"), (F.pi() / k - F.pi() / 2).alias("start"), k.alias("k"))
+    corner = lambda c, t: F.array(c["r"] * F.cos(t), c["r"] * F.sin(t))
+    return bound(of, lambda c: F.transform(F.sequence(F.lit(0), c["k"].cast("int") - 1), lambda i: corner(c, c["start"] + i * 2 * F.pi() / c["k"])))
 
 
 def _next(points: Column, i: Column, by: int = 1) -> Column:
@@ -31,11 +39,11 @@ def _next(points: Column, i: Column, by: int = 1) -> Column:
 
 def edges(points: Column) -> Column:
     """Each corner with the next one, around."""
-    return F.transform(points, lambda p, i: F.struct(p.alias("a"), _next(points, i).alias("b")))
+    return bound(points, lambda own: F.transform(own, lambda p, i: F.struct(p.alias("a"), _next(own, i).alias("b"))))
 
 
 def twice_signed_area(points: Column) -> Column:
-    return F.aggregate(F.transform(points, lambda p, i: p[0] * _next(points, i)[1] - _next(points, i)[0] * p[1]), F.lit(0).cast("double"), lambda a, x: a + x)
+    return F.aggregate(F.transform(edges(points), lambda e: e["a"][0] * e["b"][1] - e["b"][0] * e["a"][1]), F.lit(0).cast("double"), lambda a, x: a + x)
 
 
 def shoelace(points: Column) -> Column:
@@ -53,17 +61,17 @@ def cross(o: Column, a: Column, b: Column) -> Column:
 
 def contains_all(outer: Column, inner: Column, tolerance: Column) -> Column:
     """Whether all inner points are left of or on each edge of the outer, counter-clockwise convex polygon."""
-    return ~F.exists(edges(outer), lambda e: F.exists(inner, lambda p: cross(e["a"], e["b"], p) < -tolerance))
+    both = F.struct(edges(outer).alias("edges"), inner.alias("points"), tolerance.alias("most"))
+    return bound(both, lambda x: ~F.exists(x["edges"], lambda e: F.exists(x["points"], lambda p: cross(e["a"], e["b"], p) < -x["most"])))
 
 
 def turns(points: Column) -> Column:
-    return F.transform(points, lambda p, i: cross(p, _next(points, i), _next(points, i, 2)))
+    return bound(points, lambda own: F.transform(own, lambda p, i: cross(p, _next(own, i), _next(own, i, 2))))
 
 
 def is_convex(points: Column) -> Column:
     """All turns to one side, none straight."""
-    t = turns(points)
-    return F.forall(t, lambda x: x > 0) | F.forall(t, lambda x: x < 0)
+    return bound(turns(points), lambda t: F.forall(t, lambda x: x > 0) | F.forall(t, lambda x: x < 0))
 
 
 def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -78,18 +86,22 @@ def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def is_simple(points: Column) -> Column:
     """A closed outline with an area, no edge doubling back, and no two edges meeting that aren't neighbours."""
-    n = F.size(points)
 
-    def doubles_back(i: Column) -> Column:
-        p, q, r = F.get(points, i), _next(points, i), _next(points, i, 2)
-        return (cross(p, q, r) == 0) & ((q[0] - p[0]) * (r[0] - q[0]) + (q[1] - p[1]) * (r[1] - q[1]) < 0)
+    def simple(own: Column) -> Column:
+        n = F.size(own)
+
+        def doubles_back(i: Column) -> Column:
+            p, q, r = F.get(own, i), _next(own, i), _next(own, i, 2)
+            return (cross(p, q, r) == 0) & ((q[0] - p[0]) * (r[0] - q[0]) + (q[1] - p[1]) * (r[1] - q[1]) < 0)
+
+        def meets_later(i: Column) -> Column:
+            later = F.when(i + 2 < n, F.sequence(i + 2, n - 1)).otherwise(F.array().cast("array<int>"))
+            return F.exists(later, lambda j: ~((i == 0) & (j == n - 1)) & segments_meet(F.get(own, i), _next(own, i), F.get(own, j), _next(own, j)))
 
-    def meets_later(i: Column) -> Column:
-        later = F.when(i + 2 < n, F.sequence(i + 2, n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(later, lambda j: ~((i == 0) & (j == n - 1)) & segments_meet(F.get(points, i), _next(points, i), F.get(points, j), _next(points, j)))
+        places = F.sequence(F.lit(0), n - 1)
+        return (twice_signed_area(own) != 0) & ~F.exists(places, doubles_back) & ~F.exists(places, meets_later)
 
-    places = F.sequence(F.lit(0), n - 1)
-    return (twice_signed_area(points) != 0) & ~F.exists(places, doubles_back) & ~F.exists(places, meets_later)
+    return bound(points, simple)
 
 
 #: A circle is measured as the polygon of so many corners on it.

@@ -94,10 +94,25 @@ def record(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(k, F.lit(None)).cast(v).alias(k) for k, v in FIELDS.items()])
 
 
+def image_path(problem_id: Column, root: str = "") -> Column:
+    """Where a problem's figure is: images/<id>.png, below `root` where one is given; forward slashes."""
+    return F.concat(F.lit(f"{root.rstrip('/')}/images/" if root else "images/"), problem_id, F.lit(".png"))
+
+
+def with_images(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """Records with their figures, images(problem_id, image), by problem_id; null where there is none."""
+    return rows.join(images.select("problem_id", "image"), "problem_id", "left")
+
+
+def params_map(params: Column) -> Column:
+    """A record's parameters as a map of JSON texts, empty where it has none."""
+    return F.coalesce(F.from_json(params, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def generated(df: DataFrame, family: Column, params: Column, seed: Column, problem_id: Column) -> DataFrame:
     """Generated records of solved rows."""
     return record(
-        df, problem_id=problem_id, family=family, category=F.lit(1), stem=F.col("stem"), image_path=F.concat(F.lit("images/"), problem_id, F.lit(".png")), answer_exact=F.col("answer_exact"),
+        df, problem_id=problem_id, family=family, category=F.lit(1), stem=F.col("stem"), image_path=image_path(problem_id), answer_exact=F.col("answer_exact"),
         answer_decimal=F.col("answer_decimal"), origin=F.lit("generated"), seed=seed, params=params, signature=F.col("signature"), generator_version=F.lit(__version__),
     )
 

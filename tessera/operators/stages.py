@@ -1,33 +1,65 @@
-"""The dataflow's stages: judge, sign, solve, measure. Each adds columns; rejected rows stay rows until a caller drops them."""
+"""The dataflow's stages: judge, sign, solve, measure. Each adds columns; rejected rows stay rows until a caller drops them.
+
+Tables of draws hold few distinct parameter sets (a family with a space has no more than that), so
+`sets` comes first where a query needs no single draw: what follows is then done once for each set.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import exact
-from tessera.operators.families import GEOMETRY, READABILITY, Family, collected
+from tessera.functions import spec as S
+from tessera.functions.regions import measured_spec
+from tessera.operators.families import GEOMETRY, READABILITY, Family, reason_key  # noqa: F401  reason_key is part of this interface
 
 STRAIGHT, CURVED = 1e-9, 1e-4
 
 
+def sets(df: DataFrame, family: Family, order: list[str] | None = None) -> DataFrame:
+    """Each distinct parameter set: draws, how many rows have it, and with an order `first`, the least of its rows in it.
+
+    Aggregated before the shuffle, so a set that a third of the rows share is one row of each task.
+    """
+    out = [F.count("*").alias("draws")]
+    if order:
+        out.append(F.min(F.col(order[0]) if len(order) == 1 else F.struct(*order)).alias("first"))
+    return df.groupBy(*family.params).agg(*out)
+
+
 def judge(df: DataFrame, family: Family) -> DataFrame:
-    """issues; reject_reason (the first issue); blocking (the first geometry issue); warnings (readability before it)."""
-    df = df.withColumn("issues", collected(family.checks(family.columns(df))))
+    """reject_code (place of the first check that holds, null if none does), reject_reason and reject_key of it;
+    blocking (the reason of the first geometry issue); warnings (reasons of readability issues before it); issues.
+
+    Checks are flags first; text is made for the check that a caller asks about, and only if its column is read.
+    """
+    checks = family.checks(family.columns(df))
+    flags = [f"_flag{i}" for i in range(len(checks))]
+    df = df.withColumns({f: F.coalesce(c.when, F.lit(False)) for f, c in zip(flags, checks, strict=True)})
+    none = F.lit(None).cast("int")
+    first = lambda kinds: F.coalesce(*[F.when(F.col(f), F.lit(i)) for i, (f, c) in enumerate(zip(flags, checks, strict=True)) if c.severity in kinds], none)
+    df = df.withColumns({"reject_code": first((GEOMETRY, READABILITY)), "_block": first((GEOMETRY,))})
+
+    def of(code: Column, what: str) -> Column:
+        out = F.lit(None).cast("string")
+        for i, c in enumerate(checks):
+            out = F.when(code == i, getattr(c, what)).otherwise(out)
+        return out
+
+    shown = lambda i: F.col(flags[i]) & (F.col("_block").isNull() | (F.col("_block") >= i))
+    issues = [F.when(shown(i), F.struct(F.lit(i).alias("ord"), F.lit(c.severity).alias("severity"), c.reason.alias("reason"))) for i, c in enumerate(checks)]
+    warned = [F.when(shown(i), c.reason) for i, c in enumerate(checks) if c.severity == READABILITY]
     return df.withColumns(
         {
-            "reject_reason": F.get("issues", F.lit(0))["reason"],
-            "blocking": F.get(F.filter("issues", lambda x: x["severity"] == GEOMETRY), F.lit(0))["reason"],
-            "warnings": F.transform(F.filter("issues", lambda x: x["severity"] == READABILITY), lambda x: x["reason"]),
+            "reject_reason": of(F.col("reject_code"), "reason"),
+            "reject_key": of(F.col("reject_code"), "key"),
+            "blocking": of(F.col("_block"), "reason"),
+            "blocking_key": of(F.col("_block"), "key"),
+            "warnings": F.array_compact(F.array(*warned)) if warned else F.array().cast("array<string>"),
+            "issues": F.array_compact(F.array(*issues)),
         }
-    )
-
-
-def reason_key(reason: Column) -> Column:
-    """A reason without its measurements: up to the first parenthesis, without words that hold a digit."""
-    words = F.filter(F.split(F.trim(F.split_part(reason, F.lit("("), F.lit(1))), r"\s+"), lambda w: ~w.rlike("[0-9]"))
-    return F.array_join(words, " ")
+    ).drop(*flags, "_block")
 
 
 def payload(family: Family, precision: int = 6) -> Column:
@@ -46,6 +78,33 @@ def payload(family: Family, precision: int = 6) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
+def variant_payload(value: str, precision: int = 6) -> Column:
+    """The canonical text of any JSON value given as the text column `value`: true, false, numbers, strings, null and lists are told apart by tags.
+
+    An object is a list of [key, value] in the order of its keys; lists may hold lists of scalars. Text that isn't JSON gives null.
+    """
+
+    def scalar(raw: Column) -> Column:
+        text = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]
+        places = F.round(raw.cast("decimal(38,10)"), precision).cast(f"decimal(38,{precision})").cast("string")
+        return (
+            F.when(raw == "null", '["z",null]').when(raw.isin("true", "false"), F.concat(F.lit('["b",'), raw, F.lit("]")))
+            .when(raw.startswith('"'), F.concat(F.lit('["s",'), F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("]")))
+            .otherwise(F.concat(F.lit('["n","'), places, F.lit('"]')))
+        )
+
+    items = lambda raw: F.expr("NULL").cast("array<string>") if raw is None else F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<variant>")  # noqa: E731, F841
+    whole = F.expr(f"try_parse_json(`{value}`)")
+    listed = lambda array: F.concat(F.lit('["l",['), F.array_join(array, ","), F.lit("]]"))
+    inner = lambda v: F.transform(v.cast("array<variant>"), lambda x: scalar(F.to_json(x)))
+    any_value = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), listed(inner(v))).otherwise(scalar(F.to_json(v)))
+    member = lambda k, v: F.concat(F.lit("["), F.regexp_extract(F.to_json(F.struct(k.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit(","), any_value(v), F.lit("]"))
+    keyed = F.array_sort(F.transform(F.map_entries(F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole.cast("map<string,variant>"))), lambda e: F.struct(e["key"].alias("key"), member(e["key"], e["value"]).alias("text"))))
+    deep = lambda v: F.transform(v.cast("array<variant>"), any_value)
+    kind = F.schema_of_variant(whole)
+    return F.when(kind.startswith("OBJECT"), F.concat(F.lit("["), F.array_join(F.transform(keyed, lambda e: e["text"]), ","), F.lit("]"))).when(kind.startswith("ARRAY"), listed(deep(whole))).otherwise(scalar(F.to_json(whole)))
+
+
 def sign(df: DataFrame, family: Family, precision: int = 6) -> DataFrame:
     """signature: SHA-256 of the family, a zero byte and the canonical text."""
     return df.withColumn("signature", F.sha2(F.concat(F.lit(family.name), F.lit("\0"), payload(family, precision)), 256))
@@ -66,23 +125,37 @@ def first_of_signature(df: DataFrame, order: list[str], among: Column | None = N
 
 
 def solve(df: DataFrame, family: Family) -> DataFrame:
-    """stem, answer_exact and answer_decimal."""
+    """stem, answer_exact, answer_decimal, and spec, the figure that goes with them."""
     p = family.columns(df)
     df = df.withColumn("_terms", family.terms(p))
-    return df.withColumns({"stem": F.lit(family.stem), "answer_exact": exact.as_text(F.col("_terms")), "answer_decimal": family.decimal(p)}).drop("_terms")
+    return df.withColumns({"stem": F.lit(family.stem), "answer_exact": exact.as_text(F.col("_terms")), "answer_decimal": family.decimal(p), "spec": family.spec(p)}).drop("_terms")
 
 
-def measure(df: DataFrame, family: Family, tolerance: float | None = None) -> DataFrame:
-    """measured: the figure's area from its outline; rel_diff against the answer; verified: below the tolerance."""
-    most = tolerance if tolerance is not None else CURVED if family.curved else STRAIGHT
-    df = df.withColumn("measured", family.measured(family.columns(df)))
+def measure(df: DataFrame, tolerance: float | None = None, general: bool = False) -> DataFrame:
+    """measured: the area of df's figure by its column spec alone; rel_diff against the answer; verified: below the tolerance.
+
+    Figures of one shape, or of a convex polygon less a shape in it, are measured by built-in
+    expressions. Others have no measure and aren't verified, unless `general` sends them through the
+    region measure (Arrow). A figure that can't be built isn't verified either; figure_fault says why.
+    """
+    df = df.withColumn("_regions", S.regions_of(F.col("spec"))).withColumn("measured", S.plain_area(F.col("_regions"))).drop("_regions")
+    if general:
+        df = df.withColumn("_general", measured_spec(F.when(F.col("measured").isNull(), S.as_json(F.col("spec")))))
+        df = df.withColumn("measured", F.coalesce("measured", F.col("_general.measured"))).drop("_general")
     rel = F.abs(F.col("measured") - F.col("answer_decimal")) / F.greatest(F.abs("answer_decimal"), F.lit(1.0))
-    return df.withColumn("rel_diff", rel).withColumn("verified", F.col("rel_diff") < most)
+    most = F.lit(tolerance) if tolerance is not None else F.when(S.has_curve(F.col("spec")), CURVED).otherwise(STRAIGHT)
+    return df.withColumn("rel_diff", rel).withColumn("verified", F.coalesce(F.col("rel_diff") < most, F.lit(False)))
+
+
+def figure_fault(df: DataFrame) -> DataFrame:
+    """fault: the first thing that keeps the figure from being built, null if there is none."""
+    return df.withColumn("fault", S.fault(F.col("spec")))
 
 
 def verified_or_fail(df: DataFrame) -> DataFrame:
     """The same rows; reading one that isn't verified ends the query."""
-    text = F.concat(F.lit("the drawn figure doesn't measure as solved: "), F.col("measured").cast("string"), F.lit(" against "), F.col("answer_decimal").cast("string"))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nothing"))
+    text = F.concat(F.lit("the drawn figure doesn't measure as solved: "), shown("measured"), F.lit(" against "), shown("answer_decimal"))
     return df.withColumn("verified", F.when(F.col("verified"), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 

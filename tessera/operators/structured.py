@@ -4,21 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.answers import plain_fields
 from tessera.operators import families as fam
+from tessera.operators import records
 from tessera.operators import stages as st
+from tessera.operators.ordinals import least_by, numbered
+from tessera.operators.storage import stored
 
 REQUIRED, OPTIONAL = ("input_id", "family", "params", "expected_answer"), ("source", "notes")
 #: Source key -> record field.
 SOURCE_FIELDS = {"site": "source_site", "url": "source_url", "problem_id": "source_problem_id", "original_answer": "original_answer", "retrieved_at": "retrieved_at"}
 
 
+STATUSES = ("emitted", "input_error", "geometry_rejected", "duplicate", "answer_mismatch", "error")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, lines from 1; a hand-entered file is one file, read whole so that its lines keep their numbers."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).select((F.col("line") + 1).cast("long").alias("line"), "value").where(F.col("value").rlike(r"\S"))
+    """(line, value) of a text file's lines that aren't blank, numbered from 1; of a folder, its files' one behind the other.
+
+    Files are split as Spark splits them; lines are numbered by file, by where their split begins, and by place in it.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = numbered(text.select(at.alias("at"), F.regexp_replace("value", "\r$", "").alias("value")), ["at"], "line").select("line", "value").where(F.col("value").rlike(r"\S"))
     if not lines.head(1):
         raise ValueError(f"structured input {path} contains no rows")
     return lines
@@ -54,7 +63,8 @@ def load(lines: DataFrame) -> DataFrame:
     string = lambda path: F.when(_kind(path) == "STRING", get(path))
     df = df.select("line", "value", "v", "keys", string("$.input_id").alias("input_id"), string("$.family").alias("family"), string("$.expected_answer").alias("expected_answer"), F.get_json_object("value", "$.params").alias("params"))
     df = df.withColumn("expected", plain_fields(F.coalesce("expected_answer", F.lit(""))))
-    keys = F.json_object_keys("params")
+    df = df.withColumns({"_param_keys": F.array_sort(F.json_object_keys("params")), "_source": F.get_json_object("value", "$.source")}).withColumn("_source_keys", F.json_object_keys("_source"))
+    keys = F.col("_param_keys")
     family_keys, kind_error = F.lit(None), F.lit(None).cast("string")
     for name in fam.available():
         f = fam.get(name)
@@ -62,7 +72,7 @@ def load(lines: DataFrame) -> DataFrame:
         kind_error = F.when(F.col("family") == name, F.coalesce(*[_param_error(k, t) for k, t in f.params.items()])).otherwise(kind_error)
     unknown, missing = F.array_except("keys", _array(*REQUIRED, *OPTIONAL)), F.array_except(_array(*REQUIRED), F.col("keys"))
     listed = lambda label, a: F.concat(F.lit(label), F.array_join(F.array_sort(a), ", "))
-    source, source_keys = F.get_json_object("value", "$.source"), F.json_object_keys(F.get_json_object("value", "$.source"))
+    source, source_keys = F.col("_source"), F.col("_source_keys")
     has = lambda k: F.array_contains("keys", k)
     bad_source = F.array_except(source_keys, _array(*SOURCE_FIELDS))
     before_id = [
@@ -76,7 +86,7 @@ def load(lines: DataFrame) -> DataFrame:
         (F.col("family").isNull(), "family must be a string"),
         (~F.col("family").isin(*fam.available()), F.concat(F.lit("unknown family "), F.col("family"))),
         (~F.ltrim("params").startswith("{") | F.col("params").isNull(), "params must be a JSON object"),
-        (F.array_sort(keys) != family_keys, listed("params must have exactly the keys ", family_keys)),
+        (keys != family_keys, listed("params must have exactly the keys ", family_keys)),
         (kind_error.isNotNull(), kind_error),
         (F.col("expected_answer").isNull() | ~F.col("expected_answer").rlike(r"\S"), "expected_answer must be a non-empty string"),
         (F.col("expected.error").isNotNull(), F.concat(F.lit("expected_answer: "), F.col("expected.error"))),
@@ -91,36 +101,78 @@ def load(lines: DataFrame) -> DataFrame:
 
     df = df.withColumns({"_a": first(before_id), "_b": first(after_id)})
     sound = F.col("_a").isNull() & F.col("_b").isNull()
-    taken = F.min(F.when(sound, F.col("line"))).over(Window.partitionBy("input_id"))
-    df = df.withColumn("load_error", F.coalesce("_a", F.when(taken < F.col("line"), F.concat(F.lit("duplicate input_id "), F.col("input_id"))), "_b"))
+    df = least_by(df, "input_id", F.col("line"), sound, "_taken")
+    df = df.withColumn("load_error", F.coalesce("_a", F.when(F.col("_taken") < F.col("line"), F.concat(F.lit("duplicate input_id "), F.col("input_id"))), "_b"))
     typed = {}
     for name in fam.available():
         for k, t in fam.get(name).params.items():
             raw = F.get_json_object("params", f"$.{k}")
             typed[k] = F.when(F.col("load_error").isNull(), F.expr(f"try_cast(get_json_object(params, '$.{k}') AS bigint)") if t == "integer" else F.expr(f"try_cast(get_json_object(params, '$.{k}') AS decimal(20,6))") if t == "length" else F.from_json(raw, "array<array<bigint>>"))
-    return df.withColumns(typed).drop("v", "keys", "_a", "_b")
+    return df.withColumns(typed).drop("v", "keys", "_a", "_b", "_taken", "_param_keys", "_source", "_source_keys")
+
+
+def provenance(value: Column) -> dict[str, Column]:
+    """A row's source as record fields, null where a row has none."""
+    return {field: F.get_json_object(value, f"$.source.{key}") for key, field in SOURCE_FIELDS.items()}
 
 
 def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
     """Every row with its status: emitted, input_error, geometry_rejected, duplicate, answer_mismatch or error.
 
     A signature is taken by the first row that would be emitted with it; a row whose answer doesn't match leaves it free.
+    detail: why a row isn't emitted. Loaded rows are stored once and read by each family; source fields come along.
     """
-    loaded = load(lines)
+    loaded = stored(load(lines).withColumns(provenance(F.col("value"))), "loaded")
+    shared = ["line", "input_id", "family", "params", "expected_answer", "load_error", *SOURCE_FIELDS.values()]
     out = None
     for name in fam.available():
         f = fam.get(name)
-        one = st.measure(st.solve(st.sign(st.judge(loaded.where((F.col("family") == name) & F.col("load_error").isNull()), f), f, precision), f), f)
-        one = one.select("line", "input_id", "family", "params", "expected_answer", "load_error", "blocking", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "rel_diff", "verified", F.col("expected.value").alias("expected_value"))
+        own = loaded.where((F.col("family") == name) & F.col("load_error").isNull())
+        one = st.measure(st.solve(st.sign(st.judge(own, f), f, precision), f))
+        one = one.select(*shared, "blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified", F.col("expected.value").alias("expected_value"))
         out = one if out is None else out.unionByName(one)
-    failed = loaded.where("load_error IS NOT NULL").select("line", "input_id", "family", "params", "expected_answer", "load_error")
+    failed = loaded.where("load_error IS NOT NULL").select(*shared)
     df = out.unionByName(failed, allowMissingColumns=True)
-    match = F.abs(F.col("answer_decimal") - F.col("expected_value")) / F.greatest(F.abs("expected_value"), F.lit(1.0)) < 1e-9
+    off = F.abs(F.col("answer_decimal") - F.col("expected_value")) / F.greatest(F.abs("expected_value"), F.lit(1.0))
+    match = off < st.STRAIGHT
     sound = (F.col("answer_decimal") != 0) & ~F.isnan("answer_decimal")
     would = F.coalesce(F.col("load_error").isNull() & F.col("blocking").isNull() & match & sound, F.lit(False))
-    first = F.min(F.when(would, F.col("line"))).over(Window.partitionBy("signature"))
+    df = least_by(df, "signature", F.col("line"), would, "_first")
     status = (
-        F.when(F.col("load_error").isNotNull(), "input_error").when(F.col("blocking").isNotNull(), "geometry_rejected").when(first < F.col("line"), "duplicate")
+        F.when(F.col("load_error").isNotNull(), "input_error").when(F.col("blocking").isNotNull(), "geometry_rejected").when(F.col("_first") < F.col("line"), "duplicate")
         .when(~match, "answer_mismatch").when(~sound, "error").otherwise("emitted")
     )
-    return df.withColumn("status", status).withColumn("reason", F.coalesce("load_error", "blocking"))
+    df = df.withColumn("status", status).withColumn("reason", F.coalesce("load_error", "blocking"))
+    mismatch = F.format_string("computed %s = %s, expected %s = %s", "answer_exact", F.col("answer_decimal").cast("string"), "expected_answer", F.col("expected_value").cast("string"))
+    detail = F.when(F.col("status") == "duplicate", "same family and params as an earlier row").when(F.col("status") == "answer_mismatch", mismatch).when(F.col("status") == "error", "answer_decimal is zero").otherwise(F.col("reason"))
+    return df.withColumn("detail", detail).drop("_first")
+
+
+def emitted_records(found: DataFrame) -> DataFrame:
+    """Manifest records of the rows of `statuses` that are emitted: their own ids, answers and sources. A row whose figure doesn't measure as solved ends the query."""
+    rows = st.verified_or_fail(found.where("status = 'emitted'")).where("verified")
+    own = ("family", "stem", "answer_exact", "answer_decimal", "params", "signature", "expected_answer", *SOURCE_FIELDS.values())
+    return records.record(
+        rows, problem_id=F.col("input_id"), category=F.lit(1), image_path=records.image_path(F.col("input_id")), origin=F.lit("structured"), generator_version=F.lit(records.__version__), **{c: F.col(c) for c in own},
+    )
+
+
+def warning_counts(found: DataFrame) -> DataFrame:
+    """(warning, n, rows): readability warnings by cause, most first."""
+    each = found.select("line", F.explode("warnings").alias("w")).select("line", st.reason_key(F.col("w")).alias("warning"))
+    return each.groupBy("warning").agg(F.count("*").alias("n"), F.min("line").alias("first")).orderBy(F.desc("n"), "first").select("warning", "n")
+
+
+def rejection_counts(found: DataFrame) -> DataFrame:
+    """(cause, n): input errors and geometry rejections by cause, most first; equal counts in the order of their first rows."""
+    bad = found.where("status IN ('input_error', 'geometry_rejected')").select("line", F.coalesce("blocking_key", st.reason_key(F.col("detail"))).alias("cause"))
+    return bad.groupBy("cause").agg(F.count("*").alias("n"), F.min("line").alias("first")).orderBy(F.desc("n"), "first").select("cause", "n")
+
+
+def file_report(found: DataFrame) -> DataFrame:
+    """One row: rows, a count for each status, rows with a readability warning, the worst difference, emissions by family."""
+    emitted = F.col("status") == "emitted"
+    by = found.where(emitted).groupBy("family").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "count")))).alias("by_family"))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    totals = found.agg(F.count("*").alias("requested"), *counts, F.count_if(F.size("warnings") > 0).alias("warned"), F.coalesce(F.max(F.when(emitted, F.col("rel_diff"))), F.lit(0.0)).alias("worst_difference"))
+    return totals.crossJoin(F.broadcast(by))  # one row each

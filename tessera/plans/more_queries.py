@@ -12,7 +12,7 @@ from tessera.functions.regions import measured_spec
 from tessera.operators import families as fam
 from tessera.operators import figure, harvest, records, structured
 from tessera.operators import stages as st
-from tessera.plans.queries import _COMPOSITE, _NESTED, emitted, judged, query
+from tessera.plans.queries import _COMPOSITE, _NESTED, emitted, query
 from tessera.plans.runs import report, run
 from tessera.sources.draws import SAMPLERS, draws
 
@@ -99,7 +99,7 @@ def _structured_lines(spark, sf_dir) -> DataFrame:
     """JSON rows of orders: the derived notched rectangle with its answer, spoiled in some rows."""
     from tessera.sources.derived import composite
 
-    df = composite(spark, sf_dir)
+    df = composite(spark, sf_dir).repartition("o_orderkey")  # few splits of the table make many rows of JSON to parse
     area = F.col("width") * F.col("height") - F.col("notch_w") * F.col("notch_h")
     k = F.col("o_orderkey")
     return df.select(

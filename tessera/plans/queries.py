@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import geometry as G
+from tessera.functions import spec as S
 from tessera.operators import families as fam
 from tessera.operators import stages as st
+from tessera.operators.ordinals import numbered
 from tessera.sources import derived as src
 
 QUERIES: dict = {}
@@ -79,33 +80,49 @@ firsts AS (SELECT *, reason IS NULL AND row_number() OVER (PARTITION BY family,
 _SOURCES = {"nested_polygons": (fam.NESTED, src.nested, src.NESTED_ORDER), "inscribed_circle": (fam.CIRCLE, src.circle, src.CIRCLE_ORDER), "composite_rectilinear": (fam.COMPOSITE, src.composite, src.COMPOSITE_ORDER), "coordinate_polygon": (fam.COORDINATE, src.coordinate, src.COORDINATE_ORDER)}
 
 
-def judged(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    f, make, _ = _SOURCES[family]
-    return st.sign(st.judge(make(spark, sf_dir), f), f)
+def source(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """The derived table of a family: its order's columns and its parameters, and nothing else."""
+    f, make, order = _SOURCES[family]
+    return make(spark, sf_dir).select(*order, *[c for c in f.params if c not in order])
+
+
+def judged_sets(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """Each distinct parameter set of a derived table with its draws, judged and signed."""
+    f = _SOURCES[family][0]
+    return st.sign(st.judge(st.sets(source(spark, sf_dir, family), f), f), f)
 
 
 def emitted(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    """The first row of each valid signature, solved; index: dense in source order (a family has no more valid problems than its space)."""
+    """The first row of each valid signature, solved; index: dense in source order."""
     f, _, order = _SOURCES[family]
-    valid = judged(spark, sf_dir, family).where("reject_reason IS NULL")
-    carried = [c for c in (*order, *f.params) if c in valid.columns]
-    firsts = valid.groupBy("signature").agg(F.min(F.struct(*order, *[c for c in carried if c not in order])).alias("r")).select("signature", "r.*")
-    index = F.row_number().over(Window.orderBy(*order)) - 1
-    return st.solve(firsts.withColumn("index", index.cast("long")), f)
+    valid = st.judge(st.sets(source(spark, sf_dir, family), f, order), f).where("reject_code IS NULL")
+    firsts = st.sign(valid, f).groupBy("signature").agg(F.min_by(F.struct(*f.params), "first").alias("p"), F.min("first").alias("first"))
+    firsts = numbered(firsts, ["first"], "index", 0)
+    return st.solve(firsts.select("signature", "index", "p.*"), f)
+
+
+def ordered(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """A derived table with ord, a draw's number in its family: the order of a run is one sequence by definition."""
+    f, _, order = _SOURCES[family]
+    return numbered(source(spark, sf_dir, family), order).select("ord", *f.params)
+
 
+def first_ords(draws: DataFrame, family: fam.Family) -> DataFrame:
+    """(signature, ord) of the draws that are emitted: the first of each valid signature."""
+    valid = st.judge(st.sets(draws, family, ["ord"]), family).where("reject_code IS NULL")
+    return st.sign(valid, family).groupBy("signature").agg(F.min("first").alias("ord"))
 
-def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All four derived tables as (family, turn, ord, reject_reason, signature, answer_decimal, is_first): a draw each, in order."""
+
+def problems(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The first `most` draws of each derived table as (family, turn, ord, reject_reason, signature, is_first)."""
     out = None
     for turn, name in enumerate(sorted(_SOURCES)):
-        f, _, order = _SOURCES[name]
-        df = st.solve(judged(spark, sf_dir, name), f)
-        # a draw's number in its family: the order of a run is one sequence for each family by definition
-        one = df.select(F.lit(name).alias("family"), F.lit(turn).alias("turn"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("ord"), "reject_reason", "signature", "answer_decimal")
+        f = _SOURCES[name][0]
+        df = st.sign(st.judge(ordered(spark, sf_dir, name).where(F.col("ord") <= most), f), f)
+        df = st.first_of_signature(df, ["ord"], F.col("reject_code").isNull())
+        one = df.select(F.lit(name).alias("family"), F.lit(turn).alias("turn"), "ord", "reject_reason", "signature", "is_first")
         out = one if out is None else out.unionByName(one)
-    valid = F.col("reject_reason").isNull()
-    first = F.row_number().over(Window.partitionBy("family", "signature", valid).orderBy("ord")) == 1
-    return out.withColumn("is_first", valid & first)
+    return out
 
 
 # --- ceilings -------------------------------------------------------------------------------------
@@ -114,7 +131,7 @@ def ceiling(spark: SparkSession, family: fam.Family, precision: int = 6) -> Data
     if family.space is None:
         return spark.createDataFrame([(family.name, None, None)], "family string, raw long, ceiling long")
     df = st.sign(st.judge(family.space(spark), family), family, precision)
-    return df.agg(F.lit(family.name).alias("family"), F.count("*").alias("raw"), F.countDistinct(F.when(F.col("reject_reason").isNull(), F.col("signature"))).alias("ceiling"))
+    return df.agg(F.lit(family.name).alias("family"), F.count("*").alias("raw"), F.countDistinct(F.when(F.col("reject_code").isNull(), F.col("signature"))).alias("ceiling"))
 
 
 @query("""WITH s AS (SELECT n, m, so, si, (si / (2 * sin(pi() / m))) / (so / (2 * tan(pi() / n))) AS r FROM range(4, 13) a(n), range(3, 12) b(m), range(1, 21) c(so), range(1, 21) d(si) WHERE m < n)
@@ -137,8 +154,9 @@ def ceiling_composite(spark, sf_dir):
 # --- funnels --------------------------------------------------------------------------------------
 def funnel(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     """Draws by outcome: accepted or the reason's key, with their share."""
-    df = judged(spark, sf_dir, family).select(F.coalesce(st.reason_key(F.col("reject_reason")), F.lit("accepted")).alias("outcome"), "signature")
-    counts = df.groupBy("outcome").agg(F.count("*").alias("draws"), F.countDistinct("signature").alias("problems"))
+    df = judged_sets(spark, sf_dir, family).select(F.coalesce("reject_key", F.lit("accepted")).alias("outcome"), "signature", "draws")
+    by = df.groupBy("outcome", "signature").agg(F.sum("draws").alias("draws"))
+    counts = by.groupBy("outcome").agg(F.sum("draws").alias("draws"), F.count("*").alias("problems"))
     total = counts.agg(F.sum("draws").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("outcome", "draws", "problems", F.round(F.col("draws") / F.col("total"), 6).alias("share"))
 
@@ -214,36 +232,65 @@ o AS (SELECT d.*, i, so / (2 * sin(pi() / n)) AS r, pi() / n - pi() / 2 + i * 2
 p AS (SELECT o.*, si / (2 * sin(pi() / m)) AS q, pi() / m - pi() / 2 + j * 2 * pi() / m AS v FROM o, range(0, 12) z(j) WHERE j < m)
 SELECT n, m, so AS side_outer, si AS side_inner, NOT bool_or((r*cos(u) - r*cos(t)) * (q*sin(v) - r*sin(t)) - (r*sin(u) - r*sin(t)) * (q*cos(v) - r*cos(t)) < -1e-9 * r * r) AS fits FROM p GROUP BY ALL""")
 def nested_inner_fits(spark, sf_dir):
-    """Containment of each distinct pair of polygons, every corner against every edge."""
+    """Containment of each distinct pair of polygons by one distance; the SQL holds every corner against every edge."""
     df = src.nested(spark, sf_dir).select("n", "m", "side_outer", "side_inner").distinct()
     return df.select("*", fam.inner_fits(fam.NESTED.columns(df)).alias("fits"))
 
 
-def _verify(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    f = _SOURCES[family][0]
-    df = st.measure(emitted(spark, sf_dir, family), f)
+def _verified(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("problems"), F.count_if("verified").alias("verified"), F.round(F.coalesce(F.max("rel_diff"), F.lit(0.0)), 8).alias("worst"))
 
 
+def _verify(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    return _verified(st.measure(emitted(spark, sf_dir, family)))
+
+
 @query(f"""WITH {_CIRCLE}, f AS (SELECT DISTINCT k, side, answer FROM circle_j), g AS (SELECT *, k / 4.0 * side * side / tan(pi() / k) - pow(side / (2 * tan(pi() / k)), 2) * 2048 * sin(2 * pi() / 4096) AS measured FROM f)
 SELECT count(*) AS problems, count(*) FILTER (WHERE abs(measured - answer) / greatest(abs(answer), 1) < 1e-4) AS verified, round(max(abs(measured - answer) / greatest(abs(answer), 1)), 8) AS worst FROM g""")
 def circle_verify(spark, sf_dir):
     return _verify(spark, sf_dir, "inscribed_circle")
 
 
-@query(f"""WITH {_NESTED} SELECT count(DISTINCT signature) AS problems, count(DISTINCT signature) AS verified, CAST(0 AS DOUBLE) AS worst FROM nested_j WHERE reason IS NULL""")
+#: Both outlines' corners in SQL, and their areas by the shoelace sum; corner(label, sides, side).
+_CORNERS = """c AS (SELECT signature, answer, idx, label, i, r * cos(t + i * 2 * pi() / k) AS x, r * sin(t + i * 2 * pi() / k) AS y, r * cos(t + (i + 1) % k * 2 * pi() / k) AS x2, r * sin(t + (i + 1) % k * 2 * pi() / k) AS y2 FROM (
+  SELECT signature, answer, idx, label, k, pi() / k - pi() / 2 AS t, side / (2 * sin(pi() / k)) AS r FROM (SELECT signature, answer, idx, 'outer' AS label, n AS k, side_outer AS side FROM f UNION ALL SELECT signature, answer, idx, 'inner', m, side_inner FROM f)), range(0, 12) e(i) WHERE i < k),
+a AS (SELECT signature, idx, any_value(answer) AS answer, abs(sum(x * y2 - x2 * y) FILTER (WHERE label = 'outer')) / 2 AS big, abs(sum(x * y2 - x2 * y) FILTER (WHERE label = 'inner')) / 2 AS small FROM c GROUP BY 1, 2)"""
+_FIRST_NESTED = "f AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx FROM (SELECT * FROM nested_j WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1))"
+
+
+@query(f"""WITH {_NESTED}, {_FIRST_NESTED}, {_CORNERS}, d AS (SELECT abs(big - small - answer) / greatest(abs(answer), 1) AS rel FROM a)
+SELECT count(*) AS problems, count(*) FILTER (WHERE rel < 1e-9) AS verified, round(max(rel), 8) AS worst FROM d""")
 def nested_verify(spark, sf_dir):
     return _verify(spark, sf_dir, "nested_polygons")
 
 
+@query(f"""WITH {_COMPOSITE}, f AS (SELECT * FROM composite_j WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1),
+e AS (SELECT signature, answer, unnest([[0, 0], [width, 0], [width, height - notch_h], [width - notch_w, height - notch_h], [width - notch_w, height], [0, height]]) AS p, unnest([[width, 0], [width, height - notch_h], [width - notch_w, height - notch_h], [width - notch_w, height], [0, height], [0, 0]]) AS q FROM f),
+a AS (SELECT signature, any_value(answer) AS answer, abs(sum(p[1] * q[2] - q[1] * p[2])) / 2.0 AS area FROM e GROUP BY 1)
+SELECT count(*) AS problems, count(*) FILTER (WHERE abs(area - answer) / greatest(abs(answer), 1) < 1e-9) AS verified, round(max(abs(area - answer) / greatest(abs(answer), 1)), 8) AS worst FROM a""")
+def composite_verify(spark, sf_dir):
+    return _verify(spark, sf_dir, "composite_rectilinear")
+
+
+@query(f"""WITH {_NESTED}, {_FIRST_NESTED}, {_CORNERS}, d AS (SELECT idx % 5 AS spoiled, abs(CASE WHEN idx % 5 = 1 THEN big - small / 4 WHEN idx % 5 = 2 THEN big WHEN idx % 5 = 3 THEN NULL ELSE big - small END - answer) / greatest(abs(answer), 1) AS rel FROM a)
+SELECT CAST(spoiled AS BIGINT) AS spoiled, count(*) AS problems, count(*) FILTER (WHERE rel < 1e-9) AS verified, count(rel) AS measured FROM d GROUP BY 1""")
+def verify_spoiled_figures(spark, sf_dir):
+    """Right parameters and answers, wrong figures: the inner outline shrunk (1), left out of the region (2), or missing (3)."""
+    df = emitted(spark, sf_dir, "nested_polygons").withColumn("spoiled", F.col("index") % 5)
+    half = F.transform("spec", lambda s: F.when(s["id"] == "inner", s.withField("points", F.transform(s["points"], lambda p: F.transform(p, lambda x: x / 2)))).otherwise(s))
+    alone = F.transform("spec", lambda s: F.when(s["kind"] == "region", s.withField("operation", F.lit("union")).withField("of", F.array(F.lit("outer")))).otherwise(s))
+    missing = F.filter("spec", lambda s: ~F.coalesce(s["id"] == "inner", F.lit(False)))
+    df = df.withColumn("spec", F.when(F.col("spoiled") == 1, half).when(F.col("spoiled") == 2, alone).when(F.col("spoiled") == 3, missing).otherwise(F.col("spec")))
+    return st.measure(df).groupBy("spoiled").agg(F.count("*").alias("problems"), F.count_if("verified").alias("verified"), F.count("measured").alias("measured"))
+
+
 @query(f"""WITH {_COMPOSITE}, f AS (SELECT * FROM composite_j WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1)
 SELECT signature, CAST(edge AS BIGINT) AS edge, CAST(CASE edge WHEN 0 THEN width WHEN 1 THEN height - notch_h WHEN 2 THEN notch_w WHEN 3 THEN notch_h WHEN 4 THEN width - notch_w ELSE height END AS DOUBLE) AS length, edge NOT IN (1, 4) AS drawn FROM f, range(0, 6) e(edge)""")
 def label_policy(spark, sf_dir):
-    """Each edge's length, measured on the outline, and whether its label is drawn: two are left for the reader to find."""
-    df = emitted(spark, sf_dir, "composite_rectilinear")
-    df = df.select("signature", F.posexplode(G.edges(fam.outline(fam.COMPOSITE.columns(df)))).alias("edge", "e"))
-    length = F.hypot(F.col("e.b")[0] - F.col("e.a")[0], F.col("e.b")[1] - F.col("e.a")[1])
-    return df.select("signature", F.col("edge").cast("long").alias("edge"), length.alias("length"), (~F.col("edge").isin(1, 4)).alias("drawn"))
+    """Each edge's length, measured on its label's segment in the figure, and whether the label is drawn: two are left for the reader to find."""
+    df = emitted(spark, sf_dir, "composite_rectilinear").select("signature", F.posexplode(S.of_kind(F.col("spec"), "length_label")).alias("edge", "e"))
+    a, b = F.get("e.segment", F.lit(0)), F.get("e.segment", F.lit(1))
+    return df.select("signature", F.col("edge").cast("long").alias("edge"), F.hypot(b[0] - a[0], b[1] - a[1]).alias("length"), F.col("e.draw").alias("drawn"))
 
 
 # --- runs over all families -----------------------------------------------------------------------
@@ -251,13 +298,12 @@ def label_policy(spark, sf_dir):
 round(count(*) FILTER (WHERE reason IS NULL) / count(*), 6) AS acceptance_rate, round(coalesce(count(*) FILTER (WHERE reason IS NULL AND NOT em) / nullif(count(*) FILTER (WHERE reason IS NULL), 0), 0), 6) AS collision_rate FROM firsts GROUP BY 1""")
 def collision_stats_by_family(spark, sf_dir):
     """Draws, rejections, duplicates and emissions, with acceptance over draws and collisions over valid draws."""
-    valid = F.col("reject_reason").isNull()
     counts = None
     for name in sorted(_SOURCES):
-        df = judged(spark, sf_dir, name).select(F.lit(name).alias("family"), "reject_reason", "signature")
+        df = judged_sets(spark, sf_dir, name).select(F.lit(name).alias("family"), "reject_code", "signature", "draws")
         counts = df if counts is None else counts.unionByName(df)
-    # first the signatures, combined before the shuffle; a family's duplicates are its valid draws less its signatures
-    by = counts.groupBy("family", F.when(valid, F.col("signature")).alias("signature")).agg(F.count("*").alias("n"))
+    # a family's duplicates are its valid draws less its signatures
+    by = counts.groupBy("family", F.when(F.col("reject_code").isNull(), F.col("signature")).alias("signature")).agg(F.sum("draws").alias("n"))
     known = F.col("signature").isNotNull()
     out = by.groupBy("family").agg(F.sum("n").alias("draws"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("invalid"), F.count_if(known).alias("emitted"))
     duplicates = F.col("draws") - F.col("invalid") - F.col("emitted")
@@ -268,12 +314,15 @@ def collision_stats_by_family(spark, sf_dir):
 def rejections_by_cause(spark, sf_dir):
     out = None
     for name in sorted(_SOURCES):
-        df = judged(spark, sf_dir, name).where("reject_reason IS NOT NULL").select(F.concat(F.lit(f"[{name}] "), st.reason_key(F.col("reject_reason"))).alias("cause"))
+        f = _SOURCES[name][0]
+        df = st.judge(st.sets(source(spark, sf_dir, name), f), f).where("reject_code IS NOT NULL").select(F.concat(F.lit(f"[{name}] "), "reject_key").alias("cause"), "draws")
         out = df if out is None else out.unionByName(df)
-    return out.groupBy("cause").agg(F.count("*").alias("draws"))
+    return out.groupBy("cause").agg(F.sum("draws").alias("draws"))
 
 
 RUN = 200
+#: Draws of a stretch within which emissions are compared in one task.
+STRETCH = 1 << 20
 
 
 def run_prefix(draws: DataFrame, n: int, max_draws: int | None = None, ceilings: dict[str, int] | None = None, streak: int = 5000) -> DataFrame:
@@ -305,7 +354,7 @@ def run_prefix(draws: DataFrame, n: int, max_draws: int | None = None, ceilings:
 SELECT row_number() OVER (ORDER BY ord, turn) AS draw, family, signature, family || '_' || printf('%05d', row_number() OVER (PARTITION BY family, em ORDER BY ord) - 1) AS problem_id FROM o WHERE (c < {RUN} OR (c = {RUN} AND em)) AND em""".replace("SELECT row_number() OVER (ORDER BY ord, turn) AS draw,", "SELECT CAST(c AS BIGINT) AS place,"))
 def round_robin_first_n(spark, sf_dir):
     """The first 200 problems of a round-robin run over the families, with their ids."""
-    out = run_prefix(problems(spark, sf_dir), RUN).where("is_first")
+    out = run_prefix(problems(spark, sf_dir, 200 * RUN), RUN).where("is_first")
     index = F.row_number().over(Window.partitionBy("family").orderBy("ord")) - 1
     return out.select(F.col("out").cast("long").alias("place"), "family", "signature", st.problem_id(F.col("family"), index).alias("problem_id"))
 
@@ -313,15 +362,33 @@ def round_robin_first_n(spark, sf_dir):
 @query(_ALL + """, s AS (SELECT family, ord, em, ord - 1 - coalesce(max(CASE WHEN em THEN ord END) OVER (PARTITION BY family ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idle FROM firsts)
 SELECT family, CAST(max(idle) AS BIGINT) AS longest, count(*) FILTER (WHERE em AND idle > 0) AS streaks FROM s GROUP BY 1""")
 def duplicate_streaks(spark, sf_dir):
-    """The longest run of draws without an emission, and how many emissions ended one."""
-    before = Window.partitionBy("family").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    idle = F.col("ord") - 1 - F.coalesce(F.max(F.when(F.col("is_first"), F.col("ord"))).over(before), F.lit(0))
-    return problems(spark, sf_dir).withColumn("idle", idle).groupBy("family").agg(F.max("idle").cast("long").alias("longest"), F.count_if(F.col("is_first") & (F.col("idle") > 0)).alias("streaks"))
+    """The longest run of draws without an emission, and how many emissions ended one.
+
+    Only emissions matter: a run lies between two of them, or behind the last. They are compared within stretches of ord
+    and, by each stretch's least and greatest, across them.
+    """
+    out = None
+    for name in sorted(_SOURCES):
+        f = _SOURCES[name][0]
+        draws = ordered(spark, sf_dir, name)
+        ends = first_ords(draws, f).select("ord").unionByName(draws.agg((F.max("ord") + 1).alias("ord")).where("ord IS NOT NULL").withColumn("last", F.lit(True)), allowMissingColumns=True)
+        one = ends.withColumn("stretch", F.floor(F.col("ord") / STRETCH))
+        own = Window.partitionBy("stretch").orderBy("ord")
+        within = one.withColumn("before", F.lag("ord").over(own))
+        heads = one.groupBy("stretch").agg(F.max("ord").alias("high"))
+        heads = heads.select("stretch", F.coalesce(F.lag("high").over(Window.orderBy("stretch")), F.lit(0)).alias("earlier"))  # a row for each stretch
+        idle = F.col("ord") - 1 - F.coalesce("before", "earlier")
+        one = within.join(heads, "stretch").select(F.lit(name).alias("family"), idle.alias("idle"), F.coalesce("last", F.lit(False)).alias("last"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("family").agg(F.greatest(F.max(F.when(~F.col("last"), F.col("idle"))), F.max(F.when(F.col("last"), F.col("idle") - 1))).cast("long").alias("longest"), F.count_if(~F.col("last") & (F.col("idle") > 0)).alias("streaks"))
 
 
 @query(f"""WITH {_NESTED} SELECT count(DISTINCT signature) AS fresh FROM nested_j WHERE reason IS NULL AND l_orderkey % 2 = 1 AND signature NOT IN (SELECT signature FROM nested_j WHERE reason IS NULL AND l_orderkey % 2 = 0)""")
 def prime_against_earlier_run(spark, sf_dir):
     """Problems of one run that an earlier run's manifest lacks."""
-    valid = judged(spark, sf_dir, "nested_polygons").where("reject_reason IS NULL").select("l_orderkey", "signature")
-    earlier = valid.where("l_orderkey % 2 = 0").select("signature").distinct()
-    return valid.where("l_orderkey % 2 = 1").join(earlier, "signature", "left_anti").agg(F.countDistinct("signature").alias("fresh"))
+    f = fam.NESTED
+    odd = source(spark, sf_dir, f.name).withColumn("later", F.col("l_orderkey") % 2 == 1)
+    runs = odd.groupBy(*f.params).agg(F.bool_or("later").alias("later"), F.bool_or(~F.col("later")).alias("earlier"))
+    valid = st.sign(st.judge(runs, f).where("reject_code IS NULL"), f)
+    earlier = valid.where("earlier").select("signature").distinct()
+    return valid.where("later").join(earlier, "signature", "left_anti").agg(F.countDistinct("signature").alias("fresh"))

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import families as fam
+from tessera.operators import records
 from tessera.operators import stages as st
+from tessera.operators.storage import stored
 from tessera.plans.queries import ceiling, run_prefix
 from tessera.sources.draws import draws
 
 
 def _drawn(spark: SparkSession, family: str, turn: int, count: int, seed: int, mixed: bool) -> DataFrame:
     f = fam.get(family)
-    df = st.measure(st.solve(st.sign(st.judge(draws(spark, family, count, seed, mixed), f), f), f), f)
-    valid = F.col("reject_reason").isNull()
-    first = F.row_number().over(Window.partitionBy("signature", valid).orderBy("ord")) == 1
+    judged = st.sign(st.judge(draws(spark, family, count, seed, mixed), f), f).drop("issues", "warnings")
+    df = st.measure(st.solve(st.first_of_signature(judged, ["ord"], F.col("reject_code").isNull()), f))
     params = F.to_json(F.struct(*sorted(f.params)))
-    return df.select(F.lit(family).alias("family"), F.lit(turn).alias("turn"), "ord", "reject_reason", "signature", "stem", "answer_exact", "answer_decimal", "rel_diff", "verified", params.alias("params"), (valid & first).alias("is_first"))
+    return df.select(F.lit(family).alias("family"), F.lit(turn).alias("turn"), "ord", "reject_reason", "reject_key", "signature", "stem", "answer_exact", "answer_decimal", "rel_diff", "verified", params.alias("params"), "is_first")
 
 
 def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_draws: int | None = None, mixed: bool | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
         for turn, f in enumerate(families):
             one = _drawn(spark, f, turn, count, seed, mixed)
             all_draws = one if all_draws is None else all_draws.unionByName(one)
-        prefix = run_prefix(all_draws, n, most, ceilings)
+        prefix = stored(run_prefix(all_draws, n, most, ceilings), "run")  # a run is counted, reported and written from one pass
         if count >= most or prefix.agg(F.max("out")).first()[0] == n:
             break
         count = min(most, 2 * count)
@@ -44,6 +45,20 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
     return prefix.withColumn("problem_id", F.when(F.col("is_first"), st.problem_id(F.col("family"), index)))
 
 
+def records_of(prefix: DataFrame, seed: int) -> DataFrame:
+    """Manifest records of a run's emitted problems, in their order's columns; one whose figure doesn't measure as solved ends the query."""
+    rows = st.verified_or_fail(prefix.where("is_first")).where("verified")
+    return records.generated(rows, F.col("family"), F.col("params"), F.lit(seed), F.col("problem_id"))
+
+
+def causes(prefix: DataFrame) -> DataFrame:
+    """(cause, n): rejections by cause, most first; equal counts in the order of their first draws. With several families causes name theirs."""
+    several = prefix.select("family").distinct().count() > 1
+    cause = F.concat(F.lit("["), "family", F.lit("] "), "reject_key") if several else F.col("reject_key")
+    bad = prefix.where("reject_reason IS NOT NULL").select(cause.alias("cause"), "number")
+    return bad.groupBy("cause").agg(F.count("*").alias("n"), F.min("number").alias("first")).orderBy(F.desc("n"), "first").select("cause", "n")
+
+
 def report(prefix: DataFrame) -> DataFrame:
     """One row: draws, invalid, duplicates, emitted, rates, the worst difference, and emissions by family."""
     valid = F.col("reject_reason").isNull()

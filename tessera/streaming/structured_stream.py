@@ -18,7 +18,7 @@ def problems(spark: SparkSession, folder: str, family: str, late: str = "1 hour"
     types = {"integer": "bigint", "length": "decimal(20,6)", "lattice_points": "array<array<bigint>>"}
     rows = spark.readStream.schema(SCHEMA).json(folder).where(F.col("family") == family).withWatermark("at", late)
     typed = rows.select("input_id", "at", F.from_json("params", ", ".join(f"{k} {types[t]}" for k, t in f.params.items())).alias("p")).select("input_id", "at", "p.*")
-    valid = st.solve(st.sign(st.judge(typed, f), f).where("reject_reason IS NULL"), f)
+    valid = st.solve(st.sign(st.judge(typed, f), f).where("reject_code IS NULL"), f)
     return valid.dropDuplicatesWithinWatermark(["signature"]).select("input_id", "at", "signature", "stem", "answer_exact", "answer_decimal")
 
 

@@ -56,18 +56,18 @@ def test_answers(spark, family, schema, row, exact, value):
     from decimal import Decimal
 
     row = tuple(Decimal(x) if "decimal" in schema and i == 1 else x for i, x in enumerate(row))
-    got = st.measure(st.solve(spark.createDataFrame([row], schema), family), family).first()
+    got = st.measure(st.solve(spark.createDataFrame([row], schema), family)).first()
     assert got.answer_exact == exact and got.answer_decimal == pytest.approx(value, rel=1e-12) and got.verified
 
 
 def test_worst_circle_difference(spark):
-    df = st.measure(st.solve(fam.CIRCLE.space(spark), fam.CIRCLE), fam.CIRCLE)
+    df = st.measure(st.solve(fam.CIRCLE.space(spark), fam.CIRCLE))
     assert df.agg(F.max("rel_diff")).first()[0] == pytest.approx(7.158e-06, rel=1e-3)
 
 
 def test_corrupt_figures_fail(spark):
     df = st.solve(spark.sql("SELECT 10L AS width, 8L AS height, 4L AS notch_w, 3L AS notch_h"), fam.COMPOSITE)
-    bad = st.measure(df.withColumn("answer_decimal", F.lit(68.001)), fam.COMPOSITE)
+    bad = st.measure(df.withColumn("answer_decimal", F.lit(68.001)))
     assert not bad.first().verified
     with pytest.raises(Exception, match="measure as solved"):
         st.verified_or_fail(bad).collect()
