@@ -99,7 +99,8 @@ def load(lines: DataFrame) -> DataFrame:
     def first(chain: list) -> Column:
         return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r) if isinstance(r, str) else r) for c, r in chain])
 
-    df = df.withColumns({"_a": first(before_id), "_b": first(after_id)})
+    # stored: a filter on the checks would be pushed below them, and each check would parse its line anew
+    df = stored(df.withColumns({"_a": first(before_id), "_b": first(after_id)}).drop("v", "keys", "_param_keys", "_source", "_source_keys"), "checked")
     sound = F.col("_a").isNull() & F.col("_b").isNull()
     df = least_by(df, "input_id", F.col("line"), sound, "_taken")
     df = df.withColumn("load_error", F.coalesce("_a", F.when(F.col("_taken") < F.col("line"), F.concat(F.lit("duplicate input_id "), F.col("input_id"))), "_b"))
@@ -108,7 +109,7 @@ def load(lines: DataFrame) -> DataFrame:
         for k, t in fam.get(name).params.items():
             raw = F.get_json_object("params", f"$.{k}")
             typed[k] = F.when(F.col("load_error").isNull(), F.expr(f"try_cast(get_json_object(params, '$.{k}') AS bigint)") if t == "integer" else F.expr(f"try_cast(get_json_object(params, '$.{k}') AS decimal(20,6))") if t == "length" else F.from_json(raw, "array<array<bigint>>"))
-    return df.withColumns(typed).drop("v", "keys", "_a", "_b", "_taken", "_param_keys", "_source", "_source_keys")
+    return df.withColumns(typed).drop("_a", "_b", "_taken")
 
 
 def provenance(value: Column) -> dict[str, Column]:
@@ -137,7 +138,7 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
     match = off < st.STRAIGHT
     sound = (F.col("answer_decimal") != 0) & ~F.isnan("answer_decimal")
     would = F.coalesce(F.col("load_error").isNull() & F.col("blocking").isNull() & match & sound, F.lit(False))
-    df = least_by(df, "signature", F.col("line"), would, "_first")
+    df = least_by(stored(df.withColumn("_would", would), "judged"), "signature", F.col("line"), F.col("_would"), "_first").drop("_would")
     status = (
         F.when(F.col("load_error").isNotNull(), "input_error").when(F.col("blocking").isNotNull(), "geometry_rejected").when(F.col("_first") < F.col("line"), "duplicate")
         .when(~match, "answer_mismatch").when(~sound, "error").otherwise("emitted")
