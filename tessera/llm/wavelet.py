@@ -1,10 +1,11 @@
 """Operator 5, token-id output: a wavelet matrix for each shard, in one compressed file.
 
 File: magic, length of a JSON header, header, then zstd-compressed parts: the documents' ids (Arrow
-stream), the documents' lengths, the alphabet (ids that occur), and one bit-plane for each bit of an id's number in it, highest first. Behind
-plane k come the ids with a 0 in it, then those with a 1, each in their former order. Rank
-directories (ones before each 512-bit block) are built as a plane is opened, so a reader that needs
-one token, one count or one occurrence opens the planes and touches a few words of each.
+stream), the documents' lengths, the alphabet (ids that occur), and for each bit of an id's number in it, highest first,
+a rank directory (ones before each 512-bit block), a select directory (the blocks of every 1024th one and zero) and the
+bit-plane in pieces of 65,536 bits. Behind plane k come the ids with a 0 in it, then those with a 1, each in their former
+order. Parts are decompressed when they are first asked for: a reader that needs one token, one count or one
+occurrence opens the directories and at most two pieces of each plane, and reads a block of each.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql.window import Window
 from tessera.llm.common import arrow_map, blocks, partitions, stored
 from tessera.llm.library_ids import library_ids
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 #: Tokens after which a shard is closed; documents are not split over shards.
 SHARD_TOKENS = 1 << 18
-_BLOCK = 512
+_BLOCK, _PIECE, _STEP = 512, 1 << 16, 1 << 10
+#: Parts of a plane before its pieces.
+_DIRECTORIES = 3
 
 
 def build(ids: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
@@ -56,49 +59,84 @@ def write_file(names: pa.Array, lengths: list[int] | np.ndarray, ids: np.ndarray
         out.write_batch(pa.record_batch([names], names=["id"]))
     parts = [pack(sink.getvalue()), pack(np.asarray(lengths, "<u8").tobytes()), pack(alphabet.astype("<u4").tobytes())]
     planes = build(codes[ids] if len(ids) else np.zeros(0, np.uint16), bits)
-    parts += [pack(x.tobytes()) for _, x in planes]
+    for _, plane in planes:
+        ranks = rank_directory(plane, len(ids))
+        places = np.arange(len(ranks)) * _BLOCK
+        parts += [pack(x.astype("<u4").tobytes()) for x in (ranks, select_directory(ranks), select_directory(np.minimum(places, len(ids)) - ranks))]
+        parts += [pack(plane[i : i + _PIECE // 8].tobytes()) for i in range(0, max(1, len(plane)), _PIECE // 8)]
     head = json.dumps({"tokens": len(ids), "bits": bits, "zeros": [z for z, _ in planes], "parts": [len(x) for x in parts]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *parts])
 
 
+def rank_directory(plane: np.ndarray, n: int) -> np.ndarray:
+    """Ones before each block of a plane of n bits, and in all of it."""
+    padded = np.zeros(-(-max(1, n) // _BLOCK) * _BLOCK // 8, np.uint8)
+    padded[: len(plane)] = plane
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))])
+
+
+def select_directory(before: np.ndarray) -> np.ndarray:
+    """The block of every _STEP-th bit of a kind, given how many are before each block."""
+    return np.searchsorted(before, np.arange(0, int(before[-1]), _STEP), side="right") - 1
+
+
 class WaveletFile:
-    """A reader of one file."""
+    """A reader of one file. opened: the parts that were decompressed so far."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
         (size,) = struct.unpack_from("<I", data, 8)
         self.head = json.loads(data[12 : 12 + size])
-        at, raw = 12 + size, []
-        for n in self.head["parts"]:
-            raw.append(zstandard.ZstdDecompressor().decompress(data[at : at + n]))
-            at += n
-        self.names = pa.ipc.open_stream(raw[0]).read_all().column("id")
-        self.lengths = np.frombuffer(raw[1], "<u8").astype(np.int64)
         self.n, self.bits, self.zeros = self.head["tokens"], self.head["bits"], self.head["zeros"]
-        self.alphabet = np.frombuffer(raw[2], "<u4")
-        self.planes = [np.frombuffer(x, np.uint8) for x in raw[3:]]
-        self._ranks: list[np.ndarray | None] = [None] * self.bits
+        self._data, self._ends = data, (np.cumsum(self.head["parts"]) + 12 + size).tolist()
+        self._pieces = max(1, -(-self.n // _PIECE))
+        self.opened: dict[int, bytes] = {}
+
+    def _part(self, i: int) -> bytes:
+        if i not in self.opened:
+            end = self._ends[i]
+            self.opened[i] = zstandard.ZstdDecompressor().decompress(self._data[end - self.head["parts"][i] : end])
+        return self.opened[i]
+
+    @property
+    def names(self) -> pa.ChunkedArray:
+        return pa.ipc.open_stream(self._part(0)).read_all().column("id")
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self._part(1), "<u8").astype(np.int64)
+
+    @property
+    def alphabet(self) -> np.ndarray:
+        return np.frombuffer(self._part(2), "<u4")
+
+    def _directory(self, k: int, which: int) -> np.ndarray:
+        """Of plane k: 0 the ranks, 1 and 2 the blocks of ones and zeros."""
+        return np.frombuffer(self._part(3 + k * (_DIRECTORIES + self._pieces) + which), "<u4")
+
+    def _bits(self, k: int, start: int, end: int) -> np.ndarray:
+        """Bits of plane k from a block's start on, within a block."""
+        piece, at = divmod(start, _PIECE)
+        raw = np.frombuffer(self._part(3 + k * (_DIRECTORIES + self._pieces) + _DIRECTORIES + piece), np.uint8)
+        return np.unpackbits(raw[at // 8 : at // 8 + -(-(end - start) // 8)], bitorder="little")[: end - start]
 
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        if self._ranks[k] is None:
-            padded = np.zeros(-(-max(1, self.n) // _BLOCK) * _BLOCK // 8, np.uint8)
-            padded[: len(self.planes[k])] = self.planes[k]
-            self._ranks[k] = np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))])
         block, rest = divmod(i, _BLOCK)
-        start = block * _BLOCK // 8
-        tail = np.unpackbits(self.planes[k][start : start + -(-rest // 8)], bitorder="little")[:rest]
-        return int(self._ranks[k][block]) + int(tail.sum())
+        return int(self._directory(k, 0)[block]) + (int(self._bits(k, i - rest, i).sum()) if rest else 0)
 
     def _select(self, k: int, bit: int, nth: int) -> int:
-        """Place in plane k of the nth (from 0) bit of that kind: binary search over the rank."""
-        low, high = 0, self.n
-        while high - low > 1:
-            mid = (low + high) // 2
-            ones = self._ones(k, mid)
-            low, high = (mid, high) if (ones if bit else mid - ones) <= nth else (low, mid)
-        return low
+        """Place in plane k of the nth (from 0) bit of that kind: the directory gives a stretch of blocks, their ranks one block, its bits the place."""
+        ranks, samples = self._directory(k, 0), self._directory(k, 1 if bit else 2)
+        low = int(samples[nth // _STEP])
+        high = int(samples[nth // _STEP + 1]) + 1 if nth // _STEP + 1 < len(samples) else len(ranks) - 1
+        before = ranks[low : high + 1].astype(np.int64)
+        if not bit:
+            before = np.arange(low, high + 1) * _BLOCK - before
+        block = low + int(np.searchsorted(before[:-1], nth, side="right")) - 1
+        own = self._bits(k, block * _BLOCK, min(self.n, (block + 1) * _BLOCK))
+        return block * _BLOCK + int(np.flatnonzero(own == bit)[nth - int(before[block - low])])
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -106,16 +144,17 @@ class WaveletFile:
             raise IndexError(i)
         value = 0
         for k in range(self.bits):
-            ones = self._ones(k, i)
-            bit = self.planes[k][i >> 3] >> (i & 7) & 1
-            value = value << 1 | int(bit)
+            ones, block = self._ones(k, i), i - i % _BLOCK
+            bit = int(self._bits(k, block, i + 1)[-1])
+            value = value << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
         return int(self.alphabet[value])
 
     def _code(self, token: int) -> int:
         """A token's number in the alphabet, -1 if it doesn't occur."""
-        k = int(np.searchsorted(self.alphabet, token))
-        return k if k < len(self.alphabet) and self.alphabet[k] == token else -1
+        alphabet = self.alphabet
+        k = int(np.searchsorted(alphabet, token))
+        return k if k < len(alphabet) and alphabet[k] == token else -1
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
         """Where the occurrences of a token before place `end` stand behind the last plane; by its number in the alphabet."""
@@ -149,7 +188,9 @@ class WaveletFile:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            base = 3 + k * (_DIRECTORIES + self._pieces) + _DIRECTORIES
+            plane = np.frombuffer(b"".join(map(self._part, range(base, base + self._pieces))), np.uint8)
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             was = np.empty(self.n, kind)
             was[np.flatnonzero(~ones)] = now[: self.zeros[k]]
             was[np.flatnonzero(ones)] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
@@ -213,12 +254,12 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id", keep: bool = True) ->
         for batch in batches:
             for part, shard, data in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "file")), strict=True):
                 file = WaveletFile(data)
-                ids = file.tokens()
-                ends = np.cumsum(file.lengths)
-                begins = ends - file.lengths
+                ids, lengths = file.tokens(), file.lengths
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
                 raw = [ids[a:b].data for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(raw)
-                columns = [file.names.combine_chunks(), pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(begins), pa.array(file.lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64()), *([pa.array([x.tobytes() for x in raw], pa.binary())] if keep else [])]
+                columns = [file.names.combine_chunks(), pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(begins), pa.array(lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64()), *([pa.array([x.tobytes() for x in raw], pa.binary())] if keep else [])]
                 for a in range(0, n, 2000):
                     yield pa.RecordBatch.from_arrays([x.slice(a, 2000) for x in columns], names=["id", "part", "shard", "at", "n_tokens", "ids_crc32", *(["ids"] if keep else [])])
 

@@ -134,3 +134,24 @@ def test_repeat_counts_never_overdraw():
         for k in own[own > 0]:
             used[k] += n
     assert (used <= h).all() and used.sum() > 0.6 * h.sum()
+
+
+def test_a_wavelet_file_opens_only_what_it_reads():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 900, 300_000).astype(np.uint32) ** 2 // 900
+    f = WaveletFile(write_file(pa.array([7, 8], pa.int64()), [100_000, 200_000], x))
+    assert not f.opened
+    assert f.access(123_456) == x[123_456]
+    pieces, planes = f._pieces, f.bits
+    assert pieces == 5 and len(f.opened) <= 1 + 2 * planes  # the alphabet; of each plane its ranks and a piece
+    token = int(x[200_000])
+    places = np.flatnonzero(x == token)
+    for nth in (0, len(places) // 2, len(places) - 1):
+        g = WaveletFile(write_file(pa.array([7, 8], pa.int64()), [100_000, 200_000], x))
+        assert g.find(token, nth) == places[nth] and g.count(token, 200_001) == (places <= 200_000).sum()
+        assert len(g.opened) <= 1 + planes * (2 + 4)  # ranks, one select directory, pieces at the ends of the range and at the place
+    assert (f.tokens() == x).all() and f.find(token, len(places)) == -1
+    for y in (np.zeros(0, np.uint32), np.full(512, 3, np.uint32), np.arange(513, dtype=np.uint32) % 2):
+        h = WaveletFile(write_file(pa.array([1], pa.int64()), [len(y)], y))
+        assert (h.tokens() == y).all() and [h.access(i) for i in range(len(y))] == y.tolist()
+        assert [h.find(int(t), n) for t in set(y.tolist()) for n in range((y == t).sum())] == [int(p) for t in set(y.tolist()) for p in np.flatnonzero(y == t)]
