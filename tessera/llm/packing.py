@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, b
 
     Each document is its ids with `end_id` behind; null and empty texts are the end id alone. Each id
     lies in exactly one piece; sequences are full windows but for at most a few of each task, whose
-    totals are smaller powers of two, so nothing is padded. Ties, repeated rows and null ids pass
+    totals are smaller powers of two, so nothing is padded. A very long text is encoded whole and cut into windows. Ties, repeated rows and null ids pass
     through; other columns are not read. Rows of an empty table give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -88,31 +88,71 @@ def family_of(value: Column) -> Column:
     return F.substring_index(value, " ", -1)
 
 
-def core(kind: Column, value: Column, attempt: Column, digest: Column, family: Column | None = None) -> Column:
+def domain_of(value: Column) -> Column:
+    """The domain of an e-mail address: a value of its own kind, "domain"."""
+    return F.substring_index(value, "@", -1)
+
+
+def domain_digest(key: str, kind: Column, value: Column) -> Column:
+    """What draws an address's domain, so that addresses of one domain stay in one; null for other kinds."""
+    return F.when(kind == "email", digest_of(key, F.lit("domain"), domain_of(value), F.lit(0)))
+
+
+_chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def luhn_digit(body: Column) -> Column:
+    """The digit that makes `body` with it behind pass the check of card numbers."""
+    value = lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int"))
+    total = F.aggregate(F.transform(_chars(F.reverse(body)), value), F.lit(0), lambda a, x: a + x)
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def mod97(text: Column) -> Column:
+    """An account number's digits and letters (10 to 35) as one number, modulo 97."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(text), F.lit(0), step)
+
+
+def checked(kind: Column, value: Column, made: Column) -> Column:
+    """A number's surrogate with check digits of its own, where the number's are right: card numbers and accounts."""
+    body = F.substr(made, F.lit(1), F.length(made) - 1)
+    card = F.when(F.call_function("luhn_check", value), F.concat(body, luhn_digit(body))).otherwise(made)
+    turned = lambda x: F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))
+    country, account = F.substr(made, F.lit(1), F.lit(2)), F.substr(made, F.lit(5))
+    digits = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.when(mod97(turned(value)) == 1, F.concat(country, digits, account)).otherwise(made)
+    return F.when(kind == "card", card).when(kind == "iban", iban).otherwise(made)
+
+
+def core(kind: Column, value: Column, attempt: Column, digest: Column, other: Column | None = None) -> Column:
     """The surrogate of a canonical value, in canonical form: one digest, a character for each of its own.
 
-    family: the surrogate of a name's family name, drawn by that name alone; without it the name's own digest draws it.
+    other: of a name, the surrogate of its family name, drawn by that name alone; of an e-mail address, the digest of
+    its domain. Without it the value's own digest draws them.
     """
-    number = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    number_of = lambda d, i: F.conv(F.substr(d, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    number = lambda i: number_of(digest, i)
     digit = lambda i: _pick("0123456789", number(i))
 
-    def like(c: Column, i: Column) -> Column:
-        n = number(i)
+    def like(c: Column, n: Column) -> Column:
         low = (
             F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-zA-Z]"), _pick(_LATIN, n)).when(c.rlike(r"\p{IsGreek}"), _pick(_GREEK, n))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, n)).when(c.rlike(r"\p{IsLatin}"), _pick(_ACCENTED, n)).when(c.rlike(r"\p{L}"), _pick(_LATIN, n))
         )
         return F.coalesce(F.when(c != F.lower(c), F.upper(low)), low, c)
 
-    scrambled = lambda text: F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), like), "")
+    scrambled = lambda text, d=digest: F.array_join(F.transform(_chars(text), lambda c, i: like(c, number_of(d, i))), "")
     wider = F.when(attempt >= 4, F.concat(digit(F.lit(60)), digit(F.lit(61)), digit(F.lit(62)), digit(F.lit(63)))).otherwise("")
-    email = F.concat(scrambled(F.substring_index(value, "@", 1)), wider, F.lit("@mail"), digit(F.lit(57)), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), number(F.lit(58)) % 3 + 1))
+    # a domain of as many labels, each like its own, below a top level that is reserved for examples
+    host = scrambled(F.regexp_replace(domain_of(value), r"\.[^.]*$", ""), digest if other is None else F.coalesce(other, digest))
+    email = F.concat(scrambled(F.substring_index(value, "@", 1)), wider, F.lit("@"), host, F.lit(".example"))
     octet = lambda i: number(F.lit(i)).cast("string")
     ip = F.concat_ws(".", (number(F.lit(0)) % 223 + 1).cast("string"), octet(1), octet(2), octet(3))
-    hexed = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: _pick("0123456789abcdef", number(i))), "")
+    hexed = F.array_join(F.transform(_chars(value), lambda c, i: _pick("0123456789abcdef", number(i))), "")
     # a number's sign and first digit, an account's country stay
     kept = F.when(kind == "iban", 2).when(value.startswith("+"), 2).otherwise(1)
-    number_like = F.concat(F.substr(value, F.lit(1), kept), scrambled(F.substr(value, kept + 1)))
+    number_like = checked(kind, value, F.concat(F.substr(value, F.lit(1), kept), scrambled(F.substr(value, kept + 1))))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
@@ -123,7 +163,7 @@ def core(kind: Column, value: Column, attempt: Column, digest: Column, family: C
     longer = F.when(attempt >= 4, F.when(script == "cyrillic", letters(_CYRILLIC)).when(script == "greek", letters(_GREEK)).otherwise(letters(_LATIN))).otherwise("")
     surname = F.initcap(F.concat(scrambled(family_of(value)), longer))
     # the family name's digest is its own, so a person has it with and without a given name
-    family = surname if family is None else F.coalesce(family, surname)
+    family = surname if other is None else F.coalesce(other, surname)
     person = F.when(F.size(F.split(value, " ")) > 2, F.concat(given, longer, F.lit(" "), family)).otherwise(family)
     return F.when(kind == "family", surname).when(kind == "email", email).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "name", person).when(kind == "secret", scrambled(value)).otherwise(number_like)
 
@@ -132,7 +172,7 @@ def dressed(kind: Column, mention: Column, made: Column) -> Column:
     """A surrogate in a mention's own format: its punctuation, prefix, title and case."""
     digits = F.regexp_replace(made, "[^0-9A-Za-z]", "")
     before = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), "[^0-9A-Za-z]", ""))
-    filled = F.array_join(F.transform(F.filter(F.split(mention, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(digits, before(i) + 1, F.lit(1))).otherwise(c)), "")
+    filled = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(digits, before(i) + 1, F.lit(1))).otherwise(c)), "")
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(made)).otherwise(made)
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), filled)
@@ -155,17 +195,26 @@ def mentions(text: Column) -> Column:
     return F.when(worth_a_look(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
+def _shown(kind: Column, value: Column) -> Column:
+    """What two surrogates may not share: digits among all kinds of numbers, the lower case of others within their kind."""
+    number = kind.isin("phone", "card", "ssn")
+    return F.concat(F.when(number, "number").otherwise(kind), F.lit(" "), F.when(number, F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
+
+
 def _settled(values: DataFrame, key: str, most: int) -> DataFrame:
     """(kind, value, attempt, made) of values(kind, value, real[, family]), each drawn until no surrogate collides."""
     state = values.withColumn("attempt", F.lit(0))
-    family = F.col("family") if "family" in values.columns else None
+    kind, value = F.col("kind"), F.col("value")
+    other = domain_digest(key, kind, value)
+    if "family" in values.columns:
+        other = F.coalesce("family", other)
     for _ in range(most):
-        drawn = state.withColumn("digest", digest_of(key, F.col("kind"), F.col("value"), F.col("attempt")))
-        drawn = stored(drawn.withColumn("made", core(F.col("kind"), F.col("value"), F.col("attempt"), F.col("digest"), family)).drop("digest"), "surrogates")
+        drawn = state.withColumn("digest", digest_of(key, kind, value, F.col("attempt")))
+        drawn = stored(drawn.withColumn("made", core(kind, value, F.col("attempt"), F.col("digest"), other)).withColumn("shown", _shown(kind, F.col("made"))).drop("digest"), "surrogates")
         # in a group of equal surrogates the value that drew least often stays
-        groups = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        shared = drawn.join(groups, ["kind", "made"]).where("value != first.value").select("kind", "value")
-        real = drawn.select("kind", "value", F.lower("made").alias("made")).join(values.select("kind", F.lower("real").alias("made")), ["kind", "made"], "left_semi").select("kind", "value")
+        groups = drawn.groupBy("shown").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        shared = drawn.join(groups, "shown").where("value != first.value OR kind != first.kind").select("kind", "value")
+        real = drawn.select("kind", "value", "shown").join(values.select(_shown(kind, F.col("real")).alias("shown")), "shown", "left_semi").select("kind", "value")
         bad = stored(shared.union(real).distinct(), "collisions")
         if not bad.head(1):
             return drawn.select("kind", "value", "attempt", "made")
@@ -177,7 +226,7 @@ def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
     """(kind, value, attempt) of those values(kind, value) whose first surrogate collides.
 
     A surrogate collides if it is another value of its kind, the value itself, or the surrogate of a
-    value that comes earlier. Who collides draws again, until none does. Family names are values of
+    value that comes earlier; phones, cards and social security numbers are one kind there, by their digits. Who collides draws again, until none does. Family names are values of
     the kind "family"; they settle first, and names with a given name are then held against the
     names, without the gender that a value begins with. A family name alone has its family's surrogate.
     """
@@ -196,8 +245,9 @@ def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows with surrogates in their text and n_entities, how many mentions were replaced, as the last column.
 
-    Null texts stay null and have no entities; a column n_entities of the input is replaced. Rows of
-    equal text get equal texts. The values that drew again are stored and joined by text; their table's size is known to the
+    Null texts stay null and have no entities, empty ones stay empty; very long texts are read whole, by one pass of the
+    pattern; of an empty table there are no rows. A column n_entities of the input is replaced; other columns keep their names
+    in a struct meanwhile. Repeated rows, and rows of equal text, get equal texts. The values that drew again are stored and joined by text; their table's size is known to the
     planner, which broadcasts it only below its threshold.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
@@ -217,9 +267,9 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     tried = lambda at: F.coalesce(F.element_at(F.col("tries"), at), F.lit(0))
     own = F.transform("_found", lambda m, i: F.struct(m.alias("m"), kind_of(m).alias("kind"), tried(i).alias("attempt"), tried(-1 - i).alias("again")))
     own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), x["again"].alias("again"), canonical(x["kind"], x["m"]).alias("value")))
-    family = lambda x: F.when(x["kind"] == "name", digest_of(key, F.lit("family"), family_of(x["value"]), x["again"]))
+    family = lambda x: F.when(x["kind"] == "name", digest_of(key, F.lit("family"), family_of(x["value"]), x["again"])).otherwise(domain_digest(key, x["kind"], x["value"]))
     own = F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "attempt", "again", "value")], digest_of(key, x["kind"], x["value"], x["attempt"]).alias("digest"), family(x).alias("family")))
-    surname = lambda x: F.when(x["kind"] == "name", core(F.lit("family"), family_of(x["value"]), x["again"], x["family"]))
+    surname = lambda x: F.when(x["kind"] == "name", core(F.lit("family"), family_of(x["value"]), x["again"], x["family"])).otherwise(x["family"])
     own = F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "attempt", "value", "digest")], surname(x).alias("family")))
     own = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), core(x["kind"], x["value"], x["attempt"], x["digest"], x["family"]).alias("made")))
     own = F.transform(own, lambda x: dressed(x["kind"], x["m"], x["made"]))

@@ -36,7 +36,7 @@ def test_entities_are_replaced_in_their_format(spark):
             shape = lambda s: re.sub("[0-9a-fA-F]" if len(p) == 40 else "[0-9]", "9", s)
             assert shape(made) == shape(p)
         assert made.isupper() == p.isupper() or not re.search("[a-zA-Z]", made)
-    assert re.fullmatch(r"[a-z]{5}\.\d\d@mail\d\.example\.(com|net|org)", got[4].text)
+    assert re.fullmatch(r"[a-z]{5}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.example", got[4].text)
 
 
 def test_names_keep_gender_title_and_family(spark):
@@ -116,3 +116,60 @@ def test_a_family_has_one_surrogate_that_no_one_has(spark):
     assert len({p[1] for p in parts}) == len(givens)
     made = [got[len(givens) + i].text.split()[1] for i in range(len(families))]
     assert len(set(made)) == len(families) and not set(made) & set(families)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def account_fits(text):
+    flat = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_check_digits_stay_right_where_they_are(spark):
+    right = ["4111 1111 1111 1111", "5500005555555559", "340000-000000009".replace("-", ""), "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    wrong = ["4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00"]
+    got = swap(spark, right + wrong)
+    for i, r in enumerate(right):
+        made = got[i].text
+        assert made != r and [c.isdigit() for c in made if c != " "] == [c.isdigit() for c in r if c != " "]
+        assert account_fits(made) and made[:2] == r[:2] if r[0].isalpha() else luhn(made.replace(" ", ""))
+    assert got[len(right)].text != wrong[0] and got[len(right) + 1].text[:2] == "DE"
+
+
+def test_addresses_of_a_domain_stay_in_one(spark):
+    got = swap(spark, ["a.b@shop.acme.co.uk", "Zed9@SHOP.acme.co.uk", "a.b@acme.com"])
+    domains = [got[i].text.lower().split("@")[1] for i in range(3)]
+    assert domains[0] == domains[1] != domains[2]
+    assert [len(x) for x in domains[0].split(".")] == [4, 4, 2, 7] and domains[0].endswith(".example")
+
+
+def test_distinctness_and_coreference_by_brute_force(spark):
+    """Numbers of several kinds with few digits, so that surrogates meet: equal digits have equal surrogates within a kind, different ones never meet across kinds."""
+    import itertools
+
+    rng = __import__("random").Random(5)
+    phones = [f"{rng.randrange(100, 200)}-{rng.randrange(1000, 1400)}-{rng.randrange(1000, 1100)}" for _ in range(400)]
+    ssns = [f"{rng.randrange(100, 300)}-{rng.randrange(10, 40)}-{rng.randrange(1000, 1300)}" for _ in range(400)]
+    cards = [f"{rng.randrange(10**12, 10**12 + 4000)}" for _ in range(300)]
+    names = [f"Mr {g} {f}" for g, f in itertools.product(("John", "Omar", "Li"), ("Smith", "Jones", "Brown"))]
+    texts = phones + ssns + cards + names + ["Mr Smith", "Mr Jones", "Mr Brown"]
+    got = swap(spark, [f"{t} and again {t}" for t in texts])
+    made = [got[i].text.split(" and again ") for i in range(len(texts))]
+    assert all(a == b for a, b in made)
+    of = {}
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    kinds = ["p"] * len(phones) + ["s"] * len(ssns) + ["c"] * len(cards)
+    for t, k, (m, _) in zip(texts, kinds, made, strict=False):
+        of.setdefault((k, digits(t)), set()).add(digits(m))
+    assert all(len(v) == 1 for v in of.values())
+    seen = [next(iter(v)) for v in of.values()]
+    assert len(set(seen)) == len(seen) and not set(seen) & {d for _, d in of}
+    tail = {t.split()[-1]: m.split()[-1] for t, (m, _) in zip(texts[-12:], made[-12:], strict=True)}
+    assert len(set(tail.values())) == 3
+    assert all(m.split()[-1] == tail[t.split()[-1]] for t, (m, _) in zip(texts[-12:], made[-12:], strict=True))
