@@ -11,7 +11,7 @@ import re
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -336,3 +336,12 @@ def clean_span(span: Column) -> Column:
     for noise in ("\\displaystyle", "\\left", "\\right", "\\!", "\\,", "\\;"):
         s = F.replace(s, F.lit(noise), F.lit(" "))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def fill_in(harvested: DataFrame) -> DataFrame:
+    """Harvested records with answer_exact and answer_decimal from their original_answer, and a column answer_error.
+
+    What can't be parsed leaves both null, not guessed, and says why; a record without an answer is such a one.
+    """
+    df = harvested.withColumn("_parsed", latex_fields(F.coalesce("original_answer", F.lit(""))))
+    return df.withColumns({"answer_exact": F.col("_parsed.exact"), "answer_decimal": F.col("_parsed.value"), "answer_error": F.col("_parsed.error")}).drop("_parsed")

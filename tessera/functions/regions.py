@@ -111,7 +111,7 @@ def region_area(operation: str, shapes: list[np.ndarray]) -> float:
                 t = (o[..., 0] * f[None, :, 1] - o[..., 1] * f[None, :, 0]) / den
                 u = (o[..., 0] * d[:, None, 1] - o[..., 1] * d[:, None, 0]) / den
             hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-            heights.append((p[:, None, 0, 1] + t * d[:, None, 1])[hit])
+            heights.append((p[:, None, 0, 1] + np.where(hit, t, 0.0) * d[:, None, 1])[hit])
     ys = np.unique(np.concatenate(heights))
     total = 0.0
     for low, high in zip(ys, ys[1:], strict=False):

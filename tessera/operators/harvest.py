@@ -1,21 +1,33 @@
 """Problems from pages: numbered blocks, their stems, answers and images, and what a page's layout holds.
 
-All in built-in expressions over page(page_id, html). A block is a numbered header with its siblings up to the next numbered one.
+All in built-in expressions over pages(page_id, html). A block is a numbered header with its siblings up to the next numbered one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators import records
+
+
+def _open(tag: str, name: str | None = None) -> str:
+    """Pattern of a page's part: all behind the opening tag, of a class where one is given."""
+    inside = rf"[^>]*class=\"[^\"]*\b{name}\b[^\"]*\"[^>]*" if name else r"(?:\s[^>]*)?"
+    return rf"(?s)<{tag}{inside}>(.*)"
+
 
 #: Fixed patterns of the source's layout.
-CONTENT = r"(?s)<div[^>]*class=\"[^\"]*\bentry-content\b[^\"]*\"[^>]*>(.*)"
+CONTENT = _open("div", "entry-content")
 NUMBER = r"\\textbf\{\s*(\d{1,3})\s*\)\s*\}"
 ANSWER = r"(?s)<div[^>]*class=\"[^\"]*\bsh-content\b[^\"]*\"[^>]*>(.*?)</div>"
 MACHINERY = r"(?s)<div[^>]*class=\"[^\"]*\bsh-(?:content|link)\b[^\"]*\"[^>]*>.*?</div>|<button.*?</button>"
 IMAGE = r"<img[^>]*\bsrc=\"([^\"]*)\""
 PLAY_BUTTON = "play"
+#: Where a page's problems may be, in the order in which they are tried; the body is the last resort.
+AREAS = {"entry-content": CONTENT, "article": _open("article"), "main": _open("main"), "post-content": _open("div", "post-content"), "content": _open("div", "content"), "body": _open("body")}
+#: Traces of the ways in which pages show formulas.
+MARKERS = ("\\(", "\\[", "$$", "latex", "MathJax", "katex")
 
 
 def strip_tags(html: Column) -> Column:
@@ -26,55 +38,127 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, number, html) of each numbered block, the first of each number; a page without the content area has none."""
-    content = pages.select("page_id", F.regexp_extract("html", CONTENT, 1).alias("content"))
-    parts = content.select("page_id", F.posexplode(F.split("content", r"(?=<h5[\s>])")).alias("pos", "html"))
-    number = F.when(F.col("html").startswith("<h5"), F.nullif(F.regexp_extract(F.regexp_extract("html", r"(?s)^<h5.*?</h5>", 0), NUMBER, 1), F.lit("")).cast("int"))
-    parts = parts.withColumn("n", number)
-    first = F.min(F.when(F.col("n").isNotNull(), F.col("pos"))).over(Window.partitionBy("page_id", "n"))
-    parts = parts.withColumn("head", F.when(first == F.col("pos"), F.col("n")))
-    # windows within a page: a page is one document
-    number_of = F.last("head", ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    parts = parts.withColumn("number", number_of).where("number IS NOT NULL")
-    own = parts.groupBy("page_id", "number").agg(F.array_sort(F.collect_list(F.struct("pos", "html"))).alias("own"))
-    return own.select("page_id", "number", F.array_join(F.transform("own", lambda x: x["html"]), "").alias("html"))
+def content_area(pages: DataFrame) -> DataFrame:
+    """The pages with area, which of AREAS they have first, and content, what is in it; a page without any is its own content."""
+    which = F.coalesce(*[F.when(F.col("html").rlike(p), F.lit(name)) for name, p in AREAS.items()])
+    content = F.coalesce(*[F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in AREAS.values()], F.col("html"))
+    return pages.withColumns({"area": which, "content": content})
+
+
+def blocks(pages: DataFrame, fallback: bool = False) -> DataFrame:
+    """(page_id, number, html) of each numbered block, the first of each number.
+
+    A page without the content area has none; with `fallback` other areas and the whole page count too. A page is one
+    document, so its parts stay together in one row: no shuffle.
+    """
+    found = content_area(pages) if fallback else pages.withColumn("content", F.regexp_extract("html", CONTENT, 1))
+    number = lambda part: F.when(part.startswith("<h5"), F.nullif(F.regexp_extract(F.regexp_extract(part, r"(?s)^<h5.*?</h5>", 0), NUMBER, 1), F.lit("")).cast("int"))
+    parts = found.select("page_id", F.transform(F.split("content", r"(?=<h5[\s>])"), lambda x: F.struct(number(x).alias("n"), x.alias("html"))).alias("parts"))
+    # a block goes on until a number comes that wasn't seen before
+    zero = F.array().cast("array<struct<number:int,html:string>>")
+
+    def step(out: Column, part: Column) -> Column:
+        new = part["n"].isNotNull() & ~F.exists(out, lambda b: b["number"] == part["n"])
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["number"].alias("number"), F.concat(last["html"], part["html"]).alias("html"))))
+        return F.when(new, F.concat(out, F.array(F.struct(part["n"].alias("number"), part["html"].alias("html"))))).when(F.size(out) == 0, out).otherwise(longer)
+
+    return parts.select("page_id", F.explode(F.aggregate("parts", zero, step)).alias("b")).select("page_id", "b.number", "b.html")
+
+
+def answer_of(html: Column) -> Column:
+    return F.nullif(strip_tags(F.regexp_extract(html, ANSWER, 1)), F.lit(""))
+
+
+def diagram_of(html: Column) -> Column:
+    """The source of the first image that isn't the play button."""
+    return F.get(F.filter(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(1)), lambda s: ~s.contains(PLAY_BUTTON)), F.lit(0))
 
 
 def fields(found: DataFrame) -> DataFrame:
     """stem, answer_raw, image_url and whether a block can be harvested: an answer, a stem of ten characters, an image."""
-    answer = F.nullif(strip_tags(F.regexp_extract("html", ANSWER, 1)), F.lit(""))
     head = F.regexp_replace(F.regexp_extract("html", r"(?s)^<h5.*?</h5>", 0), MACHINERY, " ")
     stem = strip_tags(head)
     for out in (NUMBER, r"\\\(", r"\\\)", "Show Answer"):
         stem = F.regexp_replace(stem, out, " ")
     stem = F.trim(F.regexp_replace(stem, r"\s+", " "))
     image = F.get(F.filter(F.regexp_extract_all("html", F.lit(IMAGE), F.lit(1)), lambda s: s.startswith("http") & ~s.contains(PLAY_BUTTON)), F.lit(0))
-    df = found.withColumns({"stem": stem, "answer_raw": answer, "image_url": image})
+    df = found.withColumns({"stem": stem, "answer_raw": answer_of(F.col("html")), "image_url": image})
     return df.withColumn("harvestable", F.col("answer_raw").isNotNull() & (F.length("stem") >= 10) & F.col("image_url").isNotNull())
 
 
 def harvest(pages: DataFrame, limit: int = 10) -> DataFrame:
-    """Of each page the first `limit` harvestable blocks."""
+    """Of each page the first `limit` harvestable blocks, by number: what a harvest takes from a page is bounded by the feature itself."""
     good = fields(blocks(pages)).where("harvestable")
-    return good.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("number"))).where(F.col("rank") <= limit).drop("rank", "html")
+    own = good.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("number", "stem", "answer_raw", "image_url"))).alias("own"))  # a page's blocks
+    return own.select("page_id", F.explode(F.slice("own", 1, limit)).alias("b")).select("page_id", "b.*")
+
+
+def harvested_records(found: DataFrame, site: str, url: Column | str, retrieved_at: str | None = None) -> DataFrame:
+    """Manifest records of harvested blocks(page_id, number, stem, answer_raw, image_url): origin `harvested`, answers still to be filled in.
+
+    Ids are the site and the number, of two digits at least; retrieved_at: one time for the run, UTC, by default now.
+    """
+    id_ = F.concat(F.lit(site + "_"), F.format_string("%02d", "number"))
+    when = F.lit(retrieved_at) if retrieved_at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return records.record(
+        found, problem_id=id_, family=F.lit("harvested"), category=F.lit(1), stem=F.col("stem"), image_path=records.image_path(id_), origin=F.lit("harvested"), source_site=F.lit(site),
+        source_url=url if isinstance(url, Column) else F.lit(url), source_problem_id=id_, retrieved_at=when, original_answer=F.col("answer_raw"),
+    )
 
 
 def skipped(pages: DataFrame) -> DataFrame:
     """Numbers of a page that can't be harvested."""
-    df = fields(blocks(pages))
-    return df.select("page_id", "number").join(df.where("harvestable").select("page_id", "number"), ["page_id", "number"], "left_anti")
+    return fields(blocks(pages)).where("NOT harvestable").select("page_id", "number")
 
 
 def numbering(df: DataFrame, key: str = "page_id", number: str = "number") -> DataFrame:
-    """Per key: least and greatest number, and the gaps between."""
+    """Per page: least and greatest number, and the gaps between. A block's number has three digits at most, so a page's set of them is bounded."""
     out = df.groupBy(key).agg(F.collect_set(F.col(number).cast("long")).alias("all"))
     return out.select(key, F.array_min("all").alias("low"), F.array_max("all").alias("high"), F.array_sort(F.array_except(F.sequence(F.array_min("all"), F.array_max("all")), "all")).alias("gaps"))
 
 
+def gap_counts(df: DataFrame, key: str, number: str) -> DataFrame:
+    """Per key, however many numbers it has: least and greatest number, and how many between are missing. Counted, never gathered."""
+    distinct = df.select(F.col(key), F.col(number).cast("long").alias("_n")).where("_n IS NOT NULL").distinct()
+    return distinct.groupBy(key).agg(F.min("_n").alias("low"), F.max("_n").alias("high"), (F.max("_n") - F.min("_n") + 1 - F.count("*")).alias("gaps"))
+
+
 def layout(found: DataFrame) -> DataFrame:
-    """Where a block's answer is: in the block, in a video only, or nowhere; and which kind of image it has."""
-    has = F.regexp_extract("html", ANSWER, 1) != ""
-    video = F.col("html").rlike(r"(?i)youtube|youtu\.be|<iframe|<video")
-    lazy = F.col("html").rlike(r"<img[^>]*\bsrc=\"data:")
-    return found.select("page_id", "number", F.when(has, "same block").when(video, "video only").otherwise("none").alias("answer"), F.when(F.col("html").rlike(IMAGE) & ~lazy, "url").when(lazy, "lazy stub").otherwise("none").alias("image"), F.size(F.regexp_extract_all("html", F.lit(r"(<a\b)"), F.lit(1))).cast("long").alias("links"))
+    """Per block: layout (A: the diagram is in the header; B: the header is the number alone), answer (same block, video
+    only, none), hidden (the answer is collapsed), image (url, lazy stub, none), links, videos, and prompt, whether the question is in the text."""
+    html, head = F.col("html"), F.regexp_extract("html", r"(?s)^<h5.*?</h5>", 0)
+    video = html.rlike(r"(?i)youtu")
+    diagram = diagram_of(html)
+    lazy = html.rlike(r"<img[^>]*\bdata-src=") | diagram.startswith("data:")
+    answer = answer_of(html)
+    prompt = F.trim(F.replace(F.trim(F.regexp_replace(strip_tags(html), NUMBER, "")), F.lit("Show Answer"), F.lit("")))
+    prompt = F.when(answer.isNotNull(), F.trim(F.replace(prompt, answer, F.lit("")))).otherwise(prompt)
+    return found.select(
+        "page_id", "number", F.when(diagram_of(head).isNotNull(), "A").otherwise("B").alias("layout"), F.when(answer.isNotNull(), "same block").when(video, "video only").otherwise("none").alias("answer"),
+        html.rlike(r"<div[^>]*class=\"[^\"]*\bsh-content\b[^\"]*\bsh-hide\b|<div[^>]*\bsh-content\b[^>]*\shidden\b").alias("hidden"),
+        F.when(diagram.startswith("http"), "url").when(diagram.isNotNull() & lazy, "lazy stub").otherwise("none").alias("image"),
+        F.regexp_count(html, F.lit(r"<a\b")).cast("long").alias("links"), F.regexp_count(html, F.lit(r"(?i)<a\b[^>]*href=\"[^\"]*youtu")).cast("long").alias("videos"), (F.length(prompt) >= 15).alias("prompt"),
+    )
+
+
+def layout_counts(found: DataFrame) -> DataFrame:
+    """(layout, blocks): how many blocks have which layout."""
+    return layout(found).groupBy("layout").agg(F.count("*").alias("blocks"))
+
+
+def survey(found: DataFrame) -> DataFrame:
+    """Per page: blocks, those with an answer, with a video only and with neither, with no prompt, with a diagram's URL or a stub of it, and whether one fetch gets all diagrams."""
+    rows = layout(found)
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    out = rows.groupBy("page_id").agg(
+        F.count("*").alias("blocks"), of("answer", "same block").alias("with_answer"), of("answer", "video only").alias("video_only"), of("answer", "none").alias("neither"),
+        F.count_if(~F.col("prompt")).alias("no_prompt"), of("image", "url").alias("with_diagram"), of("image", "lazy stub").alias("lazy_stub"),
+    )
+    return out.withColumn("single_fetch", F.col("with_diagram") == F.col("blocks"))
+
+
+def markers(pages: DataFrame) -> DataFrame:
+    """(page_id, marker, n): how often each trace of formulas occurs in a page."""
+    n = lambda m: ((F.length("html") - F.length(F.replace("html", F.lit(m), F.lit("")))) / len(m)).cast("long")
+    return pages.select("page_id", F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), n(m).alias("n")) for m in MARKERS])).alias("x")).select("page_id", "x.*")

@@ -78,31 +78,38 @@ def payload(family: Family, precision: int = 6) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
+#: How deep lists may lie in one another in variant_payload.
+DEPTH = 4
+
+
 def variant_payload(value: str, precision: int = 6) -> Column:
     """The canonical text of any JSON value given as the text column `value`: true, false, numbers, strings, null and lists are told apart by tags.
 
-    An object is a list of [key, value] in the order of its keys; lists may hold lists of scalars. Text that isn't JSON gives null.
+    An object is a list of [key, value] in the order of its keys. Lists may lie in one another up to DEPTH; what is deeper, objects
+    within, and text that isn't JSON give null.
     """
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
-    def scalar(raw: Column) -> Column:
-        text = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]
-        places = F.round(raw.cast("decimal(38,10)"), precision).cast(f"decimal(38,{precision})").cast("string")
+    def scalar(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        places = F.round(v.cast("string").try_cast("decimal(38,10)"), precision).cast(f"decimal(38,{precision})").cast("string")
         return (
-            F.when(raw == "null", '["z",null]').when(raw.isin("true", "false"), F.concat(F.lit('["b",'), raw, F.lit("]")))
-            .when(raw.startswith('"'), F.concat(F.lit('["s",'), F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("]")))
-            .otherwise(F.concat(F.lit('["n","'), places, F.lit('"]')))
+            F.when(kind == "VOID", '["z",null]').when(kind == "BOOLEAN", F.concat(F.lit('["b",'), v.cast("string"), F.lit("]"))).when(kind == "STRING", F.concat(F.lit('["s",'), text(v.cast("string")), F.lit("]")))
+            .when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.concat(F.lit('["n","'), places, F.lit('"]')))
         )
 
-    items = lambda raw: F.expr("NULL").cast("array<string>") if raw is None else F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<variant>")  # noqa: E731, F841
+    def normal(v: Column, depth: int = DEPTH) -> Column:
+        if not depth:
+            return scalar(v)
+        items = F.transform(v.cast("array<variant>"), lambda x: normal(x, depth - 1))
+        whole = F.when(F.forall(items, lambda x: x.isNotNull()), F.concat(F.lit('["l",['), F.array_join(items, ","), F.lit("]]")))
+        return F.when(F.schema_of_variant(v).startswith("ARRAY"), whole).otherwise(scalar(v))
+
     whole = F.expr(f"try_parse_json(`{value}`)")
-    listed = lambda array: F.concat(F.lit('["l",['), F.array_join(array, ","), F.lit("]]"))
-    inner = lambda v: F.transform(v.cast("array<variant>"), lambda x: scalar(F.to_json(x)))
-    any_value = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), listed(inner(v))).otherwise(scalar(F.to_json(v)))
-    member = lambda k, v: F.concat(F.lit("["), F.regexp_extract(F.to_json(F.struct(k.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit(","), any_value(v), F.lit("]"))
-    keyed = F.array_sort(F.transform(F.map_entries(F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole.cast("map<string,variant>"))), lambda e: F.struct(e["key"].alias("key"), member(e["key"], e["value"]).alias("text"))))
-    deep = lambda v: F.transform(v.cast("array<variant>"), any_value)
-    kind = F.schema_of_variant(whole)
-    return F.when(kind.startswith("OBJECT"), F.concat(F.lit("["), F.array_join(F.transform(keyed, lambda e: e["text"]), ","), F.lit("]"))).when(kind.startswith("ARRAY"), listed(deep(whole))).otherwise(scalar(F.to_json(whole)))
+    members = F.transform(F.map_entries(whole.cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), normal(e["value"]).alias("value")))
+    pairs = F.transform(F.array_sort(members), lambda e: F.concat(F.lit("["), text(e["key"]), F.lit(","), e["value"], F.lit("]")))
+    keyed = F.when(F.forall(pairs, lambda x: x.isNotNull()), F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]")))
+    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), keyed).otherwise(normal(whole))
 
 
 def sign(df: DataFrame, family: Family, precision: int = 6) -> DataFrame:
@@ -152,11 +159,15 @@ def figure_fault(df: DataFrame) -> DataFrame:
     return df.withColumn("fault", S.fault(F.col("spec")))
 
 
-def verified_or_fail(df: DataFrame) -> DataFrame:
-    """The same rows; reading one that isn't verified ends the query."""
+def verified_or_fail(df: DataFrame, among: Column | None = None) -> DataFrame:
+    """The same rows; reading one that isn't verified ends the query. among: which rows that holds for; a filter that comes
+    before this call may be evaluated behind it, so a caller that drops rows names those it keeps here."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nothing"))
     text = F.concat(F.lit("the drawn figure doesn't measure as solved: "), shown("measured"), F.lit(" against "), shown("answer_decimal"))
-    return df.withColumn("verified", F.when(F.col("verified"), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+    wrong = ~F.coalesce("verified", F.lit(False))
+    if among is not None:
+        wrong = F.coalesce(among, F.lit(False)) & wrong
+    return df.withColumn("verified", F.when(wrong, F.raise_error(text).cast("boolean")).otherwise(F.col("verified")))
 
 
 def problem_id(family: Column | str, index: Column) -> Column:

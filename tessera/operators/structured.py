@@ -130,7 +130,7 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
         f = fam.get(name)
         own = loaded.where((F.col("family") == name) & F.col("load_error").isNull())
         one = st.measure(st.solve(st.sign(st.judge(own, f), f, precision), f))
-        one = one.select(*shared, "blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified", F.col("expected.value").alias("expected_value"))
+        one = one.select(*shared, "blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified", "spec", F.col("expected.value").alias("expected_value"))
         out = one if out is None else out.unionByName(one)
     failed = loaded.where("load_error IS NOT NULL").select(*shared)
     df = out.unionByName(failed, allowMissingColumns=True)
@@ -151,7 +151,8 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
 
 def emitted_records(found: DataFrame) -> DataFrame:
     """Manifest records of the rows of `statuses` that are emitted: their own ids, answers and sources. A row whose figure doesn't measure as solved ends the query."""
-    rows = st.verified_or_fail(found.where("status = 'emitted'")).where("verified")
+    emitted = F.col("status") == "emitted"
+    rows = st.verified_or_fail(found, emitted).where(emitted & F.col("verified"))
     own = ("family", "stem", "answer_exact", "answer_decimal", "params", "signature", "expected_answer", *SOURCE_FIELDS.values())
     return records.record(
         rows, problem_id=F.col("input_id"), category=F.lit(1), image_path=records.image_path(F.col("input_id")), origin=F.lit("structured"), generator_version=F.lit(records.__version__), **{c: F.col(c) for c in own},

@@ -12,7 +12,7 @@ from tessera.functions.regions import measured_spec
 from tessera.operators import families as fam
 from tessera.operators import figure, harvest, records, structured
 from tessera.operators import stages as st
-from tessera.plans.queries import _COMPOSITE, _NESTED, emitted, query
+from tessera.plans.queries import _CIRCLE, _COMPOSITE, _COORDINATE, _NESTED, emitted, query
 from tessera.plans.runs import report, run
 from tessera.sources.draws import SAMPLERS, draws
 
@@ -121,6 +121,25 @@ def structured_status(spark, sf_dir):
     return structured.statuses(_structured_lines(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_COMPOSITE}, r AS (SELECT o_orderkey AS k, signature, CAST(answer AS BIGINT) AS answer, CASE WHEN o_orderkey % 10 IN (0, 2, 4) THEN 'x' WHEN o_orderkey % 10 = 3 THEN 'x' END AS early, o_orderkey % 10 = 5 AS wrong FROM composite_j),
+f AS (SELECT *, min(CASE WHEN early IS NULL AND NOT wrong THEN k END) OVER (PARTITION BY early IS NULL, signature) AS first FROM r)
+SELECT 'row' || CASE WHEN k % 10 = 1 THEN k - 1 + 1000000000 ELSE k END AS problem_id, 'structured' AS origin, signature, CAST(answer AS VARCHAR) AS answer_exact, CAST(answer AS VARCHAR) AS expected_answer, 'https://x/' || k AS source_url, CAST(NULL AS VARCHAR) AS source_site, CAST(NULL AS VARCHAR) AS invalid FROM f WHERE early IS NULL AND NOT wrong AND first = k""")
+def structured_records(spark, sf_dir):
+    """Hand-entered rows to manifest records: own ids, expected answers and sources; none breaks a record's rules."""
+    lines = _structured_lines(spark, sf_dir)
+    sourced = F.regexp_replace("value", r"\}$", "").eqNullSafe(F.col("value"))
+    lines = lines.withColumn("value", F.when(sourced, F.col("value")).otherwise(F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(', "source": {"url": "https://x/'), (F.col("line") - 1).cast("string"), F.lit('"}}'))))
+    rows = structured.emitted_records(structured.statuses(lines))
+    return rows.select("problem_id", "origin", "signature", "answer_exact", "expected_answer", "source_url", "source_site", records.invalid_reason().alias("invalid"))
+
+
+@query(f"""WITH {_COMPOSITE}, w AS (SELECT unnest([CASE WHEN NOT (notch_w / width BETWEEN 0.25 AND 0.75) THEN 'notch width is of the figure, outside' END, CASE WHEN NOT (notch_h / height BETWEEN 0.25 AND 0.75) THEN 'notch height is of the figure, outside' END]) AS warning FROM composite WHERE o_orderkey % 10 NOT IN (0, 2, 3, 4))
+SELECT warning, count(*) AS n FROM w WHERE warning IS NOT NULL GROUP BY 1""")
+def structured_warnings(spark, sf_dir):
+    """Readability warnings of hand-entered rows by cause; they don't block."""
+    return structured.warning_counts(structured.statuses(_structured_lines(spark, sf_dir)))
+
+
 # --- answers --------------------------------------------------------------------------------------
 def _published(spark, sf_dir) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -189,7 +208,7 @@ def harvest_skipped(spark, sf_dir):
 SELECT host, low, high, high - low + 1 - n AS gaps FROM s""")
 def harvest_numbering_gaps(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), "page_id")
-    return harvest.numbering(pages, "host", "page_id").select("host", "low", "high", F.size("gaps").cast("long").alias("gaps"))
+    return harvest.gap_counts(pages, "host", "page_id")
 
 
 # --- figures --------------------------------------------------------------------------------------
@@ -221,14 +240,89 @@ def slab_region_measure(spark, sf_dir):
     return df.select("name", F.round("m.measured", 6).alias("measured"), F.col("m.error").isNotNull().alias("failed"))
 
 
-@query()
+_N = lambda x: f"printf('%.4f', round({x}, 4) + 0.0)"  # noqa: E731  a number of a figure's text
+_OUTLINE = "'M0.0000 ' || " + " || ".join(["'0.0000L'", _N("width"), "' 0.0000L'", _N("width"), "' '", _N("notch_h - height"), "'L'", _N("width - notch_w"), "' '", _N("notch_h - height"), "'L'", _N("width - notch_w"), "' '", _N("-height"), "'L0.0000 '", _N("-height"), "'Z'"])
+_TEXTS = " || ".join(f"""'<text x="' || {_N(x)} || '" y="' || {_N(y)} || '">' || {t} || '</text>'""" for x, y, t in (("width / 2", "g", "width"), ("width - notch_w / 2", "notch_h - height - g", "notch_w"), ("width - notch_w + g", "notch_h / 2 - height", "notch_h"), ("-g", "-height / 2", "height")))
+
+
+@query(f"""WITH {_COMPOSITE}, f AS (SELECT *, 0.03 * greatest(width, height) AS g FROM composite_j WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1),
+b AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS idx, greatest(width, width - notch_w + g) AS rgt, greatest(height, height - notch_h + g) AS top FROM f),
+v AS (SELECT *, (rgt - g) / 2 AS cx, (top - g) / 2 AS cy, greatest(rgt + g, top + g) / 2 * 1.14 AS half FROM b)
+SELECT 'composite_rectilinear_' || printf('%05d', idx) AS problem_id, '<svg xmlns="http://www.w3.org/2000/svg" width="400" height="400" viewBox="' || {_N("cx - half")} || ' ' || {_N("-(cy + half)")} || ' ' || {_N("half * 2")} || ' ' || {_N("half * 2")} || '"><path class="shaded" fill-rule="nonzero" d="' || {_OUTLINE} || '"/><path class="outline" d="' || {_OUTLINE} || '"/>' || {_TEXTS} || '</svg>' AS svg FROM v""")
 def figure_svg(spark, sf_dir):
     """The notched rectangles' figures as text."""
     df = emitted(spark, sf_dir, "composite_rectilinear")
-    p = fam.COMPOSITE.columns(df)
-    texts = F.array(*[fam.number_text(x) for x in (p["width"], p["height"] - p["notch_h"], p["notch_w"], p["notch_h"], p["width"] - p["notch_w"], p["height"])])
-    drawn = F.array(*[F.lit(i not in (1, 4)) for i in range(6)])
-    return df.select(st.problem_id("composite_rectilinear", F.col("index")).alias("problem_id"), figure.svg(fam.outline(p), None, texts, drawn).alias("svg"))
+    return df.select(st.problem_id("composite_rectilinear", F.col("index")).alias("problem_id"), figure.render(F.col("spec")).alias("svg"))
+
+
+@query(f"""WITH {_NESTED}, f AS (SELECT DISTINCT signature, n, m FROM nested_j WHERE reason IS NULL) SELECT 'nested_polygons' AS family, count(*) AS figures, CAST(sum(n + m) AS BIGINT) AS labels, CAST(0 AS BIGINT) AS dots, CAST(0 AS BIGINT) AS grids, CAST(0 AS BIGINT) AS faults FROM f
+UNION ALL (WITH {_CIRCLE} SELECT 'inscribed_circle', count(*), CAST(sum(k) AS BIGINT), 0, 0, 0 FROM (SELECT DISTINCT signature, k FROM circle_j))
+UNION ALL (WITH {_COORDINATE} SELECT 'coordinate_polygon', count(*), count(*) * 2, CAST(sum(corners) AS BIGINT), count(*), 0 FROM (SELECT DISTINCT signature, corners FROM coordinate_j WHERE reason IS NULL))""")
+def figure_parts(spark, sf_dir):
+    """Labels, marked points and grids that the figures of the other families show, and how many can't be drawn."""
+    out = None
+    for name in ("nested_polygons", "inscribed_circle", "coordinate_polygon"):
+        df = emitted(spark, sf_dir, name).select(figure.render(F.col("spec")).alias("s"), figure.render_fault(F.col("spec")).alias("f"))
+        n = lambda what: F.sum(F.regexp_count("s", F.lit(what))).cast("long")
+        one = df.agg(F.lit(name).alias("family"), F.count("*").alias("figures"), n("<text ").alias("labels"), n('class="dot"').alias("dots"), n('class="grid"').alias("grids"), F.count("f").alias("faults"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- pages in the source's layout -----------------------------------------------------------------
+def _problem_pages(spark, sf_dir) -> DataFrame:
+    """Pages whose paragraphs are numbered blocks of the source's layout: by the paragraph's number some lack an answer, an image, or both, and one in seven repeats a number."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1)).alias("ps"))
+    number = lambda i: F.when(i % 7 == 6, i).otherwise(i + 1).cast("string")
+    answer = lambda i: F.when(i % 3 != 2, F.concat(F.lit(r'<div class="sh-link">Show Answer</div><div class="sh-content sh-hide">\('), (i * 10).cast("string"), F.lit(r"\)</div>"))).otherwise("")
+    image = lambda i: F.when(i % 4 == 3, '<p><img src="data:x" data-src="y"></p>').otherwise(F.concat(F.lit('<p><a href="https://youtu.be/x"><img src="https://x/play.png"></a><img src="https://x/'), i.cast("string"), F.lit('.png"></p>')))
+    block = lambda x, i: F.concat(F.lit(r"<h5>\(\textbf{"), number(i), F.lit(r")}\) Question "), F.length(x).cast("string"), F.lit(" of the page. "), answer(i), F.lit("</h5>"), image(i))
+    return p.select("page_id", F.concat(F.when(F.col("page_id") % 10 == 9, '<div class="other">').otherwise('<div class="entry-content">'), F.array_join(F.transform("ps", block), ""), F.lit("</div>")).alias("html"))
+
+
+_PAGES = """ps AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages), x AS (SELECT page_id, i, length(ps[i + 1]) AS chars, CASE WHEN i % 7 = 6 THEN i ELSE i + 1 END AS number, i % 3 <> 2 AS answered, i % 4 <> 3 AS pictured FROM ps, range(0, 10000) r(i) WHERE i < len(ps) AND page_id % 10 <> 9),
+h AS (SELECT * FROM x WHERE i % 7 <> 6), t AS (SELECT h.*, h.answered OR coalesce(n.answered, false) AS any_answer, CASE WHEN h.answered THEN h.i WHEN n.answered THEN n.i END AS said, h.pictured OR coalesce(n.pictured, false) AS any_picture, CASE WHEN h.pictured THEN h.i WHEN n.pictured THEN n.i END AS shown, h.pictured OR coalesce(n.pictured, false) AS video,
+  h.pictured AS first_pictured, n.i IS NOT NULL AS longer, coalesce(n.answered, false) AS second_answered FROM h LEFT JOIN x n ON h.page_id = n.page_id AND n.i = h.i + 1 AND n.i % 7 = 6)"""
+
+
+@query(f"""WITH {_PAGES} SELECT page_id, CAST(number AS INT) AS number, 'Question ' || chars || ' of the page.' AS stem, CASE WHEN any_answer THEN '\\(' || said * 10 || '\\)' END AS answer_raw, CASE WHEN any_picture THEN 'https://x/' || shown || '.png' END AS image_url, any_answer AND any_picture AS harvestable FROM t""")
+def harvest_block_fields(spark, sf_dir):
+    """Stem, answer and image of each numbered block, by the harvest operators."""
+    return harvest.fields(harvest.blocks(_problem_pages(spark, sf_dir))).drop("html")
+
+
+@query(f"""WITH {_PAGES}, g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY number) AS r FROM t WHERE any_answer AND any_picture)
+SELECT 'andymath_' || printf('%02d', number) AS problem_id, CAST(page_id AS VARCHAR) AS source_url, 'Question ' || chars || ' of the page.' AS stem, 'images/andymath_' || printf('%02d', number) || '.png' AS image_path, '\\(' || said * 10 || '\\)' AS original_answer, CASE WHEN said > 0 THEN CAST(said * 10 AS VARCHAR) ELSE '0' END AS answer_exact, CAST(said * 10 AS DOUBLE) AS answer_decimal FROM g WHERE r <= 10""".replace("andymath", "site"))
+def harvest_records(spark, sf_dir):
+    """The first ten harvestable blocks of each page as manifest records, their answers filled in."""
+    found = harvest.harvest(_problem_pages(spark, sf_dir))
+    rows = ans.fill_in(harvest.harvested_records(found, "site", F.col("page_id").cast("string"), "2024-01-01T00:00:00+00:00"))
+    return rows.select("problem_id", "source_url", "stem", "image_path", "original_answer", "answer_exact", "answer_decimal")
+
+
+@query(f"WITH {_PAGES} SELECT page_id, CAST(number AS INT) AS number FROM t WHERE NOT (any_answer AND any_picture)")
+def harvest_unusable(spark, sf_dir):
+    """Numbered blocks that can't be harvested."""
+    return harvest.skipped(_problem_pages(spark, sf_dir))
+
+
+@query(f"""WITH {_PAGES} SELECT page_id, count(*) AS blocks, count(*) FILTER (WHERE any_answer) AS with_answer, count(*) FILTER (WHERE NOT any_answer AND video) AS video_only, count(*) FILTER (WHERE NOT any_answer AND NOT video) AS neither, CAST(0 AS BIGINT) AS no_prompt,
+count(*) FILTER (WHERE first_pictured) AS with_diagram, count(*) FILTER (WHERE NOT first_pictured) AS lazy_stub, count(*) FILTER (WHERE first_pictured) = count(*) AS single_fetch FROM t GROUP BY 1""")
+def harvest_survey(spark, sf_dir):
+    """What the pages' blocks hold: answers, videos, prompts, diagrams."""
+    return harvest.survey(harvest.blocks(_problem_pages(spark, sf_dir)))
+
+
+@query(r"""SELECT marker, CAST(sum((length(html) - length(replace(html, marker, ''))) // length(marker)) AS BIGINT) AS n FROM pages, (VALUES ('\('), ('\['), ('$$'), ('latex'), ('MathJax'), ('katex')) m(marker) GROUP BY 1""")
+def harvest_markers(spark, sf_dir):
+    """Traces of formulas in the pages as they are."""
+    return harvest.markers(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")).groupBy("marker").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT CASE WHEN html LIKE '%class="entry-content"%' THEN 'entry-content' WHEN regexp_matches(html, '<article[\\s>]') THEN 'article' WHEN regexp_matches(html, '<main[\\s>]') THEN 'main' WHEN regexp_matches(html, '<div[^>]*class="[^"]*\\bpost-content\\b') THEN 'post-content' WHEN regexp_matches(html, '<div[^>]*class="[^"]*\\bcontent\\b') THEN 'content' WHEN regexp_matches(html, '<body[\\s>]') THEN 'body' END AS area, count(*) AS pages FROM pages GROUP BY 1""")
+def harvest_areas(spark, sf_dir):
+    """Which content area the pages have."""
+    return harvest.content_area(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("area").agg(F.count("*").alias("pages"))
 
 
 # --- drawn runs -----------------------------------------------------------------------------------

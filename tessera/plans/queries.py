@@ -98,6 +98,8 @@ def emitted(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     valid = st.judge(st.sets(source(spark, sf_dir, family), f, order), f).where("reject_code IS NULL")
     firsts = st.sign(valid, f).groupBy("signature").agg(F.min_by(F.struct(*f.params), "first").alias("p"), F.min("first").alias("first"))
     firsts = numbered(firsts, ["first"], "index", 0)
+    if f.space is not None:  # no more rows than the space has: few enough to end up in one task, so they are dealt out
+        firsts = firsts.repartition(spark.sparkContext.defaultParallelism, "signature")
     return st.solve(firsts.select("signature", "index", "p.*"), f)
 
 
@@ -211,19 +213,18 @@ def coordinate_polygons(spark, sf_dir):
     return _emit(emitted(spark, sf_dir, "coordinate_polygon").withColumn("corners", F.size("points").cast("long")), "coordinate_polygon", "corners", "answer_exact")
 
 
-_BASES = ("1", "sqrt(2)", "sqrt(3)")
-
-
-@query(f"""WITH {_NESTED}, f AS (SELECT * FROM nested_j WHERE reason IS NULL AND n IN (4, 6, 8, 12) AND m IN (3, 4, 6, 8) QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1)
+@query(f"""WITH {_NESTED}, f AS (SELECT * FROM nested_j WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY signature ORDER BY ord) = 1)
 SELECT signature, CAST((CASE n WHEN 4 THEN 4 WHEN 8 THEN 8 WHEN 12 THEN 24 ELSE 0 END) * side_outer ** 2 - (CASE m WHEN 4 THEN 4 WHEN 8 THEN 8 ELSE 0 END) * side_inner ** 2 AS BIGINT) AS quarters,
 CAST((CASE n WHEN 8 THEN 8 ELSE 0 END) * side_outer ** 2 - (CASE m WHEN 8 THEN 8 ELSE 0 END) * side_inner ** 2 AS BIGINT) AS quarters_sqrt2,
-CAST((CASE n WHEN 6 THEN 6 WHEN 12 THEN 12 ELSE 0 END) * side_outer ** 2 - (CASE m WHEN 3 THEN 1 WHEN 6 THEN 6 ELSE 0 END) * side_inner ** 2 AS BIGINT) AS quarters_sqrt3 FROM f""")
+CAST((CASE n WHEN 6 THEN 6 WHEN 12 THEN 12 ELSE 0 END) * side_outer ** 2 - (CASE m WHEN 3 THEN 1 WHEN 6 THEN 6 ELSE 0 END) * side_inner ** 2 AS BIGINT) AS quarters_sqrt3,
+CAST(CASE WHEN n IN (3, 4, 6, 8, 12) THEN 0 ELSE n * side_outer ** 2 END AS BIGINT) AS quarters_outer, CAST(CASE WHEN m IN (3, 4, 6, 8, 12) THEN 0 ELSE -m * side_inner ** 2 END AS BIGINT) AS quarters_inner FROM f""")
 def nested_exact_terms(spark, sf_dir):
-    """Exact answers as quarters of 1, sqrt(2) and sqrt(3), for the side counts whose cotangents are such sums."""
-    df = emitted(spark, sf_dir, "nested_polygons").where("n IN (4, 6, 8, 12) AND m IN (3, 4, 6, 8)")
+    """Exact answers as quarters of 1, sqrt(2) and sqrt(3) and, for other side counts, of the cotangents of the outer and the inner polygon."""
+    df = emitted(spark, sf_dir, "nested_polygons")
     df = df.withColumn("t", fam.NESTED.terms(fam.NESTED.columns(df)))
-    part = lambda b: F.coalesce(F.get(F.transform(F.filter("t", lambda t: t["basis"] == b), lambda t: (t["num"] * 4 / t["den"]).cast("long")), F.lit(0)), F.lit(0))
-    return df.select("signature", part("1").alias("quarters"), part("sqrt(2)").cast("long").alias("quarters_sqrt2"), part("sqrt(3)").cast("long").alias("quarters_sqrt3")).withColumn("quarters", F.col("quarters").cast("long"))
+    part = lambda b: F.coalesce(F.get(F.transform(F.filter("t", lambda t: t["basis"] == b), lambda t: (t["num"] * 4 / t["den"]).cast("long")), F.lit(0)), F.lit(0)).cast("long")
+    cot = lambda k: F.concat(F.lit("cot(pi/"), F.col(k).cast("string"), F.lit(")"))
+    return df.select("signature", part("1").alias("quarters"), part("sqrt(2)").alias("quarters_sqrt2"), part("sqrt(3)").alias("quarters_sqrt3"), part(cot("n")).alias("quarters_outer"), part(cot("m")).alias("quarters_inner"))
 
 
 # --- geometry checks ------------------------------------------------------------------------------

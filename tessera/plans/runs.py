@@ -14,15 +14,15 @@ from tessera.plans.queries import ceiling, run_prefix
 from tessera.sources.draws import draws
 
 
-def _drawn(spark: SparkSession, family: str, turn: int, count: int, seed: int, mixed: bool) -> DataFrame:
+def _drawn(spark: SparkSession, family: str, turn: int, count: int, seed: int, mixed: bool, precision: int = 6) -> DataFrame:
     f = fam.get(family)
-    judged = st.sign(st.judge(draws(spark, family, count, seed, mixed), f), f).drop("issues", "warnings")
+    judged = st.sign(st.judge(draws(spark, family, count, seed, mixed), f), f, precision).drop("issues", "warnings")
     df = st.measure(st.solve(st.first_of_signature(judged, ["ord"], F.col("reject_code").isNull()), f))
     params = F.to_json(F.struct(*sorted(f.params)))
-    return df.select(F.lit(family).alias("family"), F.lit(turn).alias("turn"), "ord", "reject_reason", "reject_key", "signature", "stem", "answer_exact", "answer_decimal", "rel_diff", "verified", params.alias("params"), "is_first")
+    return df.select(F.lit(family).alias("family"), F.lit(turn).alias("turn"), "ord", "reject_reason", "reject_key", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified", "spec", params.alias("params"), "is_first")
 
 
-def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_draws: int | None = None, mixed: bool | None = None) -> DataFrame:
+def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_draws: int | None = None, mixed: bool | None = None, precision: int = 6) -> DataFrame:
     """The draws of a run until n problems are out, in order (number), problem ids on those that are emitted.
 
     Streams are drawn to a bounded length and extended while the run isn't over: twice as far each time, up to max_draws.
@@ -30,12 +30,12 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
     families = sorted(families)
     mixed = len(families) > 1 if mixed is None else mixed
     most = max_draws or 200 * n
-    ceilings = {f: c for f in families if (c := ceiling(spark, fam.get(f)).first().ceiling) is not None}
+    ceilings = {f: c for f in families if (c := ceiling(spark, fam.get(f), precision).first().ceiling) is not None}
     count = min(most, max(64, 4 * n))
     while True:
         all_draws = None
         for turn, f in enumerate(families):
-            one = _drawn(spark, f, turn, count, seed, mixed)
+            one = _drawn(spark, f, turn, count, seed, mixed, precision)
             all_draws = one if all_draws is None else all_draws.unionByName(one)
         prefix = stored(run_prefix(all_draws, n, most, ceilings), "run")  # a run is counted, reported and written from one pass
         if count >= most or prefix.agg(F.max("out")).first()[0] == n:
@@ -47,7 +47,7 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
 
 def records_of(prefix: DataFrame, seed: int) -> DataFrame:
     """Manifest records of a run's emitted problems, in their order's columns; one whose figure doesn't measure as solved ends the query."""
-    rows = st.verified_or_fail(prefix.where("is_first")).where("verified")
+    rows = st.verified_or_fail(prefix, F.col("is_first")).where("is_first AND verified")
     return records.generated(rows, F.col("family"), F.col("params"), F.lit(seed), F.col("problem_id"))
 
 
