@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each stage's result to the
-shared folder and reads it as the next stage's docs. All stages but the last give the columns of documents.
+shared folder and reads it as the next stage's docs. All stages but the last give the columns of documents, whatever
+further columns there are. Null texts count as empty in every stage; ties, repeated rows and null ids are rows like
+others; very long texts are read whole; of an empty table each stage makes an empty one.
 """
 
 from __future__ import annotations
@@ -25,27 +27,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host does, go."""
+    """Documents that fail the rules, or whose host does, go; so do null and empty texts, which have no words."""
     return keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays: the least id, null ids last. Null and empty texts are one class."""
     return drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of over 50 words and bytes of 400-byte strings that occur more than once are cut."""
+    """Runs of over 50 words and bytes of 400-byte strings that occur more than once are cut, the first occurrence too; null texts stay null."""
     return _counted(without_repeats(docs, words=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets surrogates."""
+    """Personal data gets surrogates; null texts stay null."""
     return _counted(with_surrogates(docs, PII_KEY).select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 1024 tokens, a row for each piece."""
+    """Training sequences of at most 1024 tokens, a row for each piece; null and empty texts are their end id alone."""
     return pack(docs, public_tokenizers.path(BYTES))
 
 
