@@ -6,7 +6,7 @@
    anchors, and the hash of the region (all bytes of those strings). A gram is long enough that common phrases
    make no anchor in common.
 2. Classes. Rows are counted by (gram, region hash), combined before the shuffle. Grams seen once are
-   dropped; a region seen twice repeats throughout; grams with several regions need their bytes.
+   dropped, and only rows of the others go on; a region seen twice repeats throughout; grams with several regions need their bytes.
 3. Shards. One region of each class is fetched; the regions of a gram meet in one shard, and each
    shard is searched by its suffix array and common prefixes. A gram with more than SPLIT regions
    is spread over several shards, whose sorted keys are then merged by binary search.
@@ -280,17 +280,19 @@ def _merged(spread: DataFrame) -> DataFrame:
 def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coding: Coding = BYTES) -> DataFrame:
     """(id, h, spans): for each document of docs(id, h, text) with repeats, the ranges of starts of repeated strings of so many symbols."""
     rows = stored(_rows(docs, length, coding), "anchors")
-    classes = rows.groupBy("gram", "region").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "first", "last")).alias("at"))
+    # counts alone are shuffled first; what a gram of several rows needs is then fetched from the rows once
+    classes = rows.groupBy("gram", "region").agg(F.count("*").alias("m"))
     grams = classes.groupBy("gram").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("m") == 1).alias("open")).where("total > 1")
-    kept = stored(classes.join(grams, "gram").select("gram", "region", "m", "kinds", "open", "at.*"), "classes")
-    salts = F.ceil(F.col("kinds") / split).cast("int")
+    kept = classes.join(grams, "gram").select("gram", "region", "m", "kinds", "open")
+    hits = stored(rows.join(kept, ["gram", "region"]), "hits")
     # where each region of a gram occurs twice, nothing is open
-    wanted = kept.where("kinds > 1 AND open > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int"))
+    wanted = hits.where("kinds > 1 AND open > 0").groupBy("gram", "region").agg(F.min(F.struct("id", "h", "first", "last")).alias("at"), F.ceil(F.max("kinds") / split).cast("int").alias("salts"))
+    wanted = wanted.select("gram", "region", "at.*", "salts", F.pmod(F.xxhash64("region"), F.col("salts")).cast("int").alias("salt"))
     searched = stored(_searched(_regions(docs, wanted, length, coding), length, split, coding), "searched")
     parts = searched.where("region IS NOT NULL").select("gram", "region", "spans").unionByName(_merged(searched.where("bucket IS NOT NULL")))
-    once = parts.join(kept.where("m = 1").select("gram", "region"), ["gram", "region"])
-    many = kept.where("m > 1").select("gram", "region", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), (F.col("last") - F.col("first")).alias("b"))).alias("spans"))
-    found = rows.join(once.unionByName(many), ["gram", "region"]).select("id", "h", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
+    single = hits.where("m = 1").join(parts, ["gram", "region"]).select("id", "h", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
+    # a region that occurs twice repeats throughout
+    found = single.unionByName(hits.where("m > 1").select("id", "h", F.struct(F.col("first").alias("a"), F.col("last").alias("b")).alias("s")))
     return found.groupBy("id", "h").agg(F.collect_list("s").alias("spans"))
 
 
