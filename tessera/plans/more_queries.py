@@ -87,9 +87,17 @@ def _records(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("""SELECT coalesce(reason, 'valid') AS outcome, count(*) AS records FROM (SELECT CASE p_partkey % 12 WHEN 1 THEN 'category must be 1 or 2' WHEN 2 THEN 'category 1 stem carries geometric information' WHEN 3 THEN 'category 1 requires an image_path'
-WHEN 4 THEN 'answer_exact must be non-empty' WHEN 5 THEN 'answer_decimal is zero' WHEN 6 THEN 'answer_decimal must be a real number' WHEN 7 THEN 'unknown origin' WHEN 8 THEN 'generated lacks seed' WHEN 9 THEN 'params are not a JSON object'
-WHEN 10 THEN 'signature must be non-empty' END AS reason FROM part) GROUP BY 1""")
+_RECORDS = """r AS (SELECT 'part_' || printf('%05d', k) AS problem_id, 'inscribed_circle' AS family, CASE k % 12 WHEN 1 THEN 3 ELSE 1 END AS category, CASE k % 12 WHEN 2 THEN 'Find all 3 sides.' ELSE 'Find the area.' END AS stem, CASE k % 12 WHEN 3 THEN NULL ELSE 'images/x.png' END AS image_path,
+CASE k % 12 WHEN 4 THEN ' ' ELSE '1' END AS answer_exact, CASE k % 12 WHEN 5 THEN 0.0 WHEN 6 THEN NULL ELSE price END AS answer_decimal, CASE k % 12 WHEN 7 THEN 'copied' ELSE 'generated' END AS origin, CASE k % 12 WHEN 8 THEN NULL ELSE 1 END AS seed,
+CASE k % 12 WHEN 9 THEN '[1]' ELSE '{"k":4,"side":1}' END AS params, CASE k % 12 WHEN 10 THEN '' ELSE sha256(CAST(k AS VARCHAR)) END AS signature, '0.2.0' AS generator_version FROM (SELECT p_partkey AS k, p_retailprice AS price FROM part))"""
+
+
+@query(f"""WITH {_RECORDS} SELECT coalesce(reason, 'valid') AS outcome, count(*) AS records FROM (SELECT CASE
+WHEN origin NOT IN ('generated', 'harvested', 'structured', 'given') THEN 'unknown origin' WHEN category NOT IN (1, 2) THEN 'category must be 1 or 2' WHEN category = 1 AND trim(coalesce(image_path, '')) = '' THEN 'category 1 requires an image_path'
+WHEN category = 1 AND regexp_matches(stem, '[0-9]') THEN 'category 1 stem carries geometric information' WHEN category = 2 AND image_path IS NOT NULL THEN 'category 2 must not carry a diagram' WHEN trim(problem_id) = '' THEN 'problem_id must be non-empty' WHEN trim(family) = '' THEN 'family must be non-empty'
+WHEN trim(stem) = '' THEN 'stem must be non-empty' WHEN origin = 'generated' AND (seed IS NULL OR params IS NULL OR signature IS NULL OR generator_version IS NULL) THEN 'generated lacks ' || concat_ws(', ', CASE WHEN seed IS NULL THEN 'seed' END, CASE WHEN params IS NULL THEN 'params' END, CASE WHEN signature IS NULL THEN 'signature' END, CASE WHEN generator_version IS NULL THEN 'generator_version' END)
+WHEN origin = 'generated' AND trim(signature) = '' THEN 'signature must be non-empty' WHEN trim(coalesce(answer_exact, '')) = '' THEN 'answer_exact must be non-empty' WHEN answer_decimal IS NULL THEN 'answer_decimal must be a real number' WHEN NOT isfinite(answer_decimal) THEN 'answer_decimal must be finite'
+WHEN answer_decimal = 0 THEN 'answer_decimal is zero' WHEN json_type(params) <> 'OBJECT' THEN 'params are not a JSON object' END AS reason FROM r) GROUP BY 1""")
 def record_validate_counts(spark, sf_dir):
     return _records(spark, sf_dir).select(F.coalesce(records.invalid_reason(), F.lit("valid")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("records"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.ordinals import numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +38,15 @@ COMPOSITE_ORDER = ["o_orderkey"]
 
 
 def coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events in groups of four by time, groups of three or four kept."""
+    """Each user's events in groups of four by time, groups of three or four kept.
+
+    An event's place among its user's is its place among all less its user's first, so a user with very many events is in
+    no single task.
+    """
     df = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", (F.round(F.col("value") * 100).cast("long") % 13 - 6).alias("x"), (F.get_json_object("props", "$.k").cast("long") % 13 - 6).alias("y"))
-    df = df.withColumn("grp", F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) / 4))
+    df = numbered(df, ["user_id", "ts", "event_id"], "place")
+    first = df.groupBy(F.col("user_id").alias("_user")).agg(F.min("place").alias("_first"))
+    df = df.join(first, df["user_id"].eqNullSafe(first["_user"])).withColumn("grp", F.floor((F.col("place") - F.col("_first")) / 4))
     points = df.groupBy("user_id", "grp").agg(F.array_sort(F.collect_list(F.struct("event_id", F.array("x", "y").alias("p")))).alias("own"))
     return points.where(F.size("own") >= 3).select("user_id", "grp", F.transform("own", lambda e: e["p"]).alias("points"))
 

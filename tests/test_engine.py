@@ -17,6 +17,7 @@ from tessera.operators import figure, harvest, records, structured
 from tessera.operators import stages as st
 from tessera.operators.ordinals import least_by, numbered
 from tessera.plans.runs import run
+from tessera.sources.draws import draws
 
 #: The first ten problems of each family's run with seed 7, in the order of their parameters' names.
 GOLDEN = {
@@ -34,6 +35,26 @@ def test_golden_runs(spark, family):
     assert [[json.loads(r.params)[n] for n in names.split()] for r in got] == want
 
 
+@pytest.mark.parametrize("family,rate", [("nested_polygons", 0.491), ("inscribed_circle", 1.0), ("composite_rectilinear", 0.354), ("coordinate_polygon", 0.438)])
+def test_acceptance(spark, family, rate):
+    """Published shares of valid ones among 1,000 draws of seed 0."""
+    f = fam.get(family)
+    got = st.judge(draws(spark, family, 1000, 0), f).agg(F.count_if(F.col("reject_code").isNull())).first()[0]
+    assert got == round(1000 * rate)
+
+
+def test_a_run_adds_up(spark):
+    from tessera.plans.runs import causes, report
+
+    prefix = run(spark, ["nested_polygons"], 150, 0)
+    r = report(prefix).first()
+    assert r.draws == r.invalid + r.duplicates + r.emitted and r.emitted == 150 and 0 <= r.collision_rate < 0.5
+    out = prefix.where("is_first").orderBy("number").collect()
+    assert len({x.signature for x in out}) == 150 and [x.problem_id for x in out] == [f"nested_polygons_{i:05d}" for i in range(150)]
+    counts = [x.n for x in causes(prefix).collect()]
+    assert sum(counts) == r.invalid and counts == sorted(counts, reverse=True)
+
+
 # --- figures as data ------------------------------------------------------------------------------
 def solved(spark, sql, family):
     return st.solve(spark.sql(sql), family)
