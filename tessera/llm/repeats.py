@@ -206,9 +206,8 @@ def _searched(regions: DataFrame, length: int, split: int, coding: Coding) -> Da
 
     def flush(held):
         out, spread = [], {}
-        for (gram, region, salt, salts, data), starts in zip(held, repeated([h[4] for h in held], wide), strict=True):
-            if unit > 1:  # a string that starts within a symbol is none
-                starts = starts[starts % unit == 0] // unit
+        for (gram, region, salt, salts, data), starts in zip(held, repeated([h[4] for h in held], wide, unit), strict=True):
+            starts = starts // unit
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1) + 1
                 out.append({"gram": gram, "region": region, "spans": [{"a": int(p[0]), "b": int(p[-1])} for p in np.split(starts, cut)]})

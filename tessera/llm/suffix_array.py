@@ -2,6 +2,7 @@
 
 A shard is a list of byte strings (regions). Suffixes end with their region; an ended suffix stands
 before any longer one and equal ended suffixes stand in the order of their regions, so the order is total.
+Where a symbol has `step` bytes, only suffixes that start with a symbol are sorted.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ import numpy as np
 
 
 class Shard:
-    """regions: byte strings, none empty."""
+    """regions: byte strings, none empty, each of whole symbols; step: 1, 2 or 4."""
 
-    def __init__(self, regions: list[bytes]):
+    def __init__(self, regions: list[bytes], step: int = 1):
+        self.step = step
         self.text = np.frombuffer(b"".join(regions), np.uint8)
         self.n = len(self.text)
         sizes = np.array([len(r) for r in regions], np.int64)
@@ -31,28 +33,31 @@ class Shard:
         self.first = word[: self.n] >> cut << cut
 
     def suffixes(self) -> np.ndarray:
-        """Places in the order of their suffixes. Groups of equal first h bytes (five at first) are sorted by the group of the suffix h
-        further on, and h doubles; groups of one are left alone."""
-        n = self.n
+        """Places in the order of their suffixes. Groups of equal first h bytes (five at first, or the whole symbols in them) are
+        sorted by the group of the suffix h further on, and h doubles; groups of one are left alone."""
+        n, step = self.n, self.step
         if not n:
             return np.zeros(0, np.int64)
         place = np.uint64(n.bit_length())
         low = (np.uint64(1) << place) - np.uint64(1)
-        if n < 1 << 24:  # five bytes and the place in one number
-            k = self.first >> np.uint64(24) << np.uint64(24)
-            k |= np.arange(n, dtype=np.uint64)
+        small = n < 1 << 24
+        h = (5 if small else 8) // step * step
+        beside = np.uint64(64 - 8 * h)
+        k = self.first[::step] >> beside << beside
+        if small:  # these bytes and the place in one number
+            k |= np.arange(0, n, step, dtype=np.uint64)
             k.sort()
-            own, key, h = (k & np.uint64((1 << 24) - 1)).astype(np.int64), k >> np.uint64(24), 5
+            own, key = (k & np.uint64((1 << 24) - 1)).astype(np.int64), k >> np.uint64(24)
         else:
-            own, h = np.argsort(self.first), 8
-            key = self.first[own]
+            own = np.argsort(k)
+            own, key = own * step, k[own]
         # ended suffixes that agree so far differ in length by zero bytes at most, or in their regions; all stand before the others
         left = self.end - np.arange(n, dtype=np.int32)
         ended = left.astype(np.int64) * len(self.starts) + self.region
         beyond = int(ended.max()) + 1
         wide = np.uint64((beyond + n).bit_length())
         packed = 2 * int(place) + int(wide) <= 64
-        order, rank, slots = np.empty(n, np.int64), np.empty(n, np.int32), np.arange(n)
+        order, rank, slots = np.empty(len(own), np.int64), np.empty(n, np.int32), np.arange(len(own))
         while True:
             # slots, own: places of the order that aren't settled and who stands there, groups of equal keys together
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -82,18 +87,21 @@ class Shard:
     def common(self, order: np.ndarray) -> np.ndarray:
         """Bytes that the suffix at each place of the order shares with the one before it, region ends respected.
 
-        Kasai: in the order of the text, a place's common prefix is its left neighbour's less one, unless the bytes
+        Kasai: in the order of the text, a place's common prefix is its left neighbour's less a symbol, unless the symbols
         before the two suffixes differ; only there are bytes compared, eight at a time.
         """
+        step = self.step
+        symbols = self.text.view(f"u{step}")
         before = np.full(self.n, -1, np.int64)
         before[order[1:]] = order[:-1]
-        i = np.arange(self.n)
+        i = np.arange(0, self.n, step)
+        own = before[i]
         # a place carries on from its left neighbour if both suffixes have a left neighbour in their regions and the same one
-        carries = np.zeros(self.n, bool)
-        ok = (before > 0) & (i > 0)
-        a, b = i[ok], before[ok]
-        carries[ok] = (self.region[a] == self.region[a - 1]) & (self.region[b] == self.region[b - 1]) & (self.text[a - 1] == self.text[b - 1])
-        base = np.flatnonzero(~carries)
+        carries = np.zeros(len(i), bool)
+        ok = (own > 0) & (i > 0)
+        a, b = i[ok], own[ok]
+        carries[ok] = (self.region[a] == self.region[a - 1]) & (self.region[b] == self.region[b - 1]) & (symbols[a // step - 1] == symbols[b // step - 1])
+        base = i[~carries]
         shared = np.zeros(self.n, np.int64)
         live = base[before[base] >= 0]
         other = before[live]
@@ -114,12 +122,13 @@ class Shard:
         shared[live] = np.minimum(done, most)
         last = np.maximum.accumulate(np.where(carries, 0, i))
         in_text = np.maximum(shared[last] - (i - last), 0)
-        return in_text[order]
+        return in_text[order // step]
 
 
-def repeated(regions: list[bytes], length: int) -> list[np.ndarray]:
-    """For each region, the places where a string of `length` bytes starts that also starts at another place of the shard."""
-    shard = Shard(regions)
+def repeated(regions: list[bytes], length: int, step: int = 1) -> list[np.ndarray]:
+    """For each region, the places where a string of `length` bytes starts that also starts at another place of the shard; with
+    symbols of `step` bytes, places where a symbol starts."""
+    shard = Shard(regions, step)
     if not shard.n:
         return [np.zeros(0, np.int64) for _ in regions]
     order = shard.suffixes()

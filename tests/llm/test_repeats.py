@@ -100,6 +100,26 @@ def test_suffix_array():
         assert [x.tolist() for x in repeated(regions, 5)] == [[k for k in range(len(r) - 4) if seen[r[k : k + 5]] > 1] for r in regions]
 
 
+@pytest.mark.parametrize("step", [2, 4])
+def test_suffix_array_of_symbols(step):
+    rng = np.random.default_rng(step)
+    for _ in range(60):
+        kinds = [bytes(rng.integers(0, 3, step, np.uint8)) for _ in range(3)]
+        regions = [b"".join(kinds[k] for k in rng.integers(0, 3, rng.integers(1, 40))) for _ in range(int(rng.integers(1, 8)))]
+        regions += [r[: max(1, len(r) // step // 2) * step] for r in regions]
+        shard, base = Shard(regions, step), np.cumsum([0, *map(len, regions)])
+        suffixes = sorted((r[k:], j, int(base[j]) + k) for j, r in enumerate(regions) for k in range(0, len(r), step))
+        order = shard.suffixes()
+        assert order.tolist() == [x[2] for x in suffixes]
+        common = shard.common(order).tolist()
+        for k in range(1, len(suffixes)):
+            a, b = suffixes[k - 1][0], suffixes[k][0]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+        wide = 3 * step
+        seen = Counter(r[k : k + wide] for r in regions for k in range(0, len(r) - wide + 1, step))
+        assert [x.tolist() for x in repeated(regions, wide, step)] == [[k for k in range(0, len(r) - wide + 1, step) if seen[r[k : k + wide]] > 1] for r in regions]
+
+
 def test_passages_of_over_50_words_go_from_the_pipeline(spark):
     import corpus_pipeline
 
