@@ -77,19 +77,33 @@ def word_spans(text: str, spans: list[tuple[int, int]], words: int, length: int)
     return [(starts[a], starts[b + words] - length) for a, b in spans]
 
 
+def _joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    """At each place, a hash of a's value there and b's value `by` places on."""
+    n = min(len(a), len(b) - by)
+    h = a[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += b[by : by + n]
+    return h
+
+
 def gram_hashes(symbols: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the `gram` symbols from each place on."""
-    n = len(symbols) - gram + 1
     if symbols.itemsize == 1:
-        parts = np.ndarray((n + gram - 8,), "<u8", np.ascontiguousarray(symbols).data, strides=(1,)).astype(np.uint64)
-        steps = range(0, gram, 8)
+        held = np.ndarray((len(symbols) - 7,), "<u8", np.ascontiguousarray(symbols).data, strides=(1,)).astype(np.uint64)
+        step, width = 8, gram // 8
     else:
-        parts, steps = symbols.astype(np.uint64), range(gram)
-    h = np.zeros(n, np.uint64)
-    for k in steps:
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += parts[k : k + n]
+        held, step, width = symbols.astype(np.uint64), 1, gram
+    # hashes of 1, 2, 4... parts, each of two of the former; those of the gram's binary digits are joined
+    h, at = None, 0
+    while True:
+        if width & 1:
+            h = held[at:] if h is None else _joined(h, held, at)
+            at += step
+        width >>= 1
+        if not width:
+            break
+        held, step = _joined(held, held, step), 2 * step
+    h = h[: len(symbols) - gram + 1].copy()
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
