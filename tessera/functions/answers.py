@@ -1,7 +1,7 @@
-"""Answer texts: plain arithmetic and a LaTeX subset, parsed by hand and evaluated exactly where roots and pi allow.
+"""Answer texts: plain arithmetic and a LaTeX subset, parsed by hand and evaluated exactly.
 
-A value is a sum of rationals times sqrt(a) * pi**b, or a float where a function leaves that set. No
-text is ever evaluated as code.
+A value is a number of functions.field: equal values of roots, pi and e have one text, and a text that isn't one finite
+real constant has an error. No text is ever evaluated as code.
 """
 
 from __future__ import annotations
@@ -15,101 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.field import BITS, PI, E, NotExact, Sum, Value
+
 #: The names that an answer may use.
 NAMES = ("sqrt", "cbrt", "pi", "E", "Rational", "Abs", "sin", "cos", "tan")
 _TOKEN = re.compile(r"\s*(?:([0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)|([A-Za-z_][A-Za-z_0-9]*)|(\*\*|[-+*/^(),]))")
 
 
-class AnswerError(ValueError):
-    """A text that isn't one finite real constant."""
-
-
-def _square_free(n: int) -> tuple[int, int]:
-    """n = a * a * b, b without square factors."""
-    a, b, k = 1, n, 2
-    while k * k <= b and k < 10_000:
-        while b % (k * k) == 0:
-            a, b = a * k, b // (k * k)
-        k += 1
-    return a, b
-
-
-class Value:
-    """terms: {(radicand, power of pi): rational}, or None with a float."""
-
-    def __init__(self, terms: dict | None, number: float | None = None):
-        self.terms = None if terms is None else {k: v for k, v in terms.items() if v}
-        self.number = number if terms is None else sum(float(v) * math.sqrt(r) * math.pi**p for (r, p), v in self.terms.items())
-
-    @staticmethod
-    def of(x: Fraction | int) -> Value:
-        return Value({(1, 0): Fraction(x)})
-
-    def rational(self) -> Fraction | None:
-        return None if self.terms is None or any(k != (1, 0) for k in self.terms) else self.terms.get((1, 0), Fraction(0))
-
-    def __add__(self, other: Value) -> Value:
-        if self.terms is None or other.terms is None:
-            return Value(None, self.number + other.number)
-        return Value({k: self.terms.get(k, 0) + other.terms.get(k, 0) for k in self.terms | other.terms})
-
-    def __neg__(self) -> Value:
-        return Value(None, -self.number) if self.terms is None else Value({k: -v for k, v in self.terms.items()})
-
-    def __mul__(self, other: Value) -> Value:
-        if self.terms is None or other.terms is None:
-            return Value(None, self.number * other.number)
-        out: dict = {}
-        for (r, p), v in self.terms.items():
-            for (s, q), w in other.terms.items():
-                a, b = _square_free(r * s)
-                out[b, p + q] = out.get((b, p + q), 0) + v * w * a
-        return Value(out)
-
-    def inverse(self) -> Value:
-        if self.number == 0:
-            raise AnswerError("division by zero")
-        if self.terms is None or len(self.terms) != 1:
-            return Value(None, 1 / self.number)
-        ((r, p), v), = self.terms.items()
-        return Value({(r, -p): 1 / (v * r)})
-
-    def power(self, other: Value) -> Value:
-        e = other.rational()
-        if e is not None and e.denominator == 1 and abs(e) <= 64:
-            out, base = Value.of(1), self if e >= 0 else self.inverse()
-            for _ in range(abs(int(e))):
-                out = out * base
-            return out
-        if e == Fraction(1, 2):
-            return self.root()
-        return Value(None, float(self.number**other.number)) if self.number >= 0 else _no("root of a negative number")
-
-    def root(self) -> Value:
-        q = self.rational()
-        if self.number < 0:
-            _no("root of a negative number")
-        if q is None:
-            return Value(None, math.sqrt(self.number))
-        a, b = _square_free(q.numerator * q.denominator)
-        return Value({(b, 0): Fraction(a, q.denominator)})
-
-    def text(self) -> str | None:
-        """Irrational terms by pi and radicand, the rational last; a leading negative term trades places with a positive one."""
-        if self.terms is None:
-            return None
-        shown = []
-        for (r, p), v in sorted(self.terms.items(), key=lambda x: (x[0] == (1, 0), -x[0][1], x[0][0])):
-            base = "*".join([f"sqrt({r})"] * (r > 1) + [f"pi**{p}" if p != 1 else "pi"] * (p != 0))
-            n = abs(v.numerator)
-            top = str(n) if not base else base if n == 1 else f"{n}*{base}"
-            shown.append((v < 0, top if v.denominator == 1 else f"{top}/{v.denominator}"))
-        shown.sort(key=lambda x: x[0])
-        return "".join((("-" if neg else "") if i == 0 else " - " if neg else " + ") + t for i, (neg, t) in enumerate(shown)) or "0"
-
-
-def _no(why: str) -> Value:
-    raise AnswerError(why)
+#: A text that isn't one finite real constant.
+AnswerError = NotExact
 
 
 class _Parser:
@@ -205,11 +119,11 @@ class _Parser:
             return out
         self.at += 1
         if kind == "n":
+            if abs(int(said.lower().partition("e")[2] or 0)) > BITS or len(said) > BITS:
+                raise AnswerError("a number has too many digits")
             return Value.of(Fraction(said))
-        if said == "pi":
-            return Value({(1, 1): Fraction(1)})
-        if said == "E":
-            return Value(None, math.e)
+        if said in ("pi", "E"):
+            return Value(Sum({((), ((PI if said == "pi" else E, Fraction(1)),)): Fraction(1)}))
         x = self.arguments()
         if said == "Rational":
             if len(x) not in (1, 2):
@@ -219,24 +133,17 @@ class _Parser:
             raise AnswerError(f"{said} takes one argument")
         v = x[0]
         if said == "sqrt":
-            return v.root()
-        if said == "Abs":
-            return -v if v.number < 0 else v
+            return v.root(2)
         if said == "cbrt":
-            q = v.rational()
-            whole = None if q is None or q < 0 else tuple(round(z ** (1 / 3)) for z in (q.numerator, q.denominator))
-            if whole and whole[0] ** 3 == q.numerator and whole[1] ** 3 == q.denominator:
-                return Value.of(Fraction(*whole))
-            return Value(None, math.cbrt(v.number))
-        return Value(None, {"sin": math.sin, "cos": math.cos, "tan": math.tan}[said](v.number))
+            return -(-v).root(3) if v.number < 0 else v.root(3)
+        if said == "Abs":
+            return v.magnitude()
+        return v.sine() if said == "sin" else v.sine(1) if said == "cos" else v.sine() * v.sine(1).inverse()
 
 
 def parse_plain(text: str) -> Value:
     """A constant: numbers, + - * / ** ^ ( ) , and the allowed names."""
-    out = _Parser(text).whole()
-    if not math.isfinite(out.number):
-        raise AnswerError("not a finite real number")
-    return out
+    return _checked(_Parser(text).whole())
 
 
 _SPAN = re.compile(r"\\\((.*?)\\\)", re.S)
@@ -305,14 +212,16 @@ _FIELDS = T.StructType([T.StructField("exact", T.StringType()), T.StructField("v
 
 
 def _fields(parse, texts: pd.Series) -> pd.DataFrame:
-    rows = []
+    """exact and value, or error: of each text one side is null."""
+    known: dict = {}
     for t in texts:
-        try:
-            v = parse(t or "")
-            rows.append((v.text(), v.number, None))
-        except (AnswerError, OverflowError, RecursionError, ZeroDivisionError) as e:
-            rows.append((None, None, str(e)))
-    return pd.DataFrame(rows, columns=["exact", "value", "error"])
+        if t not in known:
+            try:
+                v = parse(t or "")
+                known[t] = (v.text(), v.number, None)
+            except (NotExact, OverflowError, RecursionError, ZeroDivisionError, ArithmeticError) as e:
+                known[t] = (None, None, str(e) or type(e).__name__)
+    return pd.DataFrame([known[t] for t in texts], columns=["exact", "value", "error"])
 
 
 @F.pandas_udf(_FIELDS)
@@ -325,6 +234,17 @@ def latex_fields(texts: pd.Series) -> pd.DataFrame:
     return _fields(parse_latex, texts)
 
 
+def with_fields(df: DataFrame, text: str, name: str, latex: bool = False) -> DataFrame:
+    """The rows with a struct (exact, value, error) of the text column: each distinct text is parsed once, wherever its rows are.
+
+    Texts are few where rows are many; a null text is one that says nothing.
+    """
+    key = F.coalesce(F.col(text), F.lit(""))
+    parse = latex_fields if latex else plain_fields
+    texts = df.select(key.alias("_said")).distinct().select("_said", parse("_said").alias(name))
+    return df.withColumn("_key", key).join(texts, F.col("_key") == F.col("_said")).drop("_key", "_said")
+
+
 def math_spans(text: Column) -> Column:
     """The spans between \\( and \\), trimmed, without blank ones and units' exponents."""
     spans = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\\\((.*?)\\\)"), F.lit(1)), lambda s: F.trim(s))
@@ -343,5 +263,5 @@ def fill_in(harvested: DataFrame) -> DataFrame:
 
     What can't be parsed leaves both null, not guessed, and says why; a record without an answer is such a one.
     """
-    df = harvested.withColumn("_parsed", latex_fields(F.coalesce("original_answer", F.lit(""))))
+    df = with_fields(harvested, "original_answer", "_parsed", latex=True)
     return df.withColumns({"answer_exact": F.col("_parsed.exact"), "answer_decimal": F.col("_parsed.value"), "answer_error": F.col("_parsed.error")}).drop("_parsed")

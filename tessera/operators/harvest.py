@@ -1,73 +1,189 @@
 """Problems from pages: numbered blocks, their stems, answers and images, and what a page's layout holds.
 
-All in built-in expressions over pages(page_id, html). A block is a numbered header with its siblings up to the next numbered one.
+All in built-in expressions over pages(page_id, html), a page in a row and no shuffle. A page is cut at the tags that make its
+tree; a running sum of +1 for an opening and -1 for a closing tag is the depth, so an element ends at its own closing tag,
+and a numbered header's siblings end with their parent or at the next numbered header among them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators import records
 
 
 def _open(tag: str, name: str | None = None) -> str:
-    """Pattern of a page's part: all behind the opening tag, of a class where one is given."""
-    inside = rf"[^>]*class=\"[^\"]*\b{name}\b[^\"]*\"[^>]*" if name else r"(?:\s[^>]*)?"
-    return rf"(?s)<{tag}{inside}>(.*)"
+    """Pattern of an element's opening tag, of a class where one is given."""
+    return rf"<{tag}\b[^>]*\bclass=\"[^\"]*\b{name}\b[^\"]*\"[^>]*>" if name else rf"<{tag}(?:\s[^>]*)?>"
 
 
+#: Elements that hold others and whose end tag can't be left out; only they count towards the depth.
+CONTAINERS = "article|aside|blockquote|body|button|details|div|figure|footer|form|h[1-6]|header|main|nav|ol|section|table|ul"
 #: Fixed patterns of the source's layout.
-CONTENT = _open("div", "entry-content")
 NUMBER = r"\\textbf\{\s*(\d{1,3})\s*\)\s*\}"
-ANSWER = r"(?s)<div[^>]*class=\"[^\"]*\bsh-content\b[^\"]*\"[^>]*>(.*?)</div>"
-MACHINERY = r"(?s)<div[^>]*class=\"[^\"]*\bsh-(?:content|link)\b[^\"]*\"[^>]*>.*?</div>|<button.*?</button>"
+ANSWER, LINK, HEAD = _open("div", "sh-content"), _open("div", "sh-link"), _open("h5")
+BUTTON = r"(?is)<button\b.*?</button\s*>"
 IMAGE = r"<img[^>]*\bsrc=\"([^\"]*)\""
 PLAY_BUTTON = "play"
 #: Where a page's problems may be, in the order in which they are tried; the body is the last resort.
-AREAS = {"entry-content": CONTENT, "article": _open("article"), "main": _open("main"), "post-content": _open("div", "post-content"), "content": _open("div", "content"), "body": _open("body")}
+AREAS = {"entry-content": ("div", "entry-content"), "article": ("article", None), "main": ("main", None), "post-content": ("div", "post-content"), "content": ("div", "content"), "body": ("body", None)}
 #: Traces of the ways in which pages show formulas.
 MARKERS = ("\\(", "\\[", "$$", "latex", "MathJax", "katex")
+#: Named characters that texts of pages use.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "deg": "°", "plusmn": "±", "sup2": "²", "sup3": "³", "middot": "·", "frac12": "½", "frac14": "¼", "frac34": "¾",
+    "times": "×", "divide": "÷", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "bull": "•", "pi": "π", "theta": "θ", "alpha": "α", "beta": "β", "minus": "−",
+    "radic": "√", "infin": "∞", "asymp": "≈", "ne": "≠", "le": "≤", "ge": "≥", "ang": "∠", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "prime": "′", "thinsp": " ", "ensp": " ", "emsp": " ",
+}
+
+
+# --- the tree -------------------------------------------------------------------------------------
+def markup(html: Column) -> Column:
+    """A page without comments, scripts and styles, whose contents aren't elements; what is not closed goes to the end."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
+
+
+def _pieces(html: Column, names: str) -> Column:
+    """The text cut before each tag of these names: a piece is a tag and what follows it."""
+    return F.split(html, rf"(?i)(?=</?(?:{names})(?:\s[^>]*)?>)", -1)
+
+
+def _step(piece: Column, names: str) -> Column:
+    """What a piece's tag does to the depth."""
+    return F.when(piece.rlike(rf"(?i)^<(?:{names})(?:\s[^>]*)?>"), F.when(piece.rlike(r"^<[^>]*/>"), 0).otherwise(1)).when(piece.rlike(rf"(?i)^</(?:{names})\s*>"), -1).otherwise(0)
+
+
+def element(html: Column, opening: str, name: str) -> Column:
+    """What is in the first element whose opening tag matches, up to its own closing tag; null if there is none. One that isn't closed goes to the end."""
+    at = F.regexp_instr(html, F.lit(f"(?i){opening}"))
+    pieces = _pieces(F.substr(html, F.greatest(at, F.lit(1))), name)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+    def take(s: Column, p: Column) -> Column:
+        depth = s["depth"] + _step(p, name)
+        over = s["over"] | ((depth <= 0) & (s["n"] > 0))
+        return F.struct(F.when(over, 0).otherwise(depth).alias("depth"), F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), over.alias("over"))
+
+    inside = F.array_join(F.slice(pieces, 1, F.greatest(F.aggregate(pieces, zero, take, lambda s: s["n"]), F.lit(1))), "")
+    return F.when(at > 0, F.regexp_replace(inside, r"^<[^>]*>", ""))
+
+
+def without(html: Column, opening: str, name: str) -> Column:
+    """The text without the elements whose opening tag matches, whatever is in them."""
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def take(s: Column, p: Column) -> Column:
+        starts = (s["depth"] == 0) & p.rlike(f"(?i)^{opening}")
+        depth = F.when(starts, 1).when(s["depth"] > 0, s["depth"] + _step(p, name)).otherwise(0)
+        left = F.when(starts | (depth > 0), F.lit("")).when(s["depth"] > 0, F.regexp_replace(p, r"^<[^>]*>", "")).otherwise(p)
+        return F.struct(depth.alias("depth"), F.concat(s["out"], left).alias("out"))
+
+    return F.aggregate(_pieces(html, name), zero, take, lambda s: s["out"])
+
+
+def tree(found: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, number, place, depth, tag, classes, text) of each container in a block: its dump as rows, in the order of place."""
+    pieces = found.select("page_id", "number", F.posexplode(_pieces(markup(F.col(html)), CONTAINERS)).alias("place", "piece"))
+    step = _step(F.col("piece"), CONTAINERS)
+    upto = Window.partitionBy("page_id", "number").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a block of one page
+    tag = F.lower(F.regexp_extract("piece", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    out = pieces.select("page_id", "number", "place", F.sum(step).over(upto).alias("depth"), tag.alias("tag"), step.alias("step"), F.regexp_extract("piece", r"^<[^>]*\bclass=\"([^\"]*)\"", 1).alias("classes"), strip_tags(F.col("piece")).alias("text"))
+    return out.where("step > 0 OR text <> ''").drop("step")
+
+
+def unescape(text: Column) -> Column:
+    """Characters for their numbers and names; what names nothing stays."""
+    pieces = F.split(text, r"(?=&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});)", -1)
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        said = F.regexp_extract(p, r"^&(#?[A-Za-z0-9]+);", 1)
+        number = F.when(said.rlike("^#[xX]"), F.conv(F.substr(said, F.lit(3)), 16, 10)).when(said.startswith("#"), F.substr(said, F.lit(2))).cast("long")
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        found = F.when(number.isNotNull(), char).otherwise(F.try_element_at(names, said))
+        return F.when((said != "") & found.isNotNull(), F.concat(found, F.regexp_replace(p, r"^&[^;]*;", ""))).otherwise(p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
-    """Text of a piece of HTML: comments and tags out, the common entities decoded, white space collapsed."""
-    s = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    """Text of a piece of HTML: comments, scripts, styles and tags out, characters decoded, white space collapsed."""
+    s = F.regexp_replace(markup(html), r"<[^>]*>", " ")
+    return F.trim(F.regexp_replace(unescape(s), r"[\s\x{A0}]+", " "))
 
 
+# --- pages ----------------------------------------------------------------------------------------
 def content_area(pages: DataFrame) -> DataFrame:
-    """The pages with area, which of AREAS they have first, and content, what is in it; a page without any is its own content."""
-    which = F.coalesce(*[F.when(F.col("html").rlike(p), F.lit(name)) for name, p in AREAS.items()])
-    content = F.coalesce(*[F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in AREAS.values()], F.col("html"))
-    return pages.withColumns({"area": which, "content": content})
+    """The pages with area, which of AREAS they have first, and content, what is in that element; a page without any is its own content."""
+    out = pages.withColumn("_markup", markup(F.col("html")))
+    which = F.coalesce(*[F.when(F.col("_markup").rlike(f"(?i){_open(*how)}"), F.lit(name)) for name, how in AREAS.items()])
+    out = out.withColumn("area", which)
+    content = F.col("_markup")
+    for name, how in AREAS.items():
+        content = F.when(F.col("area") == name, element(F.col("_markup"), _open(*how), how[0])).otherwise(content)
+    return out.withColumn("content", content).drop("_markup")
 
 
 def blocks(pages: DataFrame, fallback: bool = False) -> DataFrame:
     """(page_id, number, html) of each numbered block, the first of each number.
 
-    A page without the content area has none; with `fallback` other areas and the whole page count too. A page is one
-    document, so its parts stay together in one row: no shuffle.
+    A block is a header h5, wherever it is in the content area, and its siblings up to the next such header among them or
+    their parent's end. A page without the content area has none; with `fallback` other areas and the whole page
+    count too. A page is one document, so its parts stay together in one row: no shuffle. Null pages have no blocks.
     """
-    found = content_area(pages) if fallback else pages.withColumn("content", F.regexp_extract("html", CONTENT, 1))
-    number = lambda part: F.when(part.startswith("<h5"), F.nullif(F.regexp_extract(F.regexp_extract(part, r"(?s)^<h5.*?</h5>", 0), NUMBER, 1), F.lit("")).cast("int"))
-    parts = found.select("page_id", F.transform(F.split("content", r"(?=<h5[\s>])"), lambda x: F.struct(number(x).alias("n"), x.alias("html"))).alias("parts"))
-    # a block goes on until a number comes that wasn't seen before
-    zero = F.array().cast("array<struct<number:int,html:string>>")
-
-    def step(out: Column, part: Column) -> Column:
-        new = part["n"].isNotNull() & ~F.exists(out, lambda b: b["number"] == part["n"])
-        last = F.get(out, F.size(out) - 1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["number"].alias("number"), F.concat(last["html"], part["html"]).alias("html"))))
-        return F.when(new, F.concat(out, F.array(F.struct(part["n"].alias("number"), part["html"].alias("html"))))).when(F.size(out) == 0, out).otherwise(longer)
-
-    return parts.select("page_id", F.explode(F.aggregate("parts", zero, step)).alias("b")).select("page_id", "b.number", "b.html")
+    if fallback:
+        found = content_area(pages)
+    else:
+        found = pages.withColumn("_markup", markup(F.col("html"))).withColumn("content", element(F.col("_markup"), _open(*AREAS["entry-content"]), "div"))
+    parts = found.select("page_id", F.split(F.coalesce("content", F.lit("")), r"(?i)(?=<h5(?:\s[^>]*)?>)", -1).alias("parts"))
+    number = lambda p: F.when(p.rlike(f"(?i)^{HEAD}"), F.nullif(F.regexp_extract(strip_tags(element(p, f"^{HEAD}", "h5")), NUMBER, 1), F.lit("")).cast("int"))
+    parts = parts.withColumn("numbers", F.transform("parts", number))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
+
+    def sink(s: Column, p: Column) -> Column:
+        depth = s["depth"] + _step(p, CONTAINERS)
+        return F.struct(depth.alias("depth"), F.least(s["low"], depth).alias("low"))
+
+    # each part: the number that it brings if that wasn't there before, how much deeper it ends, and how far up it goes
+    new = lambda i: F.when(~F.coalesce(F.array_contains(F.slice("numbers", 1, i), F.get("numbers", i)), F.lit(False)), F.get("numbers", i))
+    parts = parts.withColumn("units", F.transform("parts", lambda p, i: F.struct(new(i).alias("new"), F.aggregate(_pieces(p, CONTAINERS), start, sink).alias("s"))))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("cut"), F.lit(False).alias("over"))
+
+    def go(s: Column, u: Column) -> Column:
+        over = s["over"] | s["cut"] | ((s["n"] > 0) & (s["depth"] == 0) & u["new"].isNotNull())
+        cut = ~over & (s["depth"] + u["s"]["low"] < 0)  # the parent ends within this part
+        return F.struct(
+            F.when(over | cut, s["depth"]).otherwise(s["depth"] + u["s"]["depth"]).alias("depth"), F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), (s["cut"] | cut).alias("cut"), over.alias("over"),
+        )
+
+    def until_up(p: Column, depth: Column) -> Column:
+        """The pieces of a part before the depth falls below 0."""
+        first = F.struct(depth.alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+        def take(s: Column, x: Column) -> Column:
+            to = s["depth"] + _step(x, CONTAINERS)
+            over = s["over"] | (to < 0)
+            return F.struct(to.alias("depth"), F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), over.alias("over"))
+
+        pieces = _pieces(p, CONTAINERS)
+        return F.array_join(F.slice(pieces, 1, F.aggregate(pieces, first, take, lambda s: s["n"])), "")
+
+    heads = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("units", i)["new"].isNotNull())
+    ends = F.transform(heads, lambda i: F.struct(i.alias("i"), F.aggregate(F.slice("units", i + 1, F.size("units")), zero, go).alias("s")))
+
+    def block(e: Column) -> Column:
+        whole = e["s"]["n"] - e["s"]["cut"].cast("int")
+        rest = F.when(e["s"]["cut"], until_up(F.get("parts", e["i"] + whole), e["s"]["depth"])).otherwise("")
+        return F.struct(F.get("units", e["i"])["new"].alias("number"), F.concat(F.array_join(F.slice("parts", e["i"] + 1, whole), ""), rest).alias("html"))
+
+    return parts.select("page_id", F.explode(F.transform(ends, block)).alias("b")).select("page_id", "b.number", "b.html")
 
 
 def answer_of(html: Column) -> Column:
-    return F.nullif(strip_tags(F.regexp_extract(html, ANSWER, 1)), F.lit(""))
+    return F.nullif(strip_tags(element(html, ANSWER, "div")), F.lit(""))
 
 
 def diagram_of(html: Column) -> Column:
@@ -77,8 +193,8 @@ def diagram_of(html: Column) -> Column:
 
 def fields(found: DataFrame) -> DataFrame:
     """stem, answer_raw, image_url and whether a block can be harvested: an answer, a stem of ten characters, an image."""
-    head = F.regexp_replace(F.regexp_extract("html", r"(?s)^<h5.*?</h5>", 0), MACHINERY, " ")
-    stem = strip_tags(head)
+    head = F.coalesce(element(F.col("html"), f"^{HEAD}", "h5"), F.lit(""))
+    stem = strip_tags(F.regexp_replace(without(without(head, ANSWER, "div"), LINK, "div"), BUTTON, " "))
     for out in (NUMBER, r"\\\(", r"\\\)", "Show Answer"):
         stem = F.regexp_replace(stem, out, " ")
     stem = F.trim(F.regexp_replace(stem, r"\s+", " "))
@@ -127,7 +243,7 @@ def gap_counts(df: DataFrame, key: str, number: str) -> DataFrame:
 def layout(found: DataFrame) -> DataFrame:
     """Per block: layout (A: the diagram is in the header; B: the header is the number alone), answer (same block, video
     only, none), hidden (the answer is collapsed), image (url, lazy stub, none), links, videos, and prompt, whether the question is in the text."""
-    html, head = F.col("html"), F.regexp_extract("html", r"(?s)^<h5.*?</h5>", 0)
+    html, head = F.col("html"), F.coalesce(element(F.col("html"), f"^{HEAD}", "h5"), F.lit(""))
     video = html.rlike(r"(?i)youtu")
     diagram = diagram_of(html)
     lazy = html.rlike(r"<img[^>]*\bdata-src=") | diagram.startswith("data:")

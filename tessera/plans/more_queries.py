@@ -279,28 +279,31 @@ def figure_parts(spark, sf_dir):
 
 # --- pages in the source's layout -----------------------------------------------------------------
 def _problem_pages(spark, sf_dir) -> DataFrame:
-    """Pages whose paragraphs are numbered blocks of the source's layout: by the paragraph's number some lack an answer, an image, or both, and one in seven repeats a number."""
+    """Pages whose paragraphs, with their own HTML, are numbered blocks of the source's layout: by the paragraph's number some lack an answer, an
+    image, or both, and one in seven repeats a number. Answers lie in elements within elements, comments hold tags, and a numbered header follows the content."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1)).alias("ps"))
     number = lambda i: F.when(i % 7 == 6, i).otherwise(i + 1).cast("string")
-    answer = lambda i: F.when(i % 3 != 2, F.concat(F.lit(r'<div class="sh-link">Show Answer</div><div class="sh-content sh-hide">\('), (i * 10).cast("string"), F.lit(r"\)</div>"))).otherwise("")
-    image = lambda i: F.when(i % 4 == 3, '<p><img src="data:x" data-src="y"></p>').otherwise(F.concat(F.lit('<p><a href="https://youtu.be/x"><img src="https://x/play.png"></a><img src="https://x/'), i.cast("string"), F.lit('.png"></p>')))
-    block = lambda x, i: F.concat(F.lit(r"<h5>\(\textbf{"), number(i), F.lit(r")}\) Question "), F.length(x).cast("string"), F.lit(" of the page. "), answer(i), F.lit("</h5>"), image(i))
-    return p.select("page_id", F.concat(F.when(F.col("page_id") % 10 == 9, '<div class="other">').otherwise('<div class="entry-content">'), F.array_join(F.transform("ps", block), ""), F.lit("</div>")).alias("html"))
+    said = lambda i: F.concat(F.lit(r'<div class="sh-link">Show <div>Answer</div></div><!-- </div></h5> --><div class="box sh-content sh-hide"><div><div>\('), (i * 10).cast("string"), F.lit(r"\)</div> cm&sup2;</div> &lt;exact&gt;</div>"))
+    answer = lambda i: F.when(i % 3 != 2, said(i)).otherwise("")
+    image = lambda i: F.when(i % 4 == 3, '<p><img src="data:x" data-src="y"></p>').otherwise(F.concat(F.lit('<div><p><a href="https://youtu.be/x"><img src="https://x/play.png"></a></div><div><img src="https://x/'), i.cast("string"), F.lit('.png"></p></div>')))
+    block = lambda x, i: F.concat(F.lit(r"<h5 id='q'>\(\textbf{"), number(i), F.lit(r")}\) Question on "), x, answer(i), F.lit("</h5>"), image(i))
+    area = F.when(F.col("page_id") % 10 == 9, '<div class="other">').otherwise('<!-- <div class="entry-content"> --><div class="post entry-content">')
+    return p.select("page_id", F.concat(F.lit("<html><body><div>"), area, F.array_join(F.transform("ps", block), ""), F.lit(r'</div><h5>\(\textbf{999)}\) Behind the content</h5><p><img src="https://x/999.png"></p></div></body></html>')).alias("html"))
 
 
-_PAGES = """ps AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages), x AS (SELECT page_id, i, length(ps[i + 1]) AS chars, CASE WHEN i % 7 = 6 THEN i ELSE i + 1 END AS number, i % 3 <> 2 AS answered, i % 4 <> 3 AS pictured FROM ps, range(0, 10000) r(i) WHERE i < len(ps) AND page_id % 10 <> 9),
+_PAGES = """ps AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages), x AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(ps[i + 1], '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x{A0}]+', ' ', 'g')) AS words, CASE WHEN i % 7 = 6 THEN i ELSE i + 1 END AS number, i % 3 <> 2 AS answered, i % 4 <> 3 AS pictured FROM ps, range(0, 10000) r(i) WHERE i < len(ps) AND page_id % 10 <> 9),
 h AS (SELECT * FROM x WHERE i % 7 <> 6), t AS (SELECT h.*, h.answered OR coalesce(n.answered, false) AS any_answer, CASE WHEN h.answered THEN h.i WHEN n.answered THEN n.i END AS said, h.pictured OR coalesce(n.pictured, false) AS any_picture, CASE WHEN h.pictured THEN h.i WHEN n.pictured THEN n.i END AS shown, h.pictured OR coalesce(n.pictured, false) AS video,
   h.pictured AS first_pictured, n.i IS NOT NULL AS longer, coalesce(n.answered, false) AS second_answered FROM h LEFT JOIN x n ON h.page_id = n.page_id AND n.i = h.i + 1 AND n.i % 7 = 6)"""
 
 
-@query(f"""WITH {_PAGES} SELECT page_id, CAST(number AS INT) AS number, 'Question ' || chars || ' of the page.' AS stem, CASE WHEN any_answer THEN '\\(' || said * 10 || '\\)' END AS answer_raw, CASE WHEN any_picture THEN 'https://x/' || shown || '.png' END AS image_url, any_answer AND any_picture AS harvestable FROM t""")
+@query(f"""WITH {_PAGES} SELECT page_id, CAST(number AS INT) AS number, trim('Question on ' || words) AS stem, CASE WHEN any_answer THEN '\\(' || said * 10 || '\\) cm² <exact>' END AS answer_raw, CASE WHEN any_picture THEN 'https://x/' || shown || '.png' END AS image_url, any_answer AND any_picture AS harvestable FROM t""")
 def harvest_block_fields(spark, sf_dir):
     """Stem, answer and image of each numbered block, by the harvest operators."""
     return harvest.fields(harvest.blocks(_problem_pages(spark, sf_dir))).drop("html")
 
 
 @query(f"""WITH {_PAGES}, g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY number) AS r FROM t WHERE any_answer AND any_picture)
-SELECT 'andymath_' || printf('%02d', number) AS problem_id, CAST(page_id AS VARCHAR) AS source_url, 'Question ' || chars || ' of the page.' AS stem, 'images/andymath_' || printf('%02d', number) || '.png' AS image_path, '\\(' || said * 10 || '\\)' AS original_answer, CASE WHEN said > 0 THEN CAST(said * 10 AS VARCHAR) ELSE '0' END AS answer_exact, CAST(said * 10 AS DOUBLE) AS answer_decimal FROM g WHERE r <= 10""".replace("andymath", "site"))
+SELECT 'andymath_' || printf('%02d', number) AS problem_id, CAST(page_id AS VARCHAR) AS source_url, trim('Question on ' || words) AS stem, 'images/andymath_' || printf('%02d', number) || '.png' AS image_path, '\\(' || said * 10 || '\\) cm² <exact>' AS original_answer, CASE WHEN said > 0 THEN CAST(said * 10 AS VARCHAR) ELSE '0' END AS answer_exact, CAST(said * 10 AS DOUBLE) AS answer_decimal FROM g WHERE r <= 10""".replace("andymath", "site"))
 def harvest_records(spark, sf_dir):
     """The first ten harvestable blocks of each page as manifest records, their answers filled in."""
     found = harvest.harvest(_problem_pages(spark, sf_dir))

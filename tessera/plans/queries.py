@@ -14,6 +14,8 @@ from tessera.functions import spec as S
 from tessera.operators import families as fam
 from tessera.operators import stages as st
 from tessera.operators.ordinals import numbered
+from tessera.operators.scans import Fold, scan
+from tessera.operators.storage import stored
 from tessera.sources import derived as src
 
 QUERIES: dict = {}
@@ -323,41 +325,55 @@ def rejections_by_cause(spark, sf_dir):
 
 RUN = 200
 #: Draws of a stretch within which emissions are compared in one task.
-STRETCH = 1 << 20
+STRETCH = 1 << 16
 
 
-def run_prefix(draws: DataFrame, n: int, max_draws: int | None = None, ceilings: dict[str, int] | None = None, streak: int = 5000) -> DataFrame:
-    """The draws that a round-robin run makes until n problems are out.
+def run_prefix(draws: DataFrame, n: int, max_draws: int | None = None, ceilings: dict[str, int] | None = None, streak: int = 5000, stretch: int = STRETCH) -> DataFrame:
+    """The draws that a round-robin run makes until n problems are out, with number (of the draw in the run), done
+    (problems that its family had out before it) and out (problems that are out with it).
 
-    draws(family, turn, ord, is_first, ...): a family's draws in order. A family leaves at its
+    draws(family, turn, ord, is_first, ...): a family's draws in order. A family leaves for good at its
     ceiling or, where that is unknown, after `streak` draws without an emission; the run ends with its
-    n-th emission, or after max_draws. A run is a sequence, so its order is one sequence here too: each
-    family's own counts first, then the interleaved ones over what is left.
+    n-th emission, or after max_draws. All three are prefix scans: of a family's emissions, of its longest wait so far,
+    and of the interleaved draws that are left; only the columns that decide take part.
     """
     # what can precede the end of a run: no more than max_draws draws of a family
-    draws = draws.where(F.col("ord") <= (max_draws or 200 * n))
-    em = F.col("is_first").cast("int")
-    own = Window.partitionBy("family").orderBy("ord")
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.sum(em).over(before), F.lit(0))
-    idle = F.col("ord") - 1 - F.coalesce(F.max(F.when(F.col("is_first"), F.col("ord"))).over(before), F.lit(0))
+    most = n * 200 if max_draws is None else max_draws
+    narrow = draws.where(F.col("ord") <= most).select("family", "turn", "ord", "is_first")
+    em = F.col("is_first").cast("long")
+    own = scan(narrow, "ord", {"done": Fold(em, inclusive=False), "last": Fold(F.when(F.col("is_first"), F.col("ord").cast("long")), "max", False)}, ["family"], stretch=stretch, most=most)
+    idle = F.col("ord") - 1 - F.coalesce("last", F.lit(0))
+    waited = scan(own, "ord", {"waited": Fold(idle, "max")}, ["family"], stretch=stretch, most=most)
     limit = F.lit(None).cast("long")
     for name, c in (ceilings or {}).items():
         limit = F.when(F.col("family") == name, c).otherwise(limit)
-    kept = draws.withColumns({"done": done, "idle": idle, "ceiling": limit}).where(F.when(F.col("ceiling").isNotNull(), F.col("done") < F.col("ceiling")).otherwise(F.col("idle") < streak))
-    run = Window.orderBy("ord", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumns({"number": F.row_number().over(Window.orderBy("ord", "turn")), "out": F.sum(em).over(run)})
+    left = waited.where(F.when(limit.isNotNull(), F.col("done") < limit).otherwise(F.col("waited") < streak))
+    run = scan(left, "ord", {"number": Fold(F.lit(1).cast("long")), "out": Fold(em)}, then=["turn"], stretch=stretch, most=most)
     stop = (F.col("out") < n) | ((F.col("out") == n) & F.col("is_first"))
-    return kept.where(stop & (F.col("number") <= (max_draws or 200 * n)))
+    kept = run.where(stop & (F.col("number") <= most)).select("family", "ord", "done", "number", "out")
+    return draws.join(kept, ["family", "ord"])
 
 
 @query(_ALL + f""", o AS (SELECT *, sum(CAST(em AS INT)) OVER (ORDER BY ord, turn ROWS UNBOUNDED PRECEDING) AS c FROM firsts)
 SELECT row_number() OVER (ORDER BY ord, turn) AS draw, family, signature, family || '_' || printf('%05d', row_number() OVER (PARTITION BY family, em ORDER BY ord) - 1) AS problem_id FROM o WHERE (c < {RUN} OR (c = {RUN} AND em)) AND em""".replace("SELECT row_number() OVER (ORDER BY ord, turn) AS draw,", "SELECT CAST(c AS BIGINT) AS place,"))
 def round_robin_first_n(spark, sf_dir):
     """The first 200 problems of a round-robin run over the families, with their ids."""
-    out = run_prefix(problems(spark, sf_dir, 200 * RUN), RUN).where("is_first")
-    index = F.row_number().over(Window.partitionBy("family").orderBy("ord")) - 1
-    return out.select(F.col("out").cast("long").alias("place"), "family", "signature", st.problem_id(F.col("family"), index).alias("problem_id"))
+    out = run_prefix(stored(problems(spark, sf_dir, 200 * RUN), "problems"), RUN).where("is_first")
+    return out.select(F.col("out").cast("long").alias("place"), "family", "signature", st.problem_id(F.col("family"), F.col("done")).alias("problem_id"))
+
+
+#: A run in which each way to stop comes up: families that reach a ceiling, one that waits too long, and more draws than it may make.
+CAPPED = {"n": 5000, "max_draws": 12000, "ceilings": {"composite_rectilinear": 900, "inscribed_circle": 100, "nested_polygons": 1500}, "streak": 12}
+
+
+@query(_ALL + f""", a AS (SELECT *, coalesce(sum(CAST(em AS INT)) OVER w, 0) AS done, ord - 1 - coalesce(max(CASE WHEN em THEN ord END) OVER w, 0) AS idle FROM firsts WHERE ord <= {CAPPED["max_draws"]} WINDOW w AS (PARTITION BY family ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, max(idle) OVER (PARTITION BY family ORDER BY ord ROWS UNBOUNDED PRECEDING) AS waited FROM a),
+k AS (SELECT *, row_number() OVER w AS number, sum(CAST(em AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM b WHERE CASE family {" ".join(f"WHEN '{f}' THEN done < {c}" for f, c in CAPPED["ceilings"].items())} ELSE waited < {CAPPED["streak"]} END WINDOW w AS (ORDER BY ord, turn))
+SELECT number, family, CAST(ord AS BIGINT) AS ord, em AS emitted, CAST(c AS BIGINT) AS problems FROM k WHERE number <= {CAPPED["max_draws"]} AND (c < {CAPPED["n"]} OR (c = {CAPPED["n"]} AND em))""")
+def run_capped(spark, sf_dir):
+    """Each draw of a run over the derived tables in which families leave at their ceilings, one leaves after too long a wait, and the draws are capped."""
+    out = run_prefix(stored(problems(spark, sf_dir, CAPPED["max_draws"]), "problems"), **CAPPED, stretch=1 << 10)
+    return out.select("number", "family", F.col("ord").cast("long").alias("ord"), F.col("is_first").alias("emitted"), F.col("out").alias("problems"))
 
 
 @query(_ALL + """, s AS (SELECT family, ord, em, ord - 1 - coalesce(max(CASE WHEN em THEN ord END) OVER (PARTITION BY family ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idle FROM firsts)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import families as fam
 from tessera.operators import records
@@ -37,12 +36,12 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
         for turn, f in enumerate(families):
             one = _drawn(spark, f, turn, count, seed, mixed, precision)
             all_draws = one if all_draws is None else all_draws.unionByName(one)
+        all_draws = stored(all_draws, "draws")  # its order is found from a few columns, and then joined back
         prefix = stored(run_prefix(all_draws, n, most, ceilings), "run")  # a run is counted, reported and written from one pass
         if count >= most or prefix.agg(F.max("out")).first()[0] == n:
             break
         count = min(most, 2 * count)
-    index = F.row_number().over(Window.partitionBy("family", "is_first").orderBy("ord")) - 1
-    return prefix.withColumn("problem_id", F.when(F.col("is_first"), st.problem_id(F.col("family"), index)))
+    return prefix.withColumn("problem_id", F.when(F.col("is_first"), st.problem_id(F.col("family"), F.col("done"))))
 
 
 def records_of(prefix: DataFrame, seed: int) -> DataFrame:
