@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, blocks, texts_of
 
@@ -341,6 +342,11 @@ def media(docs: DataFrame, keep: bool = True, id_col: str = "doc_id", text_col:
     return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, schema).withColumnRenamed("id", id_col)
 
 
+def clip_rows(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Timed clips as rows: id, clip, first_frame, last_frame, start_s, end_s, from the column clips of `media`. Each file has one clip at least."""
+    return found.select(F.col(f"`{id_col}`"), F.inline("clips"))
+
+
 def store_all(texts: list[bytes]) -> list[bytes]:
     """The AVI file of each text."""
     sizes = [max(64, -(-len(t) // 64) * 64) for t in texts]

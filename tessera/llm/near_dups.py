@@ -1,11 +1,11 @@
 """Operator 6, MinHash near-dedup: DartMinHash signatures, banded joining, exact checks and connected classes.
 
 A document is the multiset of its five-word shingles; similarity is the weighted Jaccard index, sum of least over
-sum of greatest counts. Darts: each copy of a shingle owns a unit-wide strip of the plane (weight x rank), and hashed
-darts fall into the strip's cells as a Poisson process of density 1. A document sees the darts of its
-own strips up to a rank at which about k ln k + 2k have fallen; each dart has a coordinate, and each
-coordinate keeps its earliest. Two documents agree in a coordinate with a probability equal to their
-similarity, and the work is that of the darts, not of shingles times coordinates.
+sum of greatest counts. Darts: an element's weights are cut into regions, [0, 1), [1, 2), [2, 4) and so on up to 64 and every
+64 from there; in a region times an interval of ranks, hashed darts fall as a Poisson process of density 1, each with a weight,
+a rank and a coordinate of its own. A document sees the darts below its element's weight, whole or not, up
+to a rank at which about k ln k + 2k have fallen; each coordinate keeps its earliest. Two documents agree in a coordinate with a
+probability equal to their similarity, and the work is that of the darts, not of elements times coordinates.
 
 Equal texts are one node. Nodes that agree in a band are candidates. In a bucket, each member is
 compared with two of the bucket only (the least and greatest node), so no pairs of a group are
@@ -16,6 +16,9 @@ filter), so all such pairs of different classes are listed by a shared rare unit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -83,57 +86,95 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def units(text: str) -> np.ndarray:
-    """Hashes of (shingle, copy) for each copy of each five-word shingle; fewer words are one shingle, none are none."""
+def shingle_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the five-word shingles; fewer words are one shingle, none are none."""
     w = word_hashes(text)
     n = len(w)
     if not n:
-        return w
+        return w, np.zeros(0)
     k = min(n, SHINGLE)
     s = sum(w[i : n - k + 1 + i] * _C[i] for i in range(k)) + np.uint64(k)
     s = np.sort(mix(s))
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    if new.all():
-        return mix(s + _C[5])
-    at = np.arange(len(s))
-    copy = at - np.maximum.accumulate(np.where(new, at, 0))
-    return mix(s + (copy.astype(np.uint64) + np.uint64(1)) * _C[5])
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], np.diff(np.append(first, len(s))).astype(float)
+
+
+def units(text: str) -> np.ndarray:
+    """Hashes of (shingle, copy) for each copy of each shingle."""
+    s, count = shingle_counts(text)
+    if not len(s) or count.max() == 1:
+        return mix(s + _C[5]) if len(s) else s
+    many = count.astype(np.int64)
+    copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return mix(np.repeat(s, many) + (copy.astype(np.uint64) + np.uint64(1)) * _C[5])
 
 
+@lru_cache(1 << 10)
 def _poisson_steps(mean: float) -> np.ndarray:
     """Where a uniform number passes from k to k + 1 darts."""
     p, total, out = np.exp(-mean), 0.0, []
-    for k in range(1, 14):
+    for k in range(1, 14 + int(mean + 12 * mean**0.5)):
         total += p
         out.append(total)
         p *= mean / k
     return np.array(out)
 
 
-def signatures(documents: list[np.ndarray], k: int) -> np.ndarray:
-    """(documents x k) earliest ranks. documents: hashes of unit strips. Rows of documents without any are infinite."""
+#: Regions of weights are as wide as their beginning up to this width.
+WIDEST = 64.0
+
+
+def regions_of(most: float) -> Iterator[tuple[float, float]]:
+    """(from, to) of the regions of weights below `most`."""
+    low, high = 0.0, 1.0
+    while low < most:
+        yield low, high
+        low, high = high, high + min(high, WIDEST)
+
+
+def signatures(documents: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """(documents x k) earliest ranks. documents: (hashes, weights) of distinct elements, weights above 0. Rows of documents without any are infinite."""
     out = np.full(len(documents) * k, np.inf)
-    sizes = np.array([len(d) for d in documents], np.int64)
-    live = np.flatnonzero(sizes)
+    total = np.array([float(w.sum()) for _, w in documents])
+    live = np.flatnonzero(total > 0)
     if not len(live):
         return out.reshape(-1, k)
-    unit = np.concatenate([documents[i] for i in live])
-    owner = np.repeat(live, sizes[live])
-    # a dart falls into a unit strip's cell by hash alone, so all documents agree on it
+    own = np.concatenate([documents[i][0] for i in live])
+    weight = np.concatenate([documents[i][1] for i in live])
+    of = np.repeat(live, [len(documents[i][0]) for i in live])
+    # a region's darts are its own, whichever documents reach into it: each knows its element, its region and its width
+    seeds, owners, tops, lows, wides = [], [], [], [], []
+    for r, (begin, end) in enumerate(regions_of(float(weight.max()))):
+        into = weight > begin
+        seeds.append(mix(own[into] + _times(r + 1, _C[5])))
+        owners.append(of[into])
+        tops.append(weight[into])
+        lows.append(np.full(len(owners[-1]), begin))
+        wides.append(np.full(len(owners[-1]), end - begin))
+    region, owner, top, base, wide = (np.concatenate(x) for x in (seeds, owners, tops, lows, wides))
     reach = np.zeros(len(documents))
-    reach[live] = 2.0 ** np.ceil(np.log2((k * np.log(k) + 2 * k) / sizes[live]))
+    reach[live] = 2.0 ** np.ceil(np.log2((k * np.log(k) + 2 * k) / total[live]))
     low, high, cell = 0.0, FIRST_CELL, 0
-    while len(unit):
+    while len(region):
         seen = reach[owner] > low
         if not seen.all():
-            unit, owner = unit[seen], owner[seen]
-        if not len(unit):
+            region, owner, top, base, wide = (x[seen] for x in (region, owner, top, base, wide))
+        if not len(region):
             break
-        seed = mix(unit + _times(cell + 1, _C[3]))
-        n = np.searchsorted(_poisson_steps(high - low), (seed >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
+        seed = mix(region + _times(cell + 1, _C[3]))
+        u = (seed >> np.uint64(11)).astype(float) * 2.0**-53
+        n = np.zeros(len(region), np.int64)
+        for w in np.unique(wide):
+            same = wide == w
+            n[same] = np.searchsorted(_poisson_steps(float(w) * (high - low)), u[same], side="right")
         for d in range(int(n.max())):
-            has = n > d
+            has = np.flatnonzero(n > d)
             h = mix(seed[has] + _times(d + 1, _C[4]))
+            part = top[has] < base[has] + wide[has]  # of a region that the weight ends in, some darts lie above it
+            if part.any():
+                at = (mix(h + _C[2]) >> np.uint64(11)).astype(float) * 2.0**-53
+                below = ~part | (base[has] + wide[has] * at < top[has])
+                has, h = has[below], h[below]
             rank = low + (high - low) * ((h >> np.uint64(11)).astype(float) * 2.0**-53)
             np.minimum.at(out, owner[has] * k + (mix(h + _C[6]) % np.uint64(k)).astype(np.int64), rank)
         low, high, cell = high, high * 2 if high < 1 else high + 1, cell + 1
@@ -160,9 +201,9 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for a, b in blocks(batch, "text", 2 << 20):
                 part = batch.slice(a, b - a)
-                own = [units(t) for t in texts_of(part, "text")]
+                own = [shingle_counts(t) for t in texts_of(part, "text")]
                 keys = band_keys(signatures(own, bands * rows), bands, rows)
-                sizes = np.array([bands if len(o) else 0 for o in own])
+                sizes = np.array([bands if len(o) else 0 for o, _ in own])
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[sizes > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), flat], names=["id", "node", "keys"])
 

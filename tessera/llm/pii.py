@@ -22,19 +22,24 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora
 _MALE = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин", "Κύριος")
 _NEUTRAL = ("Dr", "Prof")
 _TITLE = "|".join(sorted(_FEMALE + _MALE + _NEUTRAL, key=len, reverse=True))
+#: A key and what separates it from its value: a keyword, also behind or before other words of a name, in quotes or not.
+_WORD = r"""(?i:(?:[\p{L}\p{N}]+_)*?(?:password|passwd|secret|api[_-]?key|token)(?:[_-][\p{L}\p{N}_-]*+)?)["']?\s{0,3}[=:]\s{0,3}["']?"""
+#: Keys that show by their own form: access key ids, and tokens of three encoded parts.
+_TOKEN = r"(?:A[KS]IA[A-Z0-9]{16}" + _END + r"|eyJ[\p{L}\p{N}_-]{6,}+\.[\p{L}\p{N}_-]{6,}+\.[\p{L}\p{N}_-]{6,}+)"
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\p{N}|\.\p{N})",
-    "iban": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "iban": _FREE + r"(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?)" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}" + _END + r"|(?<![\p{L}\p{N}_])\+[0-9]{8,14}" + _END,
     "ssn": _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "card": _FREE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _END,
     "hex": _FREE + r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + _END,
-    "secret": _FREE + r"""(?i:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}["']?[\p{L}\p{N}_./+-]{6,}+""",
+    "secret": _FREE + _WORD + r"""[\p{L}\p{N}_./+-]{6,}+""" + "|" + _FREE + _TOKEN + r"|(?<=PRIVATE KEY-----)[A-Za-z0-9+/=\s]{40,}+",
     "name": _FREE + rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
 }
 #: The order decides where two kinds fit at one place.
-ORDER = ("email", "ip", "hex", "secret", "ssn", "card", "iban", "phone", "name")
+ORDER = ("email", "ip", "ipv6", "hex", "secret", "ssn", "card", "iban", "phone", "name")
 PATTERN = "|".join(KINDS[k] for k in ORDER)
 _LATIN, _ACCENTED = "abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëíîïñóôöùúûü"
 _GREEK, _CYRILLIC = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя"
@@ -63,7 +68,7 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
-_KEYED = r"^(?i:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}[\"']?"
+_KEYED = "^" + _WORD
 _TITLED = rf"^(?:{_TITLE})\.? "
 
 
@@ -72,7 +77,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     gender = F.when(mention.rlike(rf"^(?:{'|'.join(_FEMALE)})\b"), "f").when(mention.rlike(rf"^(?:{'|'.join(_MALE)})\b"), "m").otherwise("n")
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, "[^0-9+]", ""))
-        .when(kind == "iban", F.regexp_replace(mention, " ", ""))
+        .when(kind == "iban", F.upper(F.regexp_replace(mention, " ", "")))
         .when(kind == "secret", F.regexp_replace(mention, _KEYED, ""))
         .when(kind == "name", F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(mention, _TITLED, ""))))
         .otherwise(F.lower(mention))
@@ -149,7 +154,7 @@ def core(kind: Column, value: Column, attempt: Column, digest: Column, other: Co
     email = F.concat(scrambled(F.substring_index(value, "@", 1)), wider, F.lit("@"), host, F.lit(".example"))
     octet = lambda i: number(F.lit(i)).cast("string")
     ip = F.concat_ws(".", (number(F.lit(0)) % 223 + 1).cast("string"), octet(1), octet(2), octet(3))
-    hexed = F.array_join(F.transform(_chars(value), lambda c, i: _pick("0123456789abcdef", number(i))), "")
+    hexed = F.array_join(F.transform(_chars(value), lambda c, i: F.when(c == ":", c).otherwise(_pick("0123456789abcdef", number(i)))), "")
     # a number's sign and first digit, an account's country stay
     kept = F.when(kind == "iban", 2).when(value.startswith("+"), 2).otherwise(1)
     number_like = checked(kind, value, F.concat(F.substr(value, F.lit(1), kept), scrambled(F.substr(value, kept + 1))))
@@ -165,7 +170,7 @@ def core(kind: Column, value: Column, attempt: Column, digest: Column, other: Co
     # the family name's digest is its own, so a person has it with and without a given name
     family = surname if other is None else F.coalesce(other, surname)
     person = F.when(F.size(F.split(value, " ")) > 2, F.concat(given, longer, F.lit(" "), family)).otherwise(family)
-    return F.when(kind == "family", surname).when(kind == "email", email).when(kind == "ip", ip).when(kind == "hex", hexed).when(kind == "name", person).when(kind == "secret", scrambled(value)).otherwise(number_like)
+    return F.when(kind == "family", surname).when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("hex", "ipv6"), hexed).when(kind == "name", person).when(kind == "secret", scrambled(value)).otherwise(number_like)
 
 
 def dressed(kind: Column, mention: Column, made: Column) -> Column:
@@ -175,7 +180,8 @@ def dressed(kind: Column, mention: Column, made: Column) -> Column:
     filled = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(digits, before(i) + 1, F.lit(1))).otherwise(c)), "")
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(made)).otherwise(made)
     return (
-        F.when(kind.isin("phone", "card", "ssn", "iban"), filled)
+        F.when(kind.isin("phone", "card", "ssn"), filled)
+        .when(kind == "iban", F.when(mention == F.lower(mention), F.lower(filled)).otherwise(filled))
         .when(kind == "secret", F.concat(F.regexp_extract(mention, _KEYED, 0), made))
         .when(kind == "name", F.concat(F.regexp_extract(mention, _TITLED, 0), made))
         .otherwise(cased)
@@ -184,7 +190,7 @@ def dressed(kind: Column, mention: Column, made: Column) -> Column:
 
 def worth_a_look(text: Column) -> Column:
     """A cheap test that holds for each text with an entity: a digit, an @, a keyword or a title."""
-    out = text.rlike(r"[0-9@]|(?i:passw|secret|api.?key|token)")
+    out = text.rlike(r"[0-9@]|(?i:passw|secret|api.?key|token)|PRIVATE KEY|eyJ|A[KS]IA")
     for t in _FEMALE + _MALE + _NEUTRAL:
         out = out | text.contains(t)
     return out
@@ -242,6 +248,16 @@ def redraws(values: DataFrame, key: str, most: int = 60) -> DataFrame:
     return again.unionByName(_settled(stored(full, "names"), key, most).where("attempt > 0").select("kind", "value", "attempt"))
 
 
+def _tries(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """(node, tries): by text, the places of values that drew again, and how often."""
+    placed = rows.where(worth_a_look(F.col("_text"))).select(F.md5("_text").alias("node"), F.posexplode(mentions(F.col("_text"))).alias("at", "m")).withColumn("kind", kind_of(F.col("m")))
+    placed = placed.select("node", "at", "kind", canonical(F.col("kind"), F.col("m")).alias("value"))
+    # a name's family has a place of its own, -1 - at
+    placed = placed.withColumn("own", F.array(F.struct("at", "kind", "value"), F.struct((-1 - F.col("at")).alias("at"), F.when(F.col("kind") == "name", "family").alias("kind"), family_of(F.col("value")).alias("value"))))
+    placed = placed.select("node", F.explode("own").alias("o")).select("node", "o.*").where("kind IS NOT NULL").join(again, ["kind", "value"])
+    return stored(placed.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("at", "attempt"))).alias("tries")), "retries")
+
+
 def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows with surrogates in their text and n_entities, how many mentions were replaced, as the last column.
 
@@ -255,13 +271,9 @@ def with_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     found = found.select(F.md5("_text").alias("node"), "m", "kind", canonical(F.col("kind"), F.col("m")).alias("value"))
     values = stored(found.select("kind", "value").distinct(), "entities")
     again = stored(redraws(values, key), "redraws")
-    placed = rows.where(worth_a_look(F.col("_text"))).select(F.md5("_text").alias("node"), F.posexplode(mentions(F.col("_text"))).alias("at", "m")).withColumn("kind", kind_of(F.col("m")))
-    placed = placed.select("node", "at", "kind", canonical(F.col("kind"), F.col("m")).alias("value"))
-    # a name's family has a place of its own, -1 - at
-    placed = placed.withColumn("own", F.array(F.struct("at", "kind", "value"), F.struct((-1 - F.col("at")).alias("at"), F.when(F.col("kind") == "name", "family").alias("kind"), family_of(F.col("value")).alias("value"))))
-    placed = placed.select("node", F.explode("own").alias("o")).select("node", "o.*").where("kind IS NOT NULL").join(again, ["kind", "value"])
-    tries = stored(placed.groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("at", "attempt"))).alias("tries")), "retries")
-    seen = rows.withColumn("_found", mentions(F.col("_text"))).join(tries, F.md5("_text") == F.col("node"), "left")
+    tries = _tries(rows, again) if again.head(1) else None  # if no value drew again, no text is searched for one
+    seen = rows.withColumn("_found", mentions(F.col("_text")))
+    seen = seen.withColumn("tries", F.lit(None).cast("map<int,int>")) if tries is None else seen.join(tries, F.md5("_text") == F.col("node"), "left")
 
     # a mention's kind, value, digest and surrogate in turn, each from the fields before it: expressions stay small
     tried = lambda at: F.coalesce(F.element_at(F.col("tries"), at), F.lit(0))

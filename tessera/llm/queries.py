@@ -12,7 +12,7 @@ from tessera.llm.media import media
 from tessera.llm.near_dups import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.pii import with_surrogates
-from tessera.llm.quality import quality
+from tessera.llm.quality import SPACES, quality
 from tessera.llm.repeats import drop_repeats
 from tessera.llm.sharding import shard
 from tessera.llm.token_counts import token_counts
@@ -24,6 +24,8 @@ from tessera.llm.wavelet import read_shards, write_shards
 PII_KEY = "registered query"
 #: Words of a passage that may not repeat.
 PASSAGE = 51
+#: Percent of distinct words below which a text is one of its language's poor ones.
+POOR = 55
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -43,6 +45,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir)).drop("host_rate")
 
 
+def hosts_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over hosts that differ: a language's texts of few distinct words are a host of their own, most of which fail, so such hosts go with all their documents."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), f"[{SPACES}]+", -1), lambda w: w != "")
+    host = F.concat_ws(":", "lang", F.when(F.size(F.array_distinct(words)) * 100 < F.size(words) * POOR, "poor"))
+    return quality(_documents(spark, sf_dir).withColumn("host", host), host_col="host").drop("host_rate")
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogates(_documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "n_entities")
 
@@ -70,7 +79,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media(_documents(spark, sf_dir), keep=False).drop("clips")
+    return media(_documents(spark, sf_dir), keep=False)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +112,7 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
   (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY k, e)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_pii_surrogates, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns, op11_filter_audit, op12_vector_codes, op13_vector_links)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_pii_surrogates, op5_wavelet_matrix, op6_near_duplicates, op7_suffix_arrays, op8_sharding, op9_packing, op10_media_columns, op11_filter_audit, op12_vector_codes, op13_vector_links, hosts_rejected)}
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS rid FROM documents),
@@ -144,3 +153,8 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(least.vec_id, v.vec_id)) AS component_id, least(v.vec_id, coalesce(least.vec_id, v.vec_id)) = v.vec_id AS kept
 FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN least ON least.a = v.r""",
 }
+ORACLE_SQL["hosts_rejected"] = ORACLE_SQL["op3_quality_rules"].replace(
+    "SELECT doc_id, source, coalesce(text, '') AS t",
+    f"SELECT doc_id, concat_ws(':', lang, CASE WHEN len(list_distinct(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) * 100 < len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) * {POOR} THEN 'poor' END) AS source, coalesce(text, '') AS t",
+    1,
+)

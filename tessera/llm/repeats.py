@@ -187,8 +187,11 @@ def _regions(docs: DataFrame, wanted: DataFrame, length: int, coding: Coding) ->
             yield table(out)
 
     by = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("gram", "region", "salt", "salts", "first", "last")).alias("own"))  # a document's own anchors
-    # two documents of one id and text hash give a region twice; its class is then one that repeats throughout anyway
-    one = docs.join(by, docs["id"].eqNullSafe(by["id"]) & (docs["h"] == by["h"])).select("text", "own")
+    # rows of one id and text hash, however many, are one document here: only such rows are brought together
+    many = stored(docs.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("h").alias("_h")), "copies")
+    same = docs["id"].eqNullSafe(many["_id"]) & (docs["h"] == many["_h"])
+    once = docs.join(many, same, "left_anti").unionByName(docs.join(many, same, "left_semi").groupBy("id", "h").agg(F.any_value("text").alias("text")))
+    one = once.join(by, once["id"].eqNullSafe(by["id"]) & (once["h"] == by["h"])).select("text", "own")
     return arrow_map(one, run, "gram bigint, region bigint, salt int, salts int, data binary")
 
 
@@ -306,7 +309,7 @@ def repeat_spans(docs: DataFrame, length: int = 400, split: int = SPLIT, coding:
     single = hits.where("m = 1").join(parts, ["gram", "region"]).select("id", "h", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
     # a region that occurs twice repeats throughout
     found = single.unionByName(hits.where("m > 1").select("id", "h", F.struct(F.col("first").alias("a"), F.col("last").alias("b")).alias("s")))
-    return found.groupBy("id", "h").agg(F.collect_list("s").alias("spans"))
+    return found.groupBy("id", "h").agg(F.collect_set("s").alias("spans"))  # rows of one id and text have the same spans: once
 
 
 def cut(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:

@@ -61,3 +61,11 @@ def test_shots():
     dark, light = np.zeros(1024, np.uint8), np.full(1024, 200, np.uint8)
     assert m.shots([dark] * 5 + [light] * 4) == [(0, 4), (5, 8)]
     assert m.shots([dark]) == [(0, 0)] and m.shots([]) == []
+
+
+def test_clip_rows(spark):
+    """Dark, light and dark again: three clips whose times follow from 25 frames a second."""
+    texts = ["\x01" * m.SAMPLES * 10 + "z" * m.SAMPLES * 15 + "\x01" * m.SAMPLES * 25, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = m.clip_rows(m.media(docs, keep=False)).orderBy("doc_id", "clip").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 0, 9, 0.0, 0.4), (0, 1, 10, 24, 0.4, 1.0), (0, 2, 25, 49, 1.0, 2.0), (1, 0, 0, 0, 0.0, 0.04), (2, 0, 0, 0, 0.0, 0.04)]

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.near_dups import components, drop_near_duplicates, near_duplicates, signatures, units, word_hashes
+from tessera.llm.near_dups import components, drop_near_duplicates, near_duplicates, regions_of, shingle_counts, signatures, units, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,10 +109,26 @@ def test_agreement_is_the_weighted_similarity():
     other = base[:260] + [f"x{i}" for i in range(40)] + base[:30]
     for a, b in [(base, other), (base, base + base), (base[:40], base[:38] + ["y"]), (base * 30, base * 30 + other)]:
         x, y = " ".join(a), " ".join(b)
-        s = signatures([units(x), units(y), np.zeros(0, np.uint64)], 2048)
+        s = signatures([shingle_counts(x), shingle_counts(y), shingle_counts("")], 2048)
+        assert len(units(x)) == shingle_counts(x)[1].sum() and len(set(units(x).tolist())) == len(units(x))
         assert np.isfinite(s[:2]).all() and np.isinf(s[2]).all()
         assert abs((s[0] == s[1]).mean() - similarity(shingles(x), shingles(y))) < 0.05
-        assert (signatures([units(y)], 2048)[0] == s[1]).all()  # whatever else is in the batch
+        assert (signatures([shingle_counts(y)], 2048)[0] == s[1]).all()  # whatever else is in the batch
+
+
+def test_fractional_and_great_weights():
+    """Agreement is sum of least over sum of greatest weights, whatever the weights are."""
+    rng = np.random.default_rng(6)
+    elements = rng.integers(0, 2**63, 400).astype(np.uint64)
+    for make in (lambda: rng.random(400), lambda: rng.exponential(1, 400) ** 3, lambda: rng.integers(1, 300, 400) * 1.0, lambda: np.where(rng.random(400) < 0.02, 5000.5, 0.25)):
+        a = make()
+        b = np.where(rng.random(400) < 0.3, make(), a)
+        own = np.arange(400) < 350  # the last are the second's alone
+        s = signatures([(elements[own], a[own]), (elements, b)], 4096)
+        x = np.where(own, a, 0)
+        assert abs((s[0] == s[1]).mean() - np.minimum(x, b).sum() / np.maximum(x, b).sum()) < 0.04
+        assert (signatures([(elements[::-1], b[::-1])], 4096)[0] == s[1]).all()
+    assert list(regions_of(9.5)) == [(0, 1), (1, 2), (2, 4), (4, 8), (8, 16)] and list(regions_of(200))[-1] == (192, 256)
 
 
 def test_words():

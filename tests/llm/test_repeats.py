@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm.repeats import GRAM, anchors, drop_repeats, without_repeats
+from pyspark.sql import functions as F
+
+from tessera.llm.repeats import GRAM, anchors, drop_repeats, repeat_spans, without_repeats
 from tessera.llm.suffix_array import Shard, repeated
 
 
@@ -138,3 +140,17 @@ def test_passages_of_over_50_words_go_from_the_pipeline(spark):
     got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     assert [got[i].text.split() for i in range(len(texts))] == [w.split() for w in want]
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_copies_of_a_row_without_an_id_cost_in_line_with_them(spark):
+    """Rows of a null id and one text: their spans are gathered once, however many rows there are."""
+    text = " ".join(f"w{i * i % 977}x{i}" for i in range(700))
+    other = text[:900] + " else " + text[1500:2600]
+    rows = [(None, text)] * 60 + [(None, other), (1, other + " more"), (1, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    judged = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    few = spark.createDataFrame(rows[57:], "doc_id long, text string").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    sizes = [sorted((r.h, len(r.spans)) for r in repeat_spans(d).collect()) for d in (judged, few)]
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 3
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in drop_repeats(docs).collect())
+    assert got[None, len(text), len(text)] == 60 and got[1, 5, 0] == 1 and sum(got.values()) == 63
