@@ -1,6 +1,6 @@
 """Runs from the command line: python -m tessera.cli --family all --n 200 --out DIR, or --from-file PROBLEMS.jsonl --out DIR.
 
-DIR gets `manifest` (JSON lines) and `images` (the figures as SVG text, by problem id). Exit codes: 0 all is out; 1 an error, or
+DIR gets `manifest` (JSON lines, in parts that are committed one by one) and `images` (a PNG file for each problem, by its id). Exit codes: 0 all is out; 1 an error, or
 rows of a file that weren't emitted; 2 a run that fell short of n.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import families as fam
-from tessera.operators import figure, structured
+from tessera.operators import images, records, structured
 from tessera.operators.storage import stored
 from tessera.plans import report, runs
 from tessera.plans.queries import ceiling
@@ -35,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", help="folder of the manifest and the figures")
     p.add_argument("--precision", type=int, default=6, help="places at which parameters count as equal")
     p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--resume", action="store_true", help="carry on a run that was stopped: what it has committed stays")
+    p.add_argument("--part-size", type=int, default=100_000, help="records that are committed at once")
     p.add_argument("--report", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--list-families", action="store_true")
     return p
@@ -44,10 +46,14 @@ def warn(message: str) -> None:
     print(f"warning: {message}", file=sys.stderr, flush=True)
 
 
-def _write(records: DataFrame, figures: DataFrame, out: str, overwrite: bool) -> None:
-    """The manifest first: a record that isn't valid leaves no figure behind."""
-    manifest.write(records, f"{out}/manifest", overwrite)
-    figures.select("problem_id", figure.rendered_or_fail(F.col("spec")).alias("svg")).write.mode("overwrite" if overwrite else "errorifexists").json(f"{out}/images")
+def _write(records_: DataFrame, figures: DataFrame, number: str | None, args: argparse.Namespace) -> None:
+    """The manifest first: a record that isn't valid leaves no figure behind. Then a file for each figure, where its record says."""
+    if number is None:
+        manifest.write(records_, f"{args.out}/manifest", args.overwrite)
+    else:
+        manifest.write_parts(records_, f"{args.out}/manifest", number, args.part_size, args.resume, args.overwrite)
+    figures = figures.select(records.image_path(F.col("problem_id")).alias("image_path"), "spec", "stem")
+    images.write_images(figures, args.out).agg(F.sum("bytes")).collect()
 
 
 def _drawn(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -56,7 +62,7 @@ def _drawn(spark: SparkSession, args: argparse.Namespace) -> int:
     if all(c is not None for c in ceilings.values()) and args.n > sum(ceilings.values()):
         warn(f"{', '.join(families)}: {sum(ceilings.values())} unique valid combinations; n={args.n} requested -- will emit at most {sum(ceilings.values())} and then stop")
     prefix = runs.run(spark, families, args.n, args.seed, args.max_draws, args.family == "all", args.precision)
-    _write(runs.records_of(prefix, args.seed), prefix.where("is_first"), args.out, args.overwrite)
+    _write(runs.records_of(prefix, args.seed), prefix.where("is_first"), "out", args)
     if args.report:
         print(report.run_text(prefix, families, args.n, args.seed, ceilings))
     r = runs.report(prefix).first()
@@ -70,7 +76,7 @@ def _drawn(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _from_file(spark: SparkSession, args: argparse.Namespace) -> int:
     found = stored(structured.statuses(structured.read_lines(spark, args.from_file), args.precision), "statuses")
-    _write(structured.emitted_records(found), found.where("status = 'emitted'").withColumn("problem_id", F.col("input_id")), args.out, args.overwrite)
+    _write(structured.emitted_records(found), found.where("status = 'emitted'").withColumn("problem_id", F.col("input_id")), None, args)
     if args.report:
         for line in report.file_lines(found, args.from_file.rstrip("/").rsplit("/", 1)[-1]):
             print(line)

@@ -89,9 +89,9 @@ def stem_warning() -> Column:
     return F.when((F.col("origin") == "given") & (F.col("category") == 1), stem_leak(F.col("stem")))
 
 
-def record(df: DataFrame, **columns: Column) -> DataFrame:
-    """All fields of a record, null where not given."""
-    return df.select(*[columns.get(k, F.lit(None)).cast(v).alias(k) for k, v in FIELDS.items()])
+def record(df: DataFrame, carry: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """All fields of a record, null where not given. carry: columns of df that come along."""
+    return df.select(*[columns.get(k, F.lit(None)).cast(v).alias(k) for k, v in FIELDS.items()], *carry)
 
 
 def image_path(problem_id: Column, root: str = "") -> Column:
@@ -109,10 +109,10 @@ def params_map(params: Column) -> Column:
     return F.coalesce(F.from_json(params, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
-def generated(df: DataFrame, family: Column, params: Column, seed: Column, problem_id: Column) -> DataFrame:
+def generated(df: DataFrame, family: Column, params: Column, seed: Column, problem_id: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Generated records of solved rows."""
     return record(
-        df, problem_id=problem_id, family=family, category=F.lit(1), stem=F.col("stem"), image_path=image_path(problem_id), answer_exact=F.col("answer_exact"),
+        df, carry, problem_id=problem_id, family=family, category=F.lit(1), stem=F.col("stem"), image_path=image_path(problem_id), answer_exact=F.col("answer_exact"),
         answer_decimal=F.col("answer_decimal"), origin=F.lit("generated"), seed=seed, params=params, signature=F.col("signature"), generator_version=F.lit(__version__),
     )
 

@@ -47,7 +47,7 @@ def run(spark: SparkSession, families: list[str], n: int, seed: int = 0, max_dra
 def records_of(prefix: DataFrame, seed: int) -> DataFrame:
     """Manifest records of a run's emitted problems, in their order's columns; one whose figure doesn't measure as solved ends the query."""
     rows = st.verified_or_fail(prefix, F.col("is_first")).where("is_first AND verified")
-    return records.generated(rows, F.col("family"), F.col("params"), F.lit(seed), F.col("problem_id"))
+    return records.generated(rows, F.col("family"), F.col("params"), F.lit(seed), F.col("problem_id"), ("out",))  # out: the record's place in the run
 
 
 def causes(prefix: DataFrame) -> DataFrame:

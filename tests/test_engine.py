@@ -179,7 +179,7 @@ def test_payload_of_any_value(spark):
 
 # --- runs -----------------------------------------------------------------------------------------
 def lines_of(folder):
-    return [json.loads(x) for p in sorted(folder.glob("part-*")) for x in p.read_text().splitlines()]
+    return [json.loads(x) for p in sorted(folder.rglob("part-*.txt")) for x in p.read_text().splitlines()]
 
 
 def test_a_drawn_run_from_the_command_line(spark, tmp_path, capsys):
@@ -189,9 +189,10 @@ def test_a_drawn_run_from_the_command_line(spark, tmp_path, capsys):
     assert "family                : inscribed_circle" in text and "emitted               : 12/12" in text and "ceiling               : inscribed_circle 120" in text
     rows = lines_of(out / "manifest")
     assert [r["problem_id"] for r in rows] == [f"inscribed_circle_{i:05d}" for i in range(12)] and all(r["seed"] == 3 and r["origin"] == "generated" for r in rows)
-    images = lines_of(out / "images")
-    assert {x["problem_id"] for x in images} == {r["problem_id"] for r in rows} and all(x["svg"].startswith("<svg") for x in images)
-    joined = records.with_images(spark.createDataFrame(rows, "problem_id string"), spark.createDataFrame(images, "problem_id string, svg string").withColumnRenamed("svg", "image"))
+    files = sorted(p.name for p in (out / "images").iterdir())
+    assert files == [f"inscribed_circle_{i:05d}.png" for i in range(12)] and all((out / r["image_path"]).read_bytes().startswith(b"\x89PNG") for r in rows)
+    pictures = spark.createDataFrame([(r["problem_id"], bytearray((out / r["image_path"]).read_bytes())) for r in rows], "problem_id string, image binary")
+    joined = records.with_images(spark.createDataFrame(rows, "problem_id string"), pictures)
     assert joined.where("image IS NULL").count() == 0
     assert cli.main(["--family", "inscribed_circle", "--n", "12", "--out", str(out)], spark) == 1  # it is there already
     capsys.readouterr()
