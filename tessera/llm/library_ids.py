@@ -34,7 +34,7 @@ _REACHING = f"[\x1c-\x1f]| {_WHITE}|{_WHITE}{{3}}|{_WHITE}{{2}}$"
 
 
 class LibraryIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -52,7 +52,7 @@ class LibraryIds:
         self.code = "H" if size <= 1 << 16 else "I"
         self.model, self.pieces = self.library.model, _WORD_PIECES if self.words else _BYTE_PIECES
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.known = Chunks(self._chunk, CACHE)
+        self.known = Chunks(self._chunk, most)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -131,11 +131,11 @@ class LibraryIds:
         return out, sizes
 
 
-_KEPT: dict[str, LibraryIds] = {}
+_KEPT: dict[tuple[str, int], LibraryIds] = {}
 
 
-def library_ids(path: str) -> LibraryIds:
-    """A worker reads each file once."""
-    if path not in _KEPT:
-        _KEPT[path] = LibraryIds(path)
-    return _KEPT[path]
+def library_ids(path: str, most: int = CACHE) -> LibraryIds:
+    """A worker reads each file once. most: chunks that it remembers, also while it waits for the next stage's tasks."""
+    if (path, most) not in _KEPT:
+        _KEPT[path, most] = LibraryIds(path, most)
+    return _KEPT[path, most]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import arrow_map, blocks
-from tessera.llm.library_ids import library_ids
+from tessera.llm.library_ids import CACHE, library_ids
 
 #: Combinations of three lengths are enumerated where the shortest is a multiple of this.
 STEP = 16
@@ -149,20 +149,20 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, chunks: int = CACHE) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with `keep`, the ids themselves.
 
     Each document is its ids with `end_id` behind; null and empty texts are the end id alone. Each id
     lies in exactly one piece; sequences are full windows but for at most a few of each task, whose
     totals are smaller powers of two, so nothing is padded. A very long text is encoded whole and cut into windows. Ties, repeated rows and null ids pass
-    through; other columns are not read. Rows of an empty table give no rows.
+    through; other columns are not read. Rows of an empty table give no rows. chunks: how many a worker remembers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
-        source, packer = library_ids(tokenizer), Packer(window, TaskContext.get().partitionId())
+        source, packer = library_ids(tokenizer, chunks), Packer(window, TaskContext.get().partitionId())
         id_type = None
 
         def table(rows):
