@@ -20,6 +20,9 @@ from tessera.llm.quality import keep_documents
 from tessera.llm.queries import BYTES, PASSAGE, PII_KEY
 from tessera.llm.repeats import without_repeats
 
+#: Chunks of text that a worker remembers: other stages run beside workers that wait with what they remember.
+CHUNKS = 300_000
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text, where a stage changes it."""
@@ -48,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens, a row for each piece; null and empty texts are their end id alone."""
-    return pack(docs, public_tokenizers.path(BYTES))
+    return pack(docs, public_tokenizers.path(BYTES), chunks=CHUNKS)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_dedup), ("repeated passages", repeated_passages), ("personal data", personal_data), ("packing", packing)]
