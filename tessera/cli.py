@@ -76,7 +76,7 @@ def _drawn(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _from_file(spark: SparkSession, args: argparse.Namespace) -> int:
     found = stored(structured.statuses(structured.read_lines(spark, args.from_file), args.precision), "statuses")
-    _write(structured.emitted_records(found), found.where("status = 'emitted'").withColumn("problem_id", F.col("input_id")), None, args)
+    _write(structured.emitted_records(found), structured.figures(found), None, args)
     if args.report:
         for line in report.file_lines(found, args.from_file.rstrip("/").rsplit("/", 1)[-1]):
             print(line)

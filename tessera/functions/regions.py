@@ -37,8 +37,9 @@ def _edges(p: np.ndarray) -> np.ndarray:
 
 
 def _near_pairs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of edges whose boxes meet, each once."""
-    low, high = e.min(1), e.max(1)
+    """Pairs (i < j) of edges whose boxes meet, but for rounding, each once."""
+    slack = NEAR * float(np.ptp(e.reshape(-1, 2), axis=0).max(initial=0))
+    low, high = e.min(1) - slack, e.max(1) + slack
     found, todo = [], [(np.arange(len(e)), 0)]
     while todo:
         own, stuck = todo.pop()

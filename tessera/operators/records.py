@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import __version__
+from tessera.functions import numbers
 from tessera.operators import families as fam
 
 ORIGINS = ("generated", "harvested", "structured", "given")
@@ -125,7 +126,7 @@ def to_line(df: DataFrame, *carry: str) -> DataFrame:
     def value(n: str) -> Column:
         if n == "params":
             return F.coalesce(F.col("params"), F.lit("null"))
-        return F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(n).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("")) if FIELDS[n] == "string" else F.col(n).cast("string")
+        return F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(n).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1), F.lit("")) if FIELDS[n] == "string" else numbers.text(F.col(n)) if FIELDS[n] == "double" else F.col(n).cast("string")
 
     parts = []
     for n in names:

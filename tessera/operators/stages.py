@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import exact
+from tessera.functions import canonical, exact
 from tessera.functions import spec as S
 from tessera.functions.regions import measured_spec
 from tessera.operators.families import GEOMETRY, READABILITY, Family, reason_key  # noqa: F401  reason_key is part of this interface
@@ -78,38 +78,20 @@ def payload(family: Family, precision: int = 6) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
-#: How deep lists may lie in one another in variant_payload.
-DEPTH = 4
+def variant_payload(value: str, precision: int = 6) -> Column:
+    """The canonical text of any JSON value given as the text column `value`, however deep and long; null where it has none (canonical.fields says why)."""
+    return canonical.fields(F.col(value), precision)["payload"]
 
 
-def variant_payload(value: str, precision: int = 6) -> Column:
-    """The canonical text of any JSON value given as the text column `value`: true, false, numbers, strings, null and lists are told apart by tags.
+def signed_values(df: DataFrame, value: str, family: Column, precision: int = 6) -> DataFrame:
+    """The rows with signature, of the family and the JSON text `value`, and unsigned, why a value can't be signed: one side is null.
 
-    An object is a list of [key, value] in the order of its keys. Lists may lie in one another up to DEPTH; what is deeper, objects
-    within, and text that isn't JSON give null.
+    Each distinct text is worked through once. Objects within values, numbers that no double holds, repeated keys, and what isn't JSON have no signature; nor has null.
     """
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-
-    def scalar(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        places = F.round(v.cast("string").try_cast("decimal(38,10)"), precision).cast(f"decimal(38,{precision})").cast("string")
-        return (
-            F.when(kind == "VOID", '["z",null]').when(kind == "BOOLEAN", F.concat(F.lit('["b",'), v.cast("string"), F.lit("]"))).when(kind == "STRING", F.concat(F.lit('["s",'), text(v.cast("string")), F.lit("]")))
-            .when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.concat(F.lit('["n","'), places, F.lit('"]')))
-        )
-
-    def normal(v: Column, depth: int = DEPTH) -> Column:
-        if not depth:
-            return scalar(v)
-        items = F.transform(v.cast("array<variant>"), lambda x: normal(x, depth - 1))
-        whole = F.when(F.forall(items, lambda x: x.isNotNull()), F.concat(F.lit('["l",['), F.array_join(items, ","), F.lit("]]")))
-        return F.when(F.schema_of_variant(v).startswith("ARRAY"), whole).otherwise(scalar(v))
-
-    whole = F.expr(f"try_parse_json(`{value}`)")
-    members = F.transform(F.map_entries(whole.cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), normal(e["value"]).alias("value")))
-    pairs = F.transform(F.array_sort(members), lambda e: F.concat(F.lit("["), text(e["key"]), F.lit(","), e["value"], F.lit("]")))
-    keyed = F.when(F.forall(pairs, lambda x: x.isNotNull()), F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]")))
-    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), keyed).otherwise(normal(whole))
+    texts = df.select(F.col(value).alias("_said")).where("_said IS NOT NULL").distinct().select("_said", canonical.fields(F.col("_said"), precision).alias("_f"))
+    joined = df.join(texts, F.col(value) == F.col("_said"), "left")
+    signature = F.sha2(F.concat(family, F.lit("\0"), F.col("_f.payload")), 256)
+    return joined.withColumns({"signature": signature, "unsigned": F.when(F.col(value).isNull(), "no value").otherwise(F.col("_f.error"))}).drop("_said", "_f")
 
 
 def sign(df: DataFrame, family: Family, precision: int = 6) -> DataFrame:

@@ -121,16 +121,24 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
     """Every row with its status: emitted, input_error, geometry_rejected, duplicate, answer_mismatch or error.
 
     A signature is taken by the first row that would be emitted with it; a row whose answer doesn't match leaves it free.
-    detail: why a row isn't emitted. Loaded rows are stored once and read by each family; source fields come along.
+    detail: why a row isn't emitted. Loaded rows are stored once and read by each family; source fields and typed parameters come
+    along. Rows of a family share few parameter sets, so each set is judged, solved, drawn and measured once and joined back;
+    figures aren't kept, `figures` draws those that are asked for.
     """
     loaded = stored(load(lines).withColumns(provenance(F.col("value"))), "loaded")
+    typed = sorted({k for name in fam.available() for k in fam.get(name).params})
     shared = ["line", "input_id", "family", "params", "expected_answer", "load_error", *SOURCE_FIELDS.values()]
+    made = ["blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified"]
     out = None
     for name in fam.available():
         f = fam.get(name)
         own = loaded.where((F.col("family") == name) & F.col("load_error").isNull())
-        one = st.measure(st.solve(st.sign(st.judge(own, f), f, precision), f))
-        one = one.select(*shared, "blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified", "spec", F.col("expected.value").alias("expected_value"))
+        sets = st.measure(st.solve(st.sign(st.judge(own.select(*f.params).distinct(), f), f, precision), f))
+        sets = sets.select(*[F.col(k).alias(f"_{k}") for k in f.params], *made)
+        same = F.lit(True)
+        for k in f.params:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        one = own.join(sets, same).select(*shared, *typed, *made, F.col("expected.value").alias("expected_value"))
         out = one if out is None else out.unionByName(one)
     failed = loaded.where("load_error IS NOT NULL").select(*shared)
     df = out.unionByName(failed, allowMissingColumns=True)
@@ -149,6 +157,17 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
     return df.withColumn("detail", detail).drop("_first")
 
 
+def figures(found: DataFrame) -> DataFrame:
+    """(problem_id, stem, spec): the figures of the rows of `statuses` that are emitted, drawn from their parameters."""
+    out = None
+    for name in fam.available():
+        f = fam.get(name)
+        own = found.where((F.col("status") == "emitted") & (F.col("family") == name))
+        one = own.select(F.col("input_id").alias("problem_id"), "stem", f.spec(f.columns(own)).alias("spec"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def emitted_records(found: DataFrame) -> DataFrame:
     """Manifest records of the rows of `statuses` that are emitted: their own ids, answers and sources. A row whose figure doesn't measure as solved ends the query."""
     emitted = F.col("status") == "emitted"

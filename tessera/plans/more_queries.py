@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import answers as ans
+from tessera.functions import spec as S
 from tessera.functions.regions import measured_spec
-from tessera.operators import families as fam
-from tessera.operators import figure, harvest, records, structured
+from tessera.operators import figure, harvest, images, records, structured
 from tessera.operators import stages as st
+from tessera.operators.storage import stored
 from tessera.plans.queries import _CIRCLE, _COMPOSITE, _COORDINATE, _NESTED, emitted, query
-from tessera.plans.runs import report, run
-from tessera.sources.draws import SAMPLERS, draws
 
 
 # --- references between a figure's parts ----------------------------------------------------------
@@ -242,10 +242,69 @@ SPECS = {
 }
 
 
-@query("""SELECT * FROM (VALUES ('union', 28.0::DOUBLE, false), ('intersection', 4.0, false), ('corners', 14.0, false), ('length', 20.0, false), ('bowtie', NULL, true), ('dangling', NULL, true)) t(name, measured, failed)""")
-def slab_region_measure(spark, sf_dir):
-    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in SPECS.items()], "name string, spec string").select("name", measured_spec("spec").alias("m"))
-    return df.select("name", F.round("m.measured", 6).alias("measured"), F.col("m.error").isNotNull().alias("failed"))
+def _crossing(spark, sf_dir) -> DataFrame:
+    """(figure, n): two rectangles of each order, the second between the first's lines, with their region; equal figures counted before they are measured."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 36).cast("double").alias("a"), (F.col("o_custkey") % 10).cast("double").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    corners = lambda x, y, w, h: F.array(*[F.array(u, v) for u, v in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))])
+    first, second = corners(F.lit(0.0), F.lit(0.0), 4 + a % 7, 4 + b), corners(a % 5 + 0.5, b % 4 + 0.5, 2 + a % 4, 2 + b % 3)
+    pick = lambda *of: F.element_at(F.array(*map(F.lit, of)), (F.col("which") + 1).cast("int"))
+    t = t.withColumns({"which": a % 3, "measure": F.when(F.floor(a / 3) % 2 == 0, "area").otherwise("length")}).withColumn("operation", pick("union", "intersection", "difference"))
+    region = S.primitive("region", operation=F.col("operation"), of=F.array(F.lit("a"), F.lit("b")), measure=F.col("measure"))
+    return t.select("operation", "measure", "n", S.as_json(S.figure(S.polygon("a", first), S.polygon("b", second), region)).alias("figure"))
+
+
+@query("""WITH r AS (SELECT o_orderkey % 36 AS a, o_custkey % 10 AS b FROM orders), s AS (SELECT a, b, 4 + a % 7 AS w, 4 + b AS h, a % 5 + 0.5 AS x, b % 4 + 0.5 AS y, a % 5 + 2.5 + a % 4 AS x2, b % 4 + 2.5 + b % 3 AS y2 FROM r),
+o AS (SELECT *, greatest(0, least(w, x2) - x) AS ox, greatest(0, least(h, y2) - y) AS oy, x2 > w AS px, y2 > h AS py FROM s),
+v AS (SELECT a, ox * oy AS common, w * h AS one, (x2 - x) * (y2 - y) AS two, 2 * (w + h) AS l1, 2 * (x2 - x + y2 - y) AS l2,
+  CASE WHEN oy > 0 AND ox > 0 THEN (CASE WHEN py THEN ox ELSE 0 END) + (CASE WHEN px THEN oy ELSE 0 END) ELSE 0 END AS in2,
+  CASE WHEN oy > 0 AND ox > 0 THEN ox + oy + (CASE WHEN py THEN 0 ELSE ox END) + (CASE WHEN px THEN 0 ELSE oy END) ELSE 0 END AS in1 FROM o)
+SELECT CASE a % 3 WHEN 0 THEN 'union' WHEN 1 THEN 'intersection' ELSE 'difference' END AS operation, CASE WHEN a // 3 % 2 = 0 THEN 'area' ELSE 'length' END AS measure,
+  CAST(CASE WHEN a // 3 % 2 = 0 THEN CASE a % 3 WHEN 0 THEN one + two - common WHEN 1 THEN common ELSE one - common END ELSE CASE a % 3 WHEN 0 THEN l1 - in2 + l2 - in1 WHEN 1 THEN in1 + in2 ELSE l1 - in2 + in1 END END AS DOUBLE) AS value, CAST(count(*) AS BIGINT) AS orders FROM v GROUP BY 1, 2, 3""")
+def region_measures(spark, sf_dir):
+    """Areas and boundary lengths of unions, intersections and differences of orders' rectangles, by the region measure."""
+    found = _crossing(spark, sf_dir).withColumn("m", measured_spec("figure"))
+    return found.groupBy("operation", "measure", F.round("m.measured", 6).alias("value")).agg(F.sum("n").alias("orders"))
+
+
+@query(f"""WITH {_CIRCLE} SELECT DISTINCT k, CAST(side AS BIGINT) AS side, round(k * side + 4096 * 2 * side / (2 * tan(pi() / k)) * sin(pi() / 4096), 6) AS length FROM circle_j""")
+def region_lengths(spark, sf_dir):
+    """The boundary of each polygon less its inscribed circle, which touches every edge: measured on the figure."""
+    df = emitted(spark, sf_dir, "inscribed_circle")
+    asked = F.transform("spec", lambda s: F.when(s["kind"] == "region", s.withField("measure", F.lit("length"))).otherwise(s))
+    figures = stored(df.select("k", "side", S.as_json(asked).alias("figure")), "figures")  # a Python function takes a plain column
+    return figures.select("k", "side", F.round(measured_spec("figure")["measured"], 6).alias("length"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _ink(data: pd.Series) -> pd.Series:
+    """How much of a picture is shaded: lines are half of what they bound."""
+    def one(x: bytes) -> float:
+        grey = images.read_png(x).astype(float)
+        return float(np.where(grey < images.SHADE, 0.5, (images.WHITE - grey) / (images.WHITE - images.SHADE)).mean())
+
+    return data.map(one)
+
+
+@query(f"""WITH {_CIRCLE} SELECT DISTINCT k, CAST(side AS BIGINT) AS side, true AS shaded_right, true AS is_png FROM circle_j""")
+def figure_png(spark, sf_dir):
+    """The files of all polygons less their circles: the share of shaded pixels is the answer's share of the frame, up to a hundredth of it."""
+    df = emitted(spark, sf_dir, "inscribed_circle").drop("stem").withColumn("frame", F.get_json_object(images.scene(F.col("spec")), "$.frame.half").cast("double") * 2)
+    made = images.pictures(df, "k", "side", "answer_decimal", "frame")
+    off = F.abs(_ink("image") - F.col("answer_decimal") / (F.col("frame") * F.col("frame")))
+    return made.select("k", "side", (off < 0.01).alias("shaded_right"), F.startswith(F.hex("image"), F.lit("89504E470D0A1A0A")).alias("is_png"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 51 AS depth, o_totalprice AS price, o_orderkey % 5 AS kind FROM orders),
+n AS (SELECT *, CASE kind WHEN 0 THEN '["n","1361129467683753853853498429727072845824.000000"]' WHEN 1 THEN '["n","' || printf('%.6f', price) || '"]' WHEN 2 THEN '["s","' || o_orderkey || '"]' WHEN 3 THEN '["b",true],["z",null]' END AS inner_ FROM v)
+SELECT o_orderkey, CASE WHEN kind < 4 THEN sha256('any' || chr(0) || repeat('["l",[', depth + 1) || inner_ || repeat(']]', depth + 1)) END AS signature, CASE WHEN kind = 4 THEN 'an object within a value can''t be signed' END AS unsigned FROM n""")
+def signatures_of_any_value(spark, sf_dir):
+    """Signatures of JSON lists up to 51 deep around numbers of 40 digits, prices, texts, true and null; objects in them have a reason instead."""
+    key = F.col("o_orderkey")
+    inner = F.element_at(F.array(F.lit("1361129467683753853853498429727072845824"), F.format_string("%.2f", "o_totalprice"), F.concat(F.lit('"'), key.cast("string"), F.lit('"')), F.lit("true , null"), F.lit('{"a": 1}')), (key % 5 + 1).cast("int"))
+    depth = (key % 51 + 1).cast("int")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.repeat(F.lit("["), depth), inner, F.repeat(F.lit("]"), depth)).alias("value"))
+    return st.signed_values(df, "value", F.lit("any")).select("o_orderkey", "signature", "unsigned")
 
 
 _N = lambda x: f"printf('%.4f', round({x}, 4) + 0.0)"  # noqa: E731  a number of a figure's text
@@ -334,21 +393,3 @@ def harvest_markers(spark, sf_dir):
 def harvest_areas(spark, sf_dir):
     """Which content area the pages have."""
     return harvest.content_area(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("area").agg(F.count("*").alias("pages"))
-
-
-# --- drawn runs -----------------------------------------------------------------------------------
-@query("SELECT 404 AS draws, 170 AS invalid, 34 AS duplicates, 200 AS emitted, 38 AS composite_rectilinear, 47 AS coordinate_polygon, 68 AS inscribed_circle, 47 AS nested_polygons")
-def mixed_run_report(spark, sf_dir):
-    """The statistics of a mixed run of 200 problems with seed 0; the SQL states the published report."""
-    out = report(run(spark, sorted(SAMPLERS), 200, 0))
-    return out.select(*[F.col(c).cast("int").alias(c) for c in ("draws", "invalid", "duplicates", "emitted")], *[F.element_at("by_family", f).cast("int").alias(f) for f in sorted(SAMPLERS)])
-
-
-@query()
-def drawn_parameters(spark, sf_dir):
-    """The first 200 draws of each family's stream, seed 7."""
-    out = None
-    for f in sorted(SAMPLERS):
-        one = draws(spark, f, 200, 7).select(F.lit(f).alias("family"), "ord", F.to_json(F.struct(*sorted(fam.get(f).params))).alias("params"))
-        out = one if out is None else out.unionByName(one)
-    return out

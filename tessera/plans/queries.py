@@ -138,21 +138,32 @@ def ceiling(spark: SparkSession, family: fam.Family, precision: int = 6) -> Data
     return df.agg(F.lit(family.name).alias("family"), F.count("*").alias("raw"), F.countDistinct(F.when(F.col("reject_code").isNull(), F.col("signature"))).alias("ceiling"))
 
 
-@query("""WITH s AS (SELECT n, m, so, si, (si / (2 * sin(pi() / m))) / (so / (2 * tan(pi() / n))) AS r FROM range(4, 13) a(n), range(3, 12) b(m), range(1, 21) c(so), range(1, 21) d(si) WHERE m < n)
-SELECT 'nested_polygons' AS family, count(*) AS raw, count(*) FILTER (WHERE r BETWEEN 0.15 AND 0.9) AS ceiling FROM s""")
+def seen_of_space(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    """A family's ceiling, how many of its valid problems a derived table holds, and how many are left to find."""
+    f = _SOURCES[family][0]
+    seen = judged_sets(spark, sf_dir, family).where("reject_code IS NULL").agg(F.countDistinct("signature").alias("seen"))
+    return ceiling(spark, f).crossJoin(F.broadcast(seen)).withColumn("left", F.col("ceiling") - F.col("seen"))  # one row each
+
+
+def _seen_sql(space: str, cte: str, table: str) -> str:
+    return f"WITH {cte}, s AS ({space}), d AS (SELECT count(DISTINCT signature) AS seen FROM {table} WHERE reason IS NULL) SELECT s.*, seen, ceiling - seen AS \"left\" FROM s, d"
+
+
+@query(_seen_sql("""SELECT 'nested_polygons' AS family, count(*) AS raw, count(*) FILTER (WHERE r BETWEEN 0.15 AND 0.9) AS ceiling FROM
+(SELECT (si / (2 * sin(pi() / m))) / (so / (2 * tan(pi() / n))) AS r FROM range(4, 13) a(n), range(3, 12) b(m), range(1, 21) c(so), range(1, 21) d(si) WHERE m < n)""", _NESTED, "nested_j"))
 def ceiling_nested(spark, sf_dir):
-    return ceiling(spark, fam.NESTED)
+    return seen_of_space(spark, sf_dir, "nested_polygons")
 
 
-@query("SELECT 'inscribed_circle' AS family, count(*) AS raw, count(*) FILTER (WHERE 1 - pi() / (k * tan(pi() / k)) >= 0.05) AS ceiling FROM range(3, 9) a(k), range(1, 21) b(side)")
+@query(_seen_sql("SELECT 'inscribed_circle' AS family, count(*) AS raw, count(*) FILTER (WHERE 1 - pi() / (k * tan(pi() / k)) >= 0.05) AS ceiling FROM range(3, 9) a(k), range(1, 21) b(side)", _CIRCLE, "circle_j"))
 def ceiling_circle(spark, sf_dir):
-    return ceiling(spark, fam.CIRCLE)
+    return seen_of_space(spark, sf_dir, "inscribed_circle")
 
 
-@query("""WITH s AS (SELECT * FROM range(4, 21) a(w), range(4, 21) b(h), range(1, 20) c(x), range(1, 20) d(y) WHERE x < w AND y < h)
-SELECT 'composite_rectilinear' AS family, count(*) AS raw, count(*) FILTER (WHERE x / w BETWEEN 0.25 AND 0.75 AND y / h BETWEEN 0.25 AND 0.75) AS ceiling FROM s""")
+@query(_seen_sql("""SELECT 'composite_rectilinear' AS family, count(*) AS raw, count(*) FILTER (WHERE x / w BETWEEN 0.25 AND 0.75 AND y / h BETWEEN 0.25 AND 0.75) AS ceiling
+FROM range(4, 21) a(w), range(4, 21) b(h), range(1, 20) c(x), range(1, 20) d(y) WHERE x < w AND y < h""", _COMPOSITE, "composite_j"))
 def ceiling_composite(spark, sf_dir):
-    return ceiling(spark, fam.COMPOSITE)
+    return seen_of_space(spark, sf_dir, "composite_rectilinear")
 
 
 # --- funnels --------------------------------------------------------------------------------------

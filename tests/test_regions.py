@@ -90,6 +90,17 @@ def test_circles_take_milliseconds():
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("k", [3, 4, 5, 6, 7, 8])
+def test_circles_that_touch_every_edge(k):
+    for side in range(1, 21):
+        r, t = side / (2 * math.sin(math.pi / k)), math.pi / k - math.pi / 2 + np.arange(k) * 2 * np.pi / k
+        q = side / (2 * math.tan(math.pi / k))
+        shapes = [np.stack([r * np.cos(t), r * np.sin(t)], 1), circle(0, 0, q)]
+        round_ = 4096 * 2 * q * math.sin(math.pi / 4096)
+        assert R.region_length("difference", shapes) == pytest.approx(k * side + round_, rel=1e-9)
+        assert R.region_area("difference", shapes) == pytest.approx(k * side * q / 2 - 2048 * q * q * math.sin(2 * math.pi / 4096), rel=1e-9)
+
+
 def test_a_comb_of_many_teeth():
     n = 10_000
     x = np.arange(2 * n) / 2
