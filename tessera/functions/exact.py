@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import bound
 
-#: Lengths are whole multiples of a millionth.
-UNIT = 1_000_000
+#: A length: 18 places, of which a figure's lengths use DIGITS at most together with those before the point.
+LENGTH, DIGITS = "decimal(38,18)", 17
 _BIG = "decimal(38,0)"
 #: k -> (basis, numerator, denominator) of k / 4 * cot(pi / k), for those k whose cotangent is written with square roots here.
 POLYGON = {3: [("sqrt(3)", 1, 4)], 4: [("1", 1, 1)], 6: [("sqrt(3)", 3, 2)], 8: [("1", 2, 1), ("sqrt(2)", 2, 1)], 12: [("1", 6, 1), ("sqrt(3)", 3, 1)]}
@@ -16,9 +16,29 @@ POLYGON = {3: [("sqrt(3)", 1, 4)], 4: [("1", 1, 1)], 6: [("sqrt(3)", 3, 2)], 8:
 INCIRCLE = {3: [("pi", 1, 12)], 4: [("pi", 1, 4)], 6: [("pi", 3, 4)], 8: [("pi", 3, 4), ("sqrt(2)*pi", 1, 2)], 12: [("pi", 7, 4), ("sqrt(3)*pi", 1, 1)]}
 
 
-def micro(length: Column) -> Column:
-    """A length as a whole number of millionths."""
-    return (length.cast("decimal(20,6)") * UNIT).cast(_BIG)
+def places(length: Column) -> Column:
+    """How many decimal places a length has, without needless zeros."""
+    return F.length(F.regexp_extract(length.cast(LENGTH).cast("string"), r"\.([0-9]*?)0*$", 1))
+
+
+def too_long(*lengths: Column) -> Column:
+    """Whether lengths need more digits over one unit than squares and sums of squares have room for."""
+    units = lambda x: F.length(F.regexp_extract(x.cast(LENGTH).cast("string"), r"^-?0*([0-9]*)\.", 1))
+    most = lambda of: F.greatest(*map(of, lengths)) if len(lengths) > 1 else of(lengths[0])
+    return most(units) + most(places) > DIGITS
+
+
+def scaled(*lengths: Column) -> tuple[list[Column], Column]:
+    """Lengths as whole numbers over one unit, a power of ten: that of the one with the most places. So none loses a digit."""
+    most = F.greatest(*map(places, lengths)) if len(lengths) > 1 else places(lengths[0])
+    unit = F.rpad(F.lit("1"), most + 1, "0").cast(_BIG)
+    return [(x.cast(LENGTH) * unit).cast(_BIG) for x in lengths], unit
+
+
+def squared(length: Column) -> tuple[Column, Column]:
+    """A length's square as a numerator and a denominator."""
+    (n,), unit = scaled(length)
+    return (n * n).cast(_BIG), (unit * unit).cast(_BIG)
 
 
 def _steps(a: Column, b: Column) -> Column:
@@ -49,26 +69,28 @@ def term(basis: Column, num: Column, den: Column) -> Column:
     return bound(of, lambda t: F.struct(t["basis"].alias("basis"), (t["num"] / t["g"]).cast(_BIG).alias("num"), (t["den"] / t["g"]).cast(_BIG).alias("den")))
 
 
-def _terms(table: dict, k: Column, square: Column, other: Column, den: int, sign: int) -> Column:
-    """square: a side's square in units of 1 / UNIT ** 2."""
-    unit = UNIT * UNIT
-    make = lambda b, n, d: F.struct(b.alias("basis"), (square * (sign * n)).cast(_BIG).alias("num"), F.lit(d * unit).cast(_BIG).alias("den"))
-    out = F.array(other)
+def _terms(table: dict, k: Column, square: tuple[Column, Column], basis: Column, times: Column, sign: int) -> Column:
+    """square: a side's square, over its unit's. Side counts that the table lacks have one term, of their own basis over 4."""
+    top, unit = square
+    make = lambda b, n, d: F.struct(b.alias("basis"), (top * n).cast(_BIG).alias("num"), (unit * d).cast(_BIG).alias("den"))
+    out = F.array(make(basis, times, F.lit(4)))
     for own, rows in table.items():
-        out = F.when(k == own, F.array(*[make(F.lit(b), n, d) for b, n, d in rows])).otherwise(out)
+        out = F.when(k == own, F.array(*[make(F.lit(b), F.lit(sign * n), F.lit(d)) for b, n, d in rows])).otherwise(out)
     return out
 
 
 def polygon_terms(k: Column, side: Column, sign: int = 1) -> Column:
-    square = micro(side) * micro(side)
-    other = F.struct(F.concat(F.lit("cot(pi/"), k.cast("string"), F.lit(")")).alias("basis"), (square * k * sign).cast(_BIG).alias("num"), F.lit(4 * UNIT * UNIT).cast(_BIG).alias("den"))
-    return _terms(POLYGON, k, square, other, 4, sign)
+    return _terms(POLYGON, k, squared(side), F.concat(F.lit("cot(pi/"), k.cast("string"), F.lit(")")), k * sign, sign)
 
 
 def incircle_terms(k: Column, side: Column, sign: int = 1) -> Column:
-    square = micro(side) * micro(side)
-    other = F.struct(F.concat(F.lit("pi*cot(pi/"), k.cast("string"), F.lit(")**2")).alias("basis"), (square * sign).cast(_BIG).alias("num"), F.lit(4 * UNIT * UNIT).cast(_BIG).alias("den"))
-    return _terms(INCIRCLE, k, square, other, 4, sign)
+    return _terms(INCIRCLE, k, squared(side), F.concat(F.lit("pi*cot(pi/"), k.cast("string"), F.lit(")**2")), F.lit(sign), sign)
+
+
+def notched_terms(width: Column, height: Column, notch_w: Column, notch_h: Column) -> Column:
+    """A rectangle less a rectangle."""
+    (w, h, a, b), unit = scaled(width, height, notch_w, notch_h)
+    return rational_term((w * h).cast(_BIG) - (a * b).cast(_BIG), (unit * unit).cast(_BIG))
 
 
 def rational_term(num: Column, den: Column) -> Column:

@@ -84,7 +84,7 @@ class Family:
 
 def number_text(x: Column) -> Column:
     """A length without needless zeros."""
-    return F.regexp_replace(F.regexp_replace(x.cast("decimal(20,6)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(x.cast(exact.LENGTH).cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
 # --- nested regular polygons ----------------------------------------------------------------------
@@ -251,7 +251,7 @@ COMPOSITE = Family(
     {"width": "length", "height": "length", "notch_w": "length", "notch_h": "length"},
     SHADED_FIGURE,
     _composite_checks,
-    lambda p: exact.summed(exact.rational_term(exact.micro(p["width"]) * exact.micro(p["height"]) - exact.micro(p["notch_w"]) * exact.micro(p["notch_h"]), F.lit(exact.UNIT**2))),
+    lambda p: exact.summed(exact.notched_terms(p["width"], p["height"], p["notch_w"], p["notch_h"])),
     lambda p: p["width"].cast("double") * p["height"].cast("double") - p["notch_w"].cast("double") * p["notch_h"].cast("double"),
     _composite_spec,
     space=_composite_space,

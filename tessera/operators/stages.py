@@ -66,7 +66,7 @@ def payload(family: Family, precision: int = 6) -> Column:
     """The canonical text of a parameter set: keys in order, numbers with a fixed number of places."""
     if precision < 0:
         raise ValueError(f"precision must be non-negative; got {precision}")
-    number = lambda x: F.concat(F.lit('["n","'), F.round(x.cast("decimal(30,10)"), precision).cast(f"decimal(30,{precision})").cast("string"), F.lit('"]'))
+    number = lambda x: F.concat(F.lit('["n","'), F.round(x.cast(exact.LENGTH), precision).cast(f"decimal(38,{min(precision, 18)})").cast("string"), F.lit('"]'))
 
     def value(name: str, kind: str) -> Column:
         if kind != "lattice_points":

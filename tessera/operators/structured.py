@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import exact
 from tessera.functions.answers import plain_fields
 from tessera.operators import families as fam
 from tessera.operators import records
@@ -53,6 +57,12 @@ def _param_error(name: str, kind: str) -> Column:
     return F.when(~own.startswith("ARRAY") | ~F.coalesce(whole, F.lit(False)) | F.get_json_object("value", f"$.params.{name}").contains('"'), F.lit(f"params: {name} must be a list of integer pairs"))
 
 
+def _length(raw: Column) -> Column:
+    """A number of JSON as a length, by its own digits and exponent; null where it has more places or digits than a length."""
+    value = raw.try_cast(exact.LENGTH)
+    return F.when(value.cast("double") == raw.try_cast("double"), value)
+
+
 def load(lines: DataFrame) -> DataFrame:
     """line, input_id, family, typed parameters, expected and load_error, the first check that a row fails.
 
@@ -64,12 +74,18 @@ def load(lines: DataFrame) -> DataFrame:
     df = df.select("line", "value", "v", "keys", string("$.input_id").alias("input_id"), string("$.family").alias("family"), string("$.expected_answer").alias("expected_answer"), F.get_json_object("value", "$.params").alias("params"))
     df = df.withColumn("expected", plain_fields(F.coalesce("expected_answer", F.lit(""))))
     df = df.withColumns({"_param_keys": F.array_sort(F.json_object_keys("params")), "_source": F.get_json_object("value", "$.source")}).withColumn("_source_keys", F.json_object_keys("_source"))
+    lengths = sorted({k for name in fam.available() for k, t in fam.get(name).params.items() if t == "length"})
+    df = df.withColumns({f"_len_{k}": _length(F.get_json_object("params", f"$.{k}")) for k in lengths})
     keys = F.col("_param_keys")
     family_keys, kind_error = F.lit(None), F.lit(None).cast("string")
     for name in fam.available():
         f = fam.get(name)
         family_keys = F.when(F.col("family") == name, _array(*sorted(f.params))).otherwise(family_keys)
-        kind_error = F.when(F.col("family") == name, F.coalesce(*[_param_error(k, t) for k, t in f.params.items()])).otherwise(kind_error)
+        long = [k for k, t in f.params.items() if t == "length"]
+        lost = [F.col(f"_len_{k}").isNull() for k in long]
+        # a row whose lengths can't be worked out exactly is an input error, not a rounded one
+        digits = [F.when(reduce(or_, lost) | exact.too_long(*[F.col(f"_len_{k}") for k in long]), F.lit(f"params: more than {exact.DIGITS} digits before and behind the point"))] if long else []
+        kind_error = F.when(F.col("family") == name, F.coalesce(*[_param_error(k, t) for k, t in f.params.items()], *digits)).otherwise(kind_error)
     unknown, missing = F.array_except("keys", _array(*REQUIRED, *OPTIONAL)), F.array_except(_array(*REQUIRED), F.col("keys"))
     listed = lambda label, a: F.concat(F.lit(label), F.array_join(F.array_sort(a), ", "))
     source, source_keys = F.col("_source"), F.col("_source_keys")
@@ -108,8 +124,8 @@ def load(lines: DataFrame) -> DataFrame:
     for name in fam.available():
         for k, t in fam.get(name).params.items():
             raw = F.get_json_object("params", f"$.{k}")
-            typed[k] = F.when(F.col("load_error").isNull(), F.expr(f"try_cast(get_json_object(params, '$.{k}') AS bigint)") if t == "integer" else F.expr(f"try_cast(get_json_object(params, '$.{k}') AS decimal(20,6))") if t == "length" else F.from_json(raw, "array<array<bigint>>"))
-    return df.withColumns(typed).drop("_a", "_b", "_taken")
+            typed[k] = F.when(F.col("load_error").isNull(), F.expr(f"try_cast(get_json_object(params, '$.{k}') AS bigint)") if t == "integer" else F.col(f"_len_{k}") if t == "length" else F.from_json(raw, "array<array<bigint>>"))
+    return df.withColumns(typed).drop("_a", "_b", "_taken", *[f"_len_{k}" for k in lengths])
 
 
 def provenance(value: Column) -> dict[str, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions import exact
 from tessera.operators import families as fam
 from tessera.operators import stages as st
 
@@ -15,7 +16,7 @@ SCHEMA = "input_id string, family string, params string, at timestamp"
 def problems(spark: SparkSession, folder: str, family: str, late: str = "1 hour") -> DataFrame:
     """Valid problems of a family from JSON files that arrive in a folder, each signature once while its watermark lasts."""
     f = fam.get(family)
-    types = {"integer": "bigint", "length": "decimal(20,6)", "lattice_points": "array<array<bigint>>"}
+    types = {"integer": "bigint", "length": exact.LENGTH, "lattice_points": "array<array<bigint>>"}
     rows = spark.readStream.schema(SCHEMA).json(folder).where(F.col("family") == family).withWatermark("at", late)
     typed = rows.select("input_id", "at", F.from_json("params", ", ".join(f"{k} {types[t]}" for k, t in f.params.items())).alias("p")).select("input_id", "at", "p.*")
     valid = st.solve(st.sign(st.judge(typed, f), f).where("reject_code IS NULL"), f)
