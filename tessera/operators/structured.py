@@ -145,8 +145,10 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
     typed = sorted({k for name in fam.available() for k in fam.get(name).params})
     shared = ["line", "input_id", "family", "params", "expected_answer", "load_error", *SOURCE_FIELDS.values()]
     made = ["blocking", "blocking_key", "warnings", "signature", "stem", "answer_exact", "answer_decimal", "measured", "rel_diff", "verified"]
+    # a row for each registered family at most: the others need no plan
+    present = {r.family for r in loaded.where("load_error IS NULL").select("family").distinct().collect()}
     out = None
-    for name in fam.available():
+    for name in [n for n in fam.available() if n in present] or fam.available()[:1]:
         f = fam.get(name)
         own = loaded.where((F.col("family") == name) & F.col("load_error").isNull())
         sets = st.measure(st.solve(st.sign(st.judge(own.select(*f.params).distinct(), f), f, precision), f))
@@ -176,9 +178,11 @@ def statuses(lines: DataFrame, precision: int = 6) -> DataFrame:
 def figures(found: DataFrame) -> DataFrame:
     """(problem_id, stem, spec): the figures of the rows of `statuses` that are emitted, drawn from their parameters."""
     out = None
-    for name in fam.available():
+    emitted = found.where("status = 'emitted'")
+    present = {r.family for r in emitted.select("family").distinct().collect()}
+    for name in [n for n in fam.available() if n in present] or fam.available()[:1]:
         f = fam.get(name)
-        own = found.where((F.col("status") == "emitted") & (F.col("family") == name))
+        own = emitted.where(F.col("family") == name)
         one = own.select(F.col("input_id").alias("problem_id"), "stem", f.spec(f.columns(own)).alias("spec"))
         out = one if out is None else out.unionByName(one)
     return out
